@@ -11,6 +11,8 @@ A document's set holds its distinct shingles of n words; documents of equal sets
    sizes ask for.
 3. Every class is first tried with the one class of least key it shares most entries with. What links that way is one component, and only columns
    that hold more than one component are multiplied out, across components. The overlap of what remains is counted exactly.
+4. Columns with more than HEAVY classes give no pairs. Classes that they connect form a cluster, cut into size classes (only neighbouring ones can
+   link) and blocks; a task multiplies two blocks of rows column block by column block and gives a spanning forest of the links.
 
 A column that fills a hundredth of a row block is hot: its entries stay in the row block and only its name goes to the column block.
 """
@@ -26,11 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, components, partitions, shingle_hashes, word_hashes
+from .common import U64, Scratch, components, forest, partitions, shingle_hashes, word_hashes
 
 #: Entries and classes of a row block (memory bound), classes of a row block from which a column is hot, and its power of two.
-ENTRIES, CLASSES, HOT, HOT_POWER = 1 << 21, 60_000, 32, 31
-LOW = U64((1 << 40) - 1)
+ENTRIES, CLASSES, HOT, HOT_POWER = 1 << 20, 60_000, 32, 31
+#: Classes of a column from which no pairs are made, rows of a block of the product, columns multiplied at once.
+HEAVY, ROWS, COLUMNS = 32, 512, 4096
 
 
 def ngram_set(text: str | None, n: int) -> np.ndarray:
@@ -132,30 +135,38 @@ def column_block(table: pa.Table) -> pa.Table:
     block = rows[0]["block"]
     # a class is known by its row block and index; the same class in two row blocks counts twice and only costs work
     lows, owners = [], []
+    kind = np.uint32 if len(rows) < 1 << 16 else np.uint64
     for k, r in enumerate(rows):
-        idx, cnt = np.frombuffer(r["idx"], "<u2").astype(np.int64), np.frombuffer(r["cnt"], "<u4")
-        lows.append(widen(r["low"]))
-        owners.append(np.repeat(k << 16 | idx, cnt))
-    entries = sum(map(len, lows))
+        idx, cnt = np.frombuffer(r["idx"], "<u2").astype(kind), np.frombuffer(r["cnt"], "<u4")
+        lows.append(widen(r.pop("low")))
+        owners.append(np.repeat(kind(k << 16) | idx, cnt))
     hot = np.unique(np.concatenate([widen(r["hot"]) for r in rows]))
-    low, owner = np.concatenate(lows), np.concatenate(owners)
-    order = np.argsort(low, kind="stable")
-    s = low[order]
-    starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if entries else np.empty(0, np.int64)
-    runs = np.diff(np.append(starts, entries))
-    power = np.frexp(runs.astype(np.float64))[1] - 1
-    at = np.minimum(np.searchsorted(hot, s[starts]), max(len(hot) - 1, 0))
-    is_hot = hot[at] == s[starts] if len(hot) else np.zeros(len(starts), bool)
-    power = np.where(is_hot, HOT_POWER, np.minimum(power, HOT_POWER - 1))
-    power_of = np.empty(entries, np.int64)
-    power_of[order] = np.repeat(power, runs)
-    shared = power_of > 0
-    names = column_name(power_of[shared], low[shared], block)
-    owner = owner[shared]
+    low = np.concatenate(lows)
+    lows.clear()
+    order = np.argsort(low, kind="stable").astype(np.uint32 if len(low) < 1 << 32 else np.int64)
+    low = low[order]
+    starts = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]])) if len(low) else np.empty(0, np.int64)
+    runs = np.diff(np.append(starts, len(low)))
+    keep = runs > 1
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, low[starts]), len(hot) - 1)
+        is_hot = hot[at] == low[starts]
+        keep |= is_hot
+    power = np.minimum(np.frexp(runs[keep].astype(np.float32))[1] - 1, HOT_POWER - 1)
+    if len(hot):
+        power[is_hot[keep]] = HOT_POWER
+    shared = np.repeat(keep, runs)
+    names = column_name(np.repeat(power, runs[keep]), low[shared], block)
+    order = order[shared]
+    del low, shared
+    by_row = np.argsort(order)
+    names = names[by_row]
+    owner = np.concatenate(owners)[order[by_row]]
+    owners.clear()
     out = []
-    cut = np.searchsorted(owner >> 16, np.arange(len(rows) + 1))
+    cut = np.searchsorted(owner >> kind(16), np.arange(len(rows) + 1).astype(kind))
     for k, r in enumerate(rows):
-        idx, col = owner[cut[k] : cut[k + 1]] & 0xFFFF, names[cut[k] : cut[k + 1]]
+        idx, col = (owner[cut[k] : cut[k + 1]] & kind(0xFFFF)).astype(np.int64), names[cut[k] : cut[k + 1]]
         if r["keys"] is not None:
             own = np.frombuffer(r["hot_idx"], "<u2").astype(np.int64)
             wide = column_name(np.full(len(r["hot_low"]) // 5, HOT_POWER), widen(r["hot_low"]), np.frombuffer(r["hot_block"], "<u4"))
@@ -216,7 +227,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     with themselves only. A null doc_id stays, its component is the least id it reaches (null if there is none).
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "ngrams")
-    blocks = partitions(spark)
+    blocks = 2 * partitions(spark)
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(row_blocks(n, blocks), ROW_DDL)
     back = cut.groupBy("block").applyInArrow(column_block, BACK_DDL)
     found = scratch.save(back.groupBy("batch").applyInArrow(row_block(percent), FOUND_DDL))
@@ -260,9 +271,82 @@ def link(rows: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     with_part = scratch.save(entries.join(parts, entries.key == parts.id, "left").select("key", "n", "rest", "end", "col", F.coalesce("component", "key").alias("part")))
     mixed = with_part.groupBy("col").agg(F.min("part").alias("p1"), F.max("part").alias("p2")).where("p1 <> p2").select("col")
     open_ = scratch.save(with_part.join(mixed, "col", "left_semi"))
-    left = open_.select(*side, F.col("part").alias("part1"))
-    right = open_.select(F.col("key").alias("b"), F.col("n").alias("n2"), F.col("rest").alias("rest2"), F.col("end").alias("end2"), "col", F.col("part").alias("part2"))
+    size = open_.groupBy("col").agg(F.count("*").alias("g"))
+    heavy = scratch.save(open_.join(size.where(F.col("g") > HEAVY).select("col"), "col", "left_semi").select("key", "n", "col"))
+    light = open_.join(size.where(F.col("g") <= HEAVY).select("col"), "col", "left_semi")
+    left = light.select(*side, F.col("part").alias("part1"))
+    right = light.select(F.col("key").alias("b"), F.col("n").alias("n2"), F.col("rest").alias("rest2"), F.col("end").alias("end2"), "col", F.col("part").alias("part2"))
     across = left.join(right, "col").where((F.col("a") < F.col("b")) & (F.col("part1") != F.col("part2")) & fits(F.col("n1"), F.col("n2"), percent))
     more = scratch.save(reaching(may(across.groupBy(*pair).agg(F.count("*").alias("c")))))
+    blocks = scratch.save(product(heavy, narrow_rows, scratch, percent))
     scratch.drop(with_part, entries)
-    return first.unionAll(more)
+    return first.unionAll(more).unionAll(blocks)
+
+
+def product(heavy: DataFrame, rows: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Links between classes that heavy columns connect, by blocks of the product; two classes of a heavy column always meet."""
+    clusters = components(heavy.select((-F.col("col") - 1).alias("a"), F.col("key").alias("b")), scratch).withColumnsRenamed({"id": "key", "component": "cluster"})
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent + 1e-9))).cast("long")
+    members = scratch.save(heavy.select("key", "n").distinct().join(clusters, "key").withColumn("size", step))
+    counts = members.groupBy("cluster", "size").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("k"))
+    above = counts.select("cluster", (F.col("size") - 1).alias("size"), F.col("k").alias("k_above"))
+    below = counts.select("cluster", (F.col("size") + 1).alias("size"), F.col("k").alias("k_below"))
+    counts = counts.join(above, ["cluster", "size"], "left").join(below, ["cluster", "size"], "left")
+    placed = members.join(counts, ["cluster", "size"]).withColumn("block", F.pmod(F.col("key"), F.col("k")).cast("int"))
+
+    def span(lo, hi):
+        return F.when(lo < hi, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<int>"))
+
+    # A task is (size, block) against (size, later block) or (size + 1, any block); a class stands left or right in it, or is both in its own block.
+    task = lambda size, i, up, j, left: F.struct(size.alias("s"), i.alias("i"), F.lit(up).alias("up"), j.alias("j"), F.lit(left).alias("left"))
+    s, b = F.col("size"), F.col("block")
+    tasks = F.concat(
+        F.transform(span(b, F.col("k")), lambda j: task(s, b, False, j, True)),
+        F.transform(span(F.lit(0), b), lambda i: task(s, i, False, b, False)),
+        F.transform(span(F.lit(0), F.coalesce("k_above", F.lit(0))), lambda j: task(s, b, True, j, True)),
+        F.transform(span(F.lit(0), F.coalesce("k_below", F.lit(0))), lambda i: task(s - 1, i, True, b, False)),
+    )
+    dealt = placed.select("key", "cluster", F.explode(tasks).alias("t")).select("key", "cluster", "t.*").join(rows, "key")
+    return dealt.groupBy("cluster", "s", "i", "up", "j").applyInArrow(multiply(percent), "a long, b long")
+
+
+def multiply(percent: int):
+    """Task of one pair of row blocks: its links as a spanning forest."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def side(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        cols = [np.frombuffer(c, "<u8") for c in table.column("cols").to_pylist()]
+        owner = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
+        return table.column("key").to_numpy(), table.column("n").to_numpy(), np.concatenate([*cols, np.empty(0, "<u8")]), owner
+
+    def run(table: pa.Table) -> pa.Table:
+        is_left = np.array(table.column("left").to_pylist())
+        own = not table.column("up")[0].as_py() and table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        if not own and is_left.all() or not is_left.any():
+            return schema.empty_table()
+        k1, n1, c1, o1 = side(table.filter(pa.array(is_left)))
+        k2, n2, c2, o2 = (k1, n1, c1, o1) if own else side(table.filter(pa.array(~is_left)))
+        common = np.intersect1d(c1, c2)
+        both = np.zeros((len(k1), len(k2)), np.float32)
+        sides = []
+        for cols, owner in ((c1, o1), (c2, o2)):
+            at = np.searchsorted(common, cols)
+            held = at < len(common)
+            held[held] = common[at[held]] == cols[held]
+            order = np.argsort(at[held], kind="stable")
+            sides.append((at[held][order], owner[held][order]))
+        for begin in range(0, len(common), COLUMNS):
+            parts = []
+            for (at, owner), rows in zip(sides, (len(k1), len(k2)), strict=True):
+                lo, hi = np.searchsorted(at, [begin, begin + COLUMNS])
+                part = np.zeros((rows, min(COLUMNS, len(common) - begin)), np.float32)
+                part[owner[lo:hi], at[lo:hi] - begin] = 1
+                parts.append(part)
+            both += parts[0] @ parts[1].T
+        overlap = both.astype(np.int64)
+        linked = 100 * overlap >= percent * (n1[:, None] + n2[None, :] - overlap)
+        linked &= k1[:, None] != k2[None, :]
+        pairs = forest(k1, k2, linked)
+        return pa.table([pa.array([p[x] for p in pairs], pa.int64()) for x in (0, 1)], schema=schema)
+
+    return run
