@@ -50,14 +50,15 @@ def dedup(docs: DataFrame) -> DataFrame:
     chunks = base.select("id", "h", F.explode(F.transform(long_enough, lambda c: F.struct(c["at"].alias("at"), text_of(c["r"]).alias("chunk")))).alias("c")).select("id", "h", "c.at", "c.chunk")
     chunks = chunks.where(F.col("chunk").rlike(r"\S[^\n]*\n(?s:.*)\S")).withColumn("hash", F.xxhash64("chunk"))
     often = scratch.save(chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("hash").alias("hash2")))
-    again = scratch.save(chunks.join(often, F.col("hash") == F.col("hash2"), "left_semi"))
+    # Joins of texts are of a fixed kind, so that exchanges grow with the texts and not by leaps.
+    again = scratch.save(chunks.hint("merge").join(often, F.col("hash") == F.col("hash2"), "left_semi"))
     place = F.struct("id", "h", "at")
     heads = again.groupBy("hash", "chunk").agg(F.min(place).alias("head"), F.count("*").alias("n")).where("n > 1").select(F.col("hash").alias("hash3"), F.col("chunk").alias("chunk3"), "head")
-    gone = again.join(heads, (F.col("hash") == F.col("hash3")) & (F.col("chunk") == F.col("chunk3"))).where(~place.eqNullSafe(F.col("head")))
+    gone = again.hint("merge").join(heads, (F.col("hash") == F.col("hash3")) & (F.col("chunk") == F.col("chunk3"))).where(~place.eqNullSafe(F.col("head")))
     removed = gone.groupBy(F.col("id").alias("id2"), F.col("h").alias("h2")).agg(F.collect_set("at").alias("removed"))
     removed = scratch.save(removed)
     scratch.drop(again, often)
-    joined = base.join(removed, (F.col("h") == F.col("h2")) & F.col("id").eqNullSafe(F.col("id2")), "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    joined = base.hint("merge").join(removed, (F.col("h") == F.col("h2")) & F.col("id").eqNullSafe(F.col("id2")), "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     kept = F.filter("ranges", lambda r, i: ~F.array_contains("removed", i))
     dropped = F.filter("ranges", lambda r, i: F.array_contains("removed", i))
     text = F.when(F.col("lines").isNull(), F.lit(None)).when(F.size("removed") == 0, F.array_join("lines", "\n")).otherwise(F.array_join(F.transform(kept, text_of), "\n"))
