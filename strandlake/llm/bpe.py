@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -140,6 +140,7 @@ class Codec:
         self.decimal = {i: str(i) for i in self.model.tokens}
         self.known: dict[bytes, tuple[int, str, str]] = {}
         self.old: dict[bytes, tuple[int, str, str]] = {}
+        self.blank = False  # a chunk without ids was met
 
     def _words(self, chunk: str) -> list[bytes | int]:
         """The words of a chunk as bytes, special tokens as their ids."""
@@ -160,36 +161,56 @@ class Codec:
     def told(self, ids: list[int]) -> tuple[int, str, str]:
         return len(ids), " ".join([self.decimal[i] for i in ids]), " ".join([self.model.tokens[i] for i in ids])
 
-    def learn(self, chunks: Iterable[bytes]) -> None:
+    def split(self, chunks: list[bytes]) -> tuple[list[tuple[bytes, bytes, bytes]], list[tuple[bytes, list[bytes | int]]], set[bytes]]:
+        """Chunks of ASCII letters with marks behind them as (chunk, word, word or b''); the others as (chunk, words); all their words.
+
+        Letters and the marks behind them are two words; everything else takes the file's own normaliser and pre-tokenizer.
+        """
+        bodies = [c.rstrip(b".,;:!?") for c in chunks]
+        bodies = [b.lower() if b.isalpha() else None for b in bodies]
+        plain = [(c, b, c[len(b) :]) for c, b in zip(chunks, bodies, strict=True) if b is not None]
+        other = [(c, self._words(c.decode("utf-8"))) for c, b in zip(chunks, bodies, strict=True) if b is None]
+        words = {x for _, b, t in plain for x in (b, t)}
+        words.update(w for _, s in other for w in s if isinstance(w, bytes))
+        words.discard(b"")
+        return plain, other, words
+
+    def learn(self, chunks: set[bytes]) -> None:
         """Keeps number, decimal ids and decoded tokens of each chunk (UTF-8 without ASCII white space) not known yet."""
         if len(self.known) > CACHE:
             self.old, self.known = self.known, {}
-        new = []
-        for c in chunks:
-            if c not in self.known:
-                if (x := self.old.get(c)) is None:
-                    new.append(c)
-                else:
-                    self.known[c] = x
-        split = [self._words(c.decode("utf-8")) for c in new]
-        words = list({w for s in split for w in s if isinstance(w, bytes)})
-        found: dict[bytes | int, tuple[int, str, str]] = {w: self.told(x.tolist()) for w, x in zip(words, self.model.encode(words), strict=True)}
+        known = self.known
+        missing = chunks.difference(known)
+        again = missing.intersection(self.old)
+        known.update((c, self.old[c]) for c in again)
+        new = list(missing - again)
+        plain, other, words = self.split(new)
+        met = {w: known[w] for w in words.intersection(known) if w.isalpha()}
+        todo = list(words.difference(met))
+        found: dict[bytes | int, tuple[int, str, str]] = dict(zip(todo, map(self.told, (x.tolist() for x in self.model.encode(todo))), strict=True))
+        found |= met
         found |= {i: self.told([i]) for i in self.special.values()}
-        for c, s in zip(new, split, strict=True):
-            if len(s) == 1:
-                self.known[c] = found[s[0]]
+        for c, b, t in plain:
+            if t:
+                x, y = found[b], found[t]
+                known[c] = x[0] + y[0], f"{x[1]} {y[1]}", f"{x[2]} {y[2]}"
             else:
-                parts = [found[w] for w in s]
-                self.known[c] = sum(x[0] for x in parts), " ".join([x[1] for x in parts]), " ".join([x[2] for x in parts])
+                known[c] = found[b]
+        for c, s in other:
+            parts = [found[w] for w in s]
+            self.blank |= not parts
+            known[c] = parts[0] if len(parts) == 1 else (sum(x[0] for x in parts), " ".join([x[1] for x in parts]), " ".join([x[2] for x in parts]))
 
     def texts(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """For each text: number of ids, the ids in decimal joined by one space, the decoded text."""
         split = [t.encode("utf-8").split() if t else [] for t in texts]
-        self.learn({c for s in split for c in s})
-        known = self.known
+        self.learn(set().union(*split))
         for s in split:
-            got = [x for c in s if (x := known[c])[0]]
-            yield sum(x[0] for x in got), " ".join([x[1] for x in got]), " ".join([x[2] for x in got])
+            got = list(map(self.known.__getitem__, s))
+            if self.blank:
+                got = [x for x in got if x[0]]
+            sizes, ids, tokens = zip(*got, strict=True) if got else ((), (), ())
+            yield sum(sizes), " ".join(ids), " ".join(tokens)
 
 
 def default_vocabulary() -> str:
@@ -220,8 +241,8 @@ def encode_decode(docs: DataFrame, path: str | None = None, keep: tuple[str, ...
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
                 rows = list(own.texts(part.column(len(keep)).to_pylist()))
                 arrays = [*part.columns[: len(keep)], pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "n_tokens", "ids", "decoded"])

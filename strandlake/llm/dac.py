@@ -26,6 +26,8 @@ from .common import Scratch, partitions
 BLOCK = 512
 #: A segment is closed once it holds so many ids (a longer document is a segment of its own).
 SEGMENT = 1 << 20
+#: Chunks of text in each of the two generations that a worker keeps ids of.
+CACHE = 600_000
 POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 SCHEMA = "shard int, segment int, n_ids long, doc_ids binary, has_id binary, starts binary, chunks array<binary>, bitmaps array<binary>, ranks array<binary>"
 
@@ -96,39 +98,36 @@ class Codes:
         return out
 
 
-_IDS: dict[str, dict[bytes, bytes]] = {}
-_LIBRARY: dict[str, object] = {}
+_IDS: dict[str, list[dict[bytes, bytes]]] = {}
+_LETTERS = bpe.byte_letters()
 
 
 def library_ids(path: str, texts: list[str | None]) -> list[np.ndarray]:
     """Ids that the tokenizers library gives each whole text, without special tokens added.
 
-    The pre-tokenizer drops white space and no rule looks across it, so a text is encoded chunk by chunk
-    and a worker keeps the ids of the chunks that it has met (two bounded generations).
+    The pre-tokenizer drops white space and no rule looks across it, so a text is encoded chunk by chunk and a worker keeps the ids of the
+    chunks that it has met (two bounded generations). New chunks go through the library's normaliser, pre-tokenizer and model, each word once.
     """
-    if path not in _LIBRARY:
-        from tokenizers import Tokenizer
-
-        _LIBRARY[path] = own = Tokenizer.from_file(path)
-        own.no_padding()
-        own.no_truncation()
-        _IDS[path], _IDS[path + "|old"] = {}, {}
-    known, old, split = _IDS[path], _IDS[path + "|old"], [t.encode("utf-8").split() if t else [] for t in texts]
-    if len(known) > bpe.CACHE:
-        old = _IDS[path + "|old"] = known
-        known = _IDS[path] = {}
-    new = []
-    for c in {c for s in split for c in s}:
-        if c not in known:
-            if (x := old.get(c)) is None:
-                new.append(c)
-            else:
-                known[c] = x
-    for k in range(0, len(new), 4096):
-        part = new[k : k + 4096]
-        for c, e in zip(part, _LIBRARY[path].encode_batch_fast([c.decode("utf-8") for c in part], add_special_tokens=False), strict=True):
-            known[c] = np.array(e.ids, "<u4").tobytes()
-    return [np.frombuffer(b"".join([known[c] for c in s]), "<u4") for s in split]
+    codec = bpe.codec(path)
+    known, old = _IDS.setdefault(path, [{}, {}])
+    if len(known) > CACHE:
+        known, old = _IDS[path] = [{}, known]
+    split = [t.encode("utf-8").split() if t else [] for t in texts]
+    missing = set().union(*split).difference(known)
+    again = missing.intersection(old)
+    known.update((c, old[c]) for c in again)
+    plain, other, words = codec.split(list(missing - again))
+    model, found = codec.parts.model, {b"": b""}
+    for w in words:
+        if w in known and w.isalpha():
+            found[w] = known[w]
+            continue
+        tokens = model.tokenize(w.decode() if w.isascii() and w.isalpha() else "".join([_LETTERS[b] for b in w]))
+        found[w] = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+    known.update((c, found[b] + found[t]) for c, b, t in plain)
+    for c, s in other:
+        known[c] = b"".join([w.to_bytes(4, "little") if isinstance(w, int) else found[w] for w in s])
+    return [np.frombuffer(b"".join(map(known.__getitem__, s)), "<u4") for s in split]
 
 
 def write(docs: DataFrame, target: str, vocabulary: str | None = None, end: int | None = 2) -> None:
@@ -161,8 +160,8 @@ def write(docs: DataFrame, target: str, vocabulary: str | None = None, end: int
 
         tail = np.array([] if end is None else [end], "<u4")
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, 2048):
+                part = batch.slice(k, 2048)
                 for d, x in zip(part.column(0).to_pylist(), library_ids(vocabulary, part.column(1).to_pylist()), strict=True):
                     ids.append(np.concatenate([x, tail]))
                     docs_.append(d)
