@@ -1,15 +1,18 @@
 """Removal of byte strings that occur more than once anywhere, found with suffix arrays.
 
 A suffix array over the whole corpus would be one sequential structure, so the suffixes are first dealt to tasks such that equal
-strings of LENGTH bytes meet: the anchor of such a string is its 32-byte gram of least hash (the leftmost), every string has one anchor, and
-equal strings have equal anchors at equal places. Anchors whose gram occurs once are done. Around the others, the stretch that
-holds the strings of that anchor goes to the task of the gram's hash. Each task builds the suffix array of its distinct stretches
-in two stages: suffixes smaller than their successors are sorted directly, the rest is induced from them by a scan of the buckets
+strings of LENGTH bytes meet: the anchor of such a string is its gram of GRAM bytes of least hash (the leftmost), every string has one anchor, and
+equal strings have equal anchors at equal places. Anchors whose gram occurs once are done. Around the others stands the stretch that
+holds the strings of that anchor. Equal stretches are repeats as a whole; one of each goes on, if its gram has stretches of other forms, to
+the task of the gram's hash. A gram with more than HOT stretches is a passage that very many texts share: its strings get a second anchor, for
+which the grams of that passage come last, so what lies across the passage's ends is dealt out by what stands beside it. Each task builds the
+suffix array of its distinct stretches in two stages: suffixes smaller than their successors are sorted directly, the rest is induced from them by a scan of the buckets
 of first symbols. Neighbours in the array with a common prefix of LENGTH bytes are repeats.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +22,13 @@ from pyspark.sql import functions as F
 
 from .common import U64, Scratch, mix64, partitions
 
-LENGTH, GRAM = 400, 32
+LENGTH, GRAM = 400, 160
 #: Texts are scanned for anchors in pieces of so many bytes that overlap by LENGTH - 1 (memory bound).
 PIECE = 1 << 22
+#: A suffix array takes further grams until it has so many bytes (memory bound).
+ARRAY = 1 << 19
+#: Distinct stretches of one gram from which it gets second anchors.
+HOT = 1000
 _BASE = U64(0xD1342543DE82EF95)
 _INVERSE = U64(pow(0xD1342543DE82EF95, -1, 1 << 64))
 _BYTE = mix64(np.arange(1, 257, dtype=U64))
@@ -35,21 +42,32 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+def prefix_sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running polynomial sums and the factors that bring a difference of them to its position."""
+    up, down = powers(len(raw) + 1)
+    return np.concatenate([[U64(0)], np.cumsum(_BYTE[raw] * up[: len(raw)])]), down
+
+
 def gram_hashes(raw: np.ndarray, length: int) -> np.ndarray:
     """Hash of the `length` bytes from each position on."""
-    up, down = powers(len(raw) + 1)
-    total = np.concatenate([[U64(0)], np.cumsum(_BYTE[raw] * up[: len(raw)])])
+    total, down = prefix_sums(raw)
     return mix64((total[length:] - total[:-length]) * down[: len(raw) - length + 1])
 
 
-def anchors(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> list[np.ndarray]:
-    """Gram hash, first and last string start for each anchor, in order; together the ranges hold every start once."""
-    out: list[list[np.ndarray]] = [[], [], []]
+def anchors(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM, late: np.ndarray | None = None) -> list[np.ndarray]:
+    """Gram hash, first and last string start and hash of the stretch for each anchor, in order; together the ranges hold every start once.
+
+    late: sorted hashes of grams that come after all others.
+    """
+    out: list[list[np.ndarray]] = [[], [], [], []]
     for at in range(0, max(len(raw) - length + 1, 0), PIECE):
         part = raw[at : at + PIECE + length - 1]
-        g = gram_hashes(part, gram)
+        total, down = prefix_sums(part)
+        g = mix64((total[gram:] - total[:-gram]) * down[: len(part) - gram + 1])
         window = length - gram + 1
-        low = (g & ~U64((1 << 23) - 1)) | np.arange(len(g), dtype=U64)
+        low = (g & U64((1 << 63) - (1 << 23))) | np.arange(len(g), dtype=U64)
+        if late is not None and len(late):
+            low[late[np.minimum(np.searchsorted(late, g), len(late) - 1)] == g] |= U64(1 << 63)
         span = 1
         while span * 2 <= window:
             low = np.minimum(low[:-span], low[span:])
@@ -58,9 +76,10 @@ def anchors(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> list[np.
             low = np.minimum(low[: len(low) - (window - span)], low[window - span :])
         first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
         last = np.append(first[1:], len(low)) - 1
-        for o, x in zip(out, (g[(low[first] & U64((1 << 23) - 1)).astype(np.int64)], first + at, last + at), strict=True):
+        form = mix64((total[last + length] - total[first]) * down[first] + (last - first).astype(U64))
+        for o, x in zip(out, (g[(low[first] & U64((1 << 23) - 1)).astype(np.int64)], first + at, last + at, form), strict=True):
             o.append(x)
-    return [np.concatenate([*o, np.empty(0, t)]) for o, t in zip(out, (U64, np.int64, np.int64), strict=True)]
+    return [np.concatenate([*o, np.empty(0, t)]) for o, t in zip(out, (U64, np.int64, np.int64, U64), strict=True)]
 
 
 def two_stage(sym: np.ndarray, depth: int, same: np.ndarray) -> np.ndarray:
@@ -176,39 +195,49 @@ RANGES = pa.schema([("cls", pa.int64()), ("first", pa.int64()), ("last", pa.int6
 
 
 def judge(length: int):
-    """Task over the stretches of some grams: ranges of string starts that also occur elsewhere."""
+    """Task over the stretches of some grams: ranges of string starts that also occur elsewhere, for stretches of one owner."""
 
     def run(table: pa.Table) -> pa.Table:
-        owners: dict[tuple[int, bytes], set[tuple[int, int]]] = {}
-        for g, cls, first, stretch in zip(*(table.column(c).to_pylist() for c in ("gram", "cls", "first", "stretch")), strict=True):
-            owners.setdefault((g, stretch), set()).add((cls, first))
-        kinds: dict[int, int] = {}
-        for g, _ in owners:
-            kinds[g] = kinds.get(g, 0) + 1
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("gram", "cls", "first", "single", "stretch")), strict=True), key=lambda r: r[0])
+        count = Counter(r[0] for r in rows)
+        rows = [r for r in rows if count[r[0]] > 1]
         found: list[tuple[int, int, int]] = []
-        for (_, s), own in owners.items():
-            if len(own) > 1:
-                found += [(cls, first, first + len(s) - length) for cls, first in own]
-        todo = [(k, own) for k, own in owners.items() if kinds[k[0]] > 1]
-        # stretches of one gram stay together; each array is bounded unless one gram alone is larger
-        todo.sort(key=lambda x: x[0][0])
-        part: list[tuple[tuple[int, bytes], set]] = []
-        held = 0
-        for k, item in enumerate(todo):
-            part.append(item)
-            held += len(item[0][1])
-            if k + 1 == len(todo) or held > 1 << 21 and todo[k + 1][0][0] != item[0][0]:
-                # equal strings of different grams don't exist, so a shared array only saves calls
-                for (_, own), flags in zip(part, repeats([x[0][1] for x in part], length), strict=True):
-                    if len(own) == 1 and flags.any():
-                        ((cls, first),) = own
+        begin, held = 0, 0
+        for k, row in enumerate(rows):
+            held += len(row[4])
+            # the stretches of one gram stay together; those of others don't hold equal strings, so a shared array only saves calls
+            if k + 1 == len(rows) or held > ARRAY and rows[k + 1][0] != row[0]:
+                part = rows[begin : k + 1]
+                for (_, cls, first, single, _), flags in zip(part, repeats([r[4] for r in part], length), strict=True):
+                    if single:
                         found += [(cls, first + int(a), first + int(b)) for a, b in zip(*runs(flags), strict=True)]
-                part, held = [], 0
+                begin, held = k + 1, 0
         return pa.table([pa.array(c) for c in zip(*found, strict=True)], schema=RANGES) if found else RANGES.empty_table()
 
     return run
 
 
+def second_anchors(length: int, gram: int):
+    """Task that cuts the stretches of hot grams by second anchors, with the grams of the passage last."""
+    names = ["gram", "cls", "first", "last", "form", "stretch"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late: dict[int, np.ndarray] = {}
+        for batch in batches:
+            out: list[tuple] = []
+            for hot, cls, first, stretch, passage in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if hot not in late:
+                    late = {hot: np.unique(gram_hashes(np.frombuffer(passage, np.uint8), gram))}
+                raw = np.frombuffer(stretch, np.uint8)
+                for g, a, b, form in zip(*(x.tolist() for x in anchors(raw, length, gram, late[hot])), strict=True):
+                    key = int(mix64(np.array([g ^ (hot & (1 << 64) - 1)], U64)).view(np.int64)[0])
+                    out.append((key, cls, first + a, first + b, form - (1 << 63), stretch[a : b + length]))
+            kinds = [pa.int64()] * 5 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kinds[k]) for k in range(6)], names=names)
+
+    return run
+
+
 def find(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """(texts, ranges): texts has doc_id, cls, copies and text for every row; ranges has cls, first, last byte start of repeated strings.
 
@@ -223,8 +252,8 @@ def find(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
             for cls, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = np.frombuffer(text.encode(), np.uint8)
                 if len(raw) >= length:
-                    g, first, last = anchors(raw, length, gram)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), cls)), pa.array(g.view(np.int64)), pa.array(first), pa.array(last)], names=["cls", "gram", "first", "last"])
+                    g, first, last, form = anchors(raw, length, gram)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), cls)), pa.array(g.view(np.int64)), pa.array(form.view(np.int64)), pa.array(first), pa.array(last)], names=["cls", "gram", "form", "first", "last"])
 
     def packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -238,15 +267,20 @@ def find(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
         if held:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-    found = scratch.save(rows.select("cls", "text").mapInArrow(lambda it: packed(scan(it)), "cls long, gram long, first long, last long"))
-    place = F.struct("cls", "first")
-    often = found.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("gram")
-    wanted = found.join(often, "gram", "left_semi").groupBy("cls").agg(F.collect_set(F.struct("first", "last", "gram")).alias("at")).withColumnRenamed("cls", "cls2")
+    found = scratch.save(rows.select("cls", "text").mapInArrow(lambda it: packed(scan(it)), "cls long, gram long, form long, first long, last long"))
+    place = F.xxhash64("cls", "first")
+    often = found.groupBy("gram").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.min("form").alias("f1"), F.max("form").alias("f2")).where("p <> q").select("gram", (F.col("f1") != F.col("f2")).alias("several"))
+    shared = scratch.save(found.join(often, "gram"))
+    scratch.drop(found)
+    forms = shared.groupBy("gram", "form").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.min(F.struct("cls", "first", "last")).alias("one"), F.first("several").alias("several"))
+    forms = scratch.save(forms.select("gram", "form", "one", "several", (F.col("p") == F.col("q")).alias("single")))
+    whole = shared.join(forms.where("not single").select("gram", "form"), ["gram", "form"]).select("cls", "first", "last")
+    todo = forms.where("several").select("gram", "single", "one.*")
+    wanted = todo.groupBy("cls").agg(F.collect_list(F.struct("first", "last", "gram", "single")).alias("at")).withColumnRenamed("cls", "cls2")
     classes = rows.select("cls", "doc_id").groupBy("cls").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"))
     classes = scratch.save(classes)
     heads = classes.select(F.col("cls").alias("cls2"), "head")
     wanted = scratch.save(wanted.join(heads, "cls2"))
-    scratch.drop(found)
     texts = rows.join(wanted, (F.col("cls") == F.col("cls2")) & F.col("doc_id").eqNullSafe(F.col("head"))).select("cls", "text", "at")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,12 +290,20 @@ def find(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
                 raw = text.encode()
                 for j in range(0, len(at), 2000):
                     part = at[j : j + 2000]
-                    yield pa.RecordBatch.from_arrays([pa.array([a["gram"] for a in part], pa.int64()), pa.array([cls] * len(part), pa.int64()), pa.array([a["first"] for a in part], pa.int64()), pa.array([raw[a["first"] : a["last"] + length] for a in part], pa.binary())], names=["gram", "cls", "first", "stretch"])
-
-    stretches = texts.mapInArrow(cut, "gram long, cls long, first long, stretch binary")
-    bucket = F.pmod(F.col("gram"), F.lit(2 * partitions(spark)))
+                    yield pa.RecordBatch.from_arrays([pa.array([a["gram"] for a in part], pa.int64()), pa.array([cls] * len(part), pa.int64()), pa.array([a["first"] for a in part], pa.int64()), pa.array([a["single"] for a in part], pa.bool_()), pa.array([raw[a["first"] : a["last"] + length] for a in part], pa.binary())], names=["gram", "cls", "first", "single", "stretch"])
+
+    stretches = texts.mapInArrow(cut, "gram long, cls long, first long, single boolean, stretch binary")
+    stretches = scratch.save(stretches)
+    many = stretches.groupBy("gram").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("gram")
+    hot = scratch.save(stretches.join(many, "gram", "left_semi").groupBy("gram").agg(F.min("stretch").alias("passage")))
+    again = scratch.save(stretches.join(hot, "gram").select("gram", "cls", "first", "stretch", "passage").mapInArrow(second_anchors(length, gram), "gram long, cls long, first long, last long, form long, stretch binary"))
+    forms = again.groupBy("gram", "form").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.min(F.struct("cls", "first", "stretch")).alias("one"))
+    forms = scratch.save(forms.select("gram", "form", "one.*", (F.col("p") == F.col("q")).alias("single")))
+    whole = whole.unionAll(again.join(forms.where("not single").select("gram", "form"), ["gram", "form"]).select("cls", "first", "last"))
+    stretches = stretches.join(hot.select("gram"), "gram", "left_anti").unionByName(forms.drop("form"))
+    bucket = F.pmod(F.col("gram"), F.lit(4 * partitions(spark)))
     ranges = stretches.groupBy(bucket.alias("bucket")).applyInArrow(judge(length), "cls long, first long, last long")
-    listed = scratch.save(ranges.groupBy("cls").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("ranges")))
+    listed = scratch.save(ranges.unionAll(whole).groupBy("cls").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("ranges")))
     known = classes.select(F.col("cls").alias("cls2"), "copies").join(listed.withColumnRenamed("cls", "cls3"), F.col("cls2") == F.col("cls3"), "left").drop("cls3")
     return rows.join(known, F.col("cls") == F.col("cls2")).select("doc_id", "cls", "copies", "text", "ranges"), listed
 
