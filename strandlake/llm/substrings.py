@@ -103,7 +103,7 @@ def two_stage(sym: np.ndarray, depth: int, same: np.ndarray) -> np.ndarray:
     group = np.zeros(len(lead), np.int64)
     order = np.arange(len(lead))
     active = order
-    for off in range(0, depth, 7):
+    for off in range(0, depth if len(lead) else 0, 7):
         key = word[np.minimum(lead[active] + off, n + depth - 1)]
         sub = np.lexsort((key, group[active]))
         active = active[sub]
