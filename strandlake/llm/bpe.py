@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 NONE = np.int64(1) << 60
 #: Chunks in each of the two generations that a worker keeps encodings of; older ones are encoded again, results stay the same.
-CACHE = 120_000
+CACHE = 300_000
 #: Leaves of one array of trees at most (memory bound); longer words form arrays of one word.
 LEAVES = 1 << 20
 
