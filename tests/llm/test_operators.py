@@ -343,6 +343,20 @@ def test_passages(spark, docs, odd, empty):
     assert len(need - found) <= 0.02 * len(need)
 
 
+def test_very_common_passage(spark):
+    passage = sentence(900, 60)
+    got = passages.report(frame(spark, [f"{sentence(2000 + k, 30)} {passage} {sentence(4000 + k, 30)}" for k in range(1000)])).collect()
+    assert all(r.n_spans == 1 and r.component_id == 0 and abs(r.n_dup_words - 60) <= 4 for r in got)
+
+
+def test_passages_whose_leaders_are_unlike_them(spark):
+    """A fragment too short to be a passage gives all texts equal windows; passages around it are in two texts each."""
+    fragment = sentence(901, 30)
+    texts = [f"{sentence(5000 + k, 10)} {sentence(6000 + k // 2, 30)} {fragment} {sentence(7000 + k, 10)}" for k in range(300)]
+    got = by_id(passages.report(frame(spark, texts)))
+    assert all(got[k].n_spans == 1 and got[k].component_id == k // 2 * 2 for k in range(300))
+
+
 # Language
 
 def test_language_identification(spark, empty):
