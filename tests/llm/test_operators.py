@@ -343,6 +343,14 @@ def test_passages(spark, docs, odd, empty):
     assert len(need - found) <= 0.02 * len(need)
 
 
+@pytest.mark.parametrize("change", [lambda w: w[:45] + ["q1", "q2", "q3"] + w[45:], lambda w: w[:46] + ["q1"] + w[47:51] + ["q2"] + w[52:], lambda w: w[:45] + ["q1", "q2", "q3", "q4", "q5", "q6"] + w[51:]])
+def test_passages_with_wide_gaps_are_verified_as_a_whole(change):
+    for k in range(20):
+        w = sentence(300 + k, 95).split()
+        a, b = (shingle_hashes(word_hashes(" ".join(x)), 5) for x in (w, change(w)))
+        assert passages.aligned(a, b, (0, len(a) - 1, 0, len(b) - 1), 46, 0.8) == [(0, len(a) - 1, 0, len(b) - 1)]
+
+
 def test_very_common_passage(spark):
     passage = sentence(900, 60)
     got = passages.report(frame(spark, [f"{sentence(2000 + k, 30)} {passage} {sentence(4000 + k, 30)}" for k in range(1000)])).collect()
