@@ -351,6 +351,15 @@ def test_passages_with_wide_gaps_are_verified_as_a_whole(change):
         assert passages.aligned(a, b, (0, len(a) - 1, 0, len(b) - 1), 46, 0.8) == [(0, len(a) - 1, 0, len(b) - 1)]
 
 
+def test_passages_at_the_threshold_are_found(spark):
+    texts = []
+    for k in range(200):  # 52 words with one changed in the middle: Jaccard 43 / 53
+        w = sentence(10000 + k, 52).split()
+        texts += [f"{sentence(20000 + k, 20)} {' '.join(x)} {sentence(22000 + k, 20)}" for x in (w, w[:26] + ["changed"] + w[27:])]
+    got = by_id(passages.report(frame(spark, texts)))
+    assert sum(got[2 * k].n_spans > 0 and got[2 * k + 1].component_id == 2 * k for k in range(200)) >= 196
+
+
 def test_very_common_passage(spark):
     passage = sentence(900, 60)
     got = passages.report(frame(spark, [f"{sentence(2000 + k, 30)} {passage} {sentence(4000 + k, 30)}" for k in range(1000)])).collect()
