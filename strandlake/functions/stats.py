@@ -118,30 +118,38 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, by:
 def mixed_model(df: DataFrame, y: str, group: str, fixed: list[str], slope: str | None = None) -> DataFrame:
     """REML fit of y on fixed columns with a random intercept (and slope) for each group: (term, estimate, std_error).
 
-    The one group of all rows must fit a task's memory; this is for model tables of some thousand rows.
+    Rows with a null are left out. Spark sums the cross products of 1, fixed columns, slope and y for each group; the fit
+    needs no more than these sums (Woodbury form), which are one row for each group. No rows give no terms.
     """
+    names = ["intercept", *fixed]
+    extra = [slope] if slope and slope not in fixed else []
+    columns = [*fixed, *extra, y]
+    p, q = len(names), 2 if slope else 1
+    at_z = [0] + ([1 + columns.index(slope)] if slope else [])
+    at_y = len(columns)
+    values = [F.lit(1.0), *[F.col(f"`{c}`").cast("double") for c in columns]]
+    products = [(i, j) for i in range(len(values)) for j in range(i, len(values))]
+
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.column_stack([np.ones(len(pdf)), *[pdf[c].to_numpy(float) for c in fixed]])
-        target, groups = pdf[y].to_numpy(float), pdf[group].to_numpy()
-        parts = [np.flatnonzero(groups == g) for g in np.unique(groups)]
-        z = np.column_stack([np.ones(len(pdf))] + ([pdf[slope].to_numpy(float)] if slope else []))
-        q, n, p = z.shape[1], *x.shape
+        m = np.zeros((len(pdf), at_y + 1, at_y + 1))
+        for k, (i, j) in enumerate(products):
+            m[:, i, j] = m[:, j, i] = pdf[f"s{k}"].to_numpy(float)
+        n, total = m[:, 0, 0].sum(), m.sum(axis=0)
+        xx, xy, yy = total[:p, :p], total[:p, at_y], total[at_y, at_y]
+        zz, zx, zy = m[:, at_z][:, :, at_z], m[:, at_z, :p], m[:, at_z, at_y]
 
         def solve(theta):
             low = np.zeros((q, q))
             low[np.tril_indices(q)] = theta
-            g = low @ low.T
-            xvx, xvy, logdet, yvy = np.zeros((p, p)), np.zeros(p), 0.0, 0.0
-            for i in parts:
-                v = z[i] @ g @ z[i].T + np.eye(len(i))
-                inv = np.linalg.inv(v)
-                xvx += x[i].T @ inv @ x[i]
-                xvy += x[i].T @ inv @ target[i]
-                yvy += target[i] @ inv @ target[i]
-                logdet += np.linalg.slogdet(v)[1]
+            inner = np.eye(q) + low.T @ zz @ low  # inv(I + Z G Z') = I - Z L inv(I + L' Z'Z L) L' Z'
+            bx, by = low.T @ zx, (low.T @ zy[:, :, None])[:, :, 0]
+            kx, ky = np.linalg.solve(inner, bx), np.linalg.solve(inner, by[:, :, None])[:, :, 0]
+            xvx = xx - np.einsum("gqi,gqj->ij", bx, kx)
+            xvy = xy - np.einsum("gqi,gq->i", bx, ky)
+            yvy = yy - np.einsum("gq,gq->", by, ky)
             beta = np.linalg.solve(xvx, xvy)
             rss = yvy - beta @ xvy
-            return beta, xvx, rss, (n - p) * math.log(max(rss, 1e-300)) + logdet + np.linalg.slogdet(xvx)[1]
+            return beta, xvx, rss, (n - p) * math.log(max(rss, 1e-300)) + np.linalg.slogdet(inner)[1].sum() + np.linalg.slogdet(xvx)[1]
 
         theta = np.eye(q)[np.tril_indices(q)].astype(float)
         step, best = 0.5, solve(theta)[3]
@@ -156,10 +164,10 @@ def mixed_model(df: DataFrame, y: str, group: str, fixed: list[str], slope: str
             step = step if moved else step / 2
         beta, xvx, rss, _ = solve(theta)
         errors = np.sqrt(np.diag(np.linalg.inv(xvx)) * rss / (n - p))
-        return pd.DataFrame({"term": ["intercept", *fixed], "estimate": beta, "std_error": errors})
+        return pd.DataFrame({"term": names, "estimate": beta, "std_error": errors})
 
-    columns = [y, group, *fixed] + ([slope] if slope and slope not in fixed else [])
-    return df.select(*columns).groupBy().applyInPandas(lambda pdf: fit(pdf), "term string, estimate double, std_error double")
+    sums = df.dropna(subset=[y, group, *fixed, *extra]).groupBy(group).agg(*[F.sum(values[i] * values[j]).alias(f"s{k}") for k, (i, j) in enumerate(products)])
+    return sums.drop(group).groupBy().applyInPandas(lambda pdf: fit(pdf), "term string, estimate double, std_error double")
 
 
 def signature_weights(spectra: DataFrame, signatures: DataFrame, by: str = "sample") -> DataFrame:

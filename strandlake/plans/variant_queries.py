@@ -184,5 +184,5 @@ def q47(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q58_mixed_model")
 def q58(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "orders").where("o_custkey <= 60").selectExpr("cast(o_totalprice / 1000 AS double) AS y", "o_custkey % 12 AS lineage", "cast(year(o_orderdate) - 1992 AS double) AS passage", "cast(o_custkey % 2 AS double) AS genotype")
+    rows = table(spark, d, "orders").selectExpr("cast(o_totalprice / 1000 AS double) AS y", "o_custkey % 12 AS lineage", "cast(year(o_orderdate) - 1992 AS double) AS passage", "cast(o_custkey % 2 AS double) AS genotype")
     return stats.mixed_model(rows.withColumn("interaction", F.col("passage") * F.col("genotype")), "y", "lineage", ["passage", "genotype", "interaction"])

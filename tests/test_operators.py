@@ -2,12 +2,15 @@
 
 import gzip
 import struct
+from datetime import date
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandlake.functions import stats
 from strandlake.operators import cells, codes, coverage, intervals, logs, qc, reads, variants
+from strandlake.plans.catalog import QUERIES
 from strandlake.sources import binary, readers, writers
 
 FLAGS = [99, 147, 77, 141, 73, 133, 2147, 355, 1123]
@@ -213,6 +216,41 @@ def test_mixed_model_without_group_effect(spark):
     assert got["x"] == pytest.approx(3, abs=0.01) and got["intercept"] == pytest.approx(2, abs=0.1)
 
 
+@pytest.mark.parametrize("slope", [None, "x"])
+def test_mixed_model_equals_dense_matrices(spark, slope):
+    r = np.random.default_rng(3)
+    g = r.integers(0, 7, 100)
+    x = r.normal(size=100) + 3
+    target = 2 + 3 * x + r.normal(size=7)[g] * 2 + (r.normal(size=7)[g] * x if slope else 0) + r.normal(size=100)
+    got = {row.term: row for row in stats.mixed_model(spark.createDataFrame([(float(a), int(b), float(c)) for a, b, c in zip(target, g, x, strict=True)], "y double, g int, x double"), "y", "g", ["x"], slope).collect()}
+    a, z = np.column_stack([np.ones(100), x]), np.column_stack([np.ones(100)] + ([x] if slope else []))
+
+    def dense(theta):
+        low = np.zeros((z.shape[1], z.shape[1]))
+        low[np.tril_indices(len(low))] = theta
+        v = np.eye(100) + np.where(g[:, None] == g, z @ low @ low.T @ z.T, 0)
+        xvx, xvy = a.T @ np.linalg.solve(v, a), a.T @ np.linalg.solve(v, target)
+        beta = np.linalg.solve(xvx, xvy)
+        rss = target @ np.linalg.solve(v, target) - beta @ xvy
+        return 98 * np.log(rss) + np.linalg.slogdet(v)[1] + np.linalg.slogdet(xvx)[1], beta, np.sqrt(np.diag(np.linalg.inv(xvx)) * rss / 98)
+
+    best, step = np.ones(3 if slope else 1), 0.5
+    while step > 1e-4:
+        trials = [best + d * np.eye(len(best))[k] for k in range(len(best)) for d in (step, -step)]
+        least = min(trials, key=lambda t: dense(t)[0])
+        best, step = (least, step) if dense(least)[0] < dense(best)[0] - 1e-9 else (best, step / 2)
+    _, beta, errors = dense(best)
+    assert [got[t].estimate for t in ("intercept", "x")] == pytest.approx(list(beta), rel=1e-3) and [got[t].std_error for t in ("intercept", "x")] == pytest.approx(list(errors), rel=1e-2)
+
+
+def test_mixed_model_query_takes_all_orders(spark, tmp_path):
+    rows = [(c, 1000.0 * (c % 12 + 10 * (c > 60) + k), date(1992 + k, 1, 1 + c % 7)) for c in range(1, 121) for k in range(5)]
+    orders = spark.createDataFrame(rows, "o_custkey long, o_totalprice double, o_orderdate date")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.term: r.estimate for r in QUERIES["q58_mixed_model"](spark, str(tmp_path)).collect()}
+    assert got["intercept"] + got["genotype"] / 2 == pytest.approx(5.5 + 5, abs=0.1)
+
+
 def test_signature_weights(spark):
     sig = spark.createDataFrame([("a", "x", 0.7), ("a", "y", 0.3), ("b", "x", 0.1), ("b", "y", 0.9)], "signature string, context string, share double")
     spec = spark.createDataFrame([("s", "x", 70 + 5), ("s", "y", 30 + 45)], "sample string, context string, n long")
