@@ -114,8 +114,9 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, least: float = 0.8, bands:
     """(doc_id, component): documents in groups of near copies, found by equal bands and verified by the Jaccard of their shingle sets.
 
     Signatures are cut into bands; in each band's bucket every text meets the bucket's least text, so a bucket
-    of g copies makes g candidates. Equal texts are one class and meet once. Candidates whose exact Jaccard is below `least`
-    go. Each distinct text is fetched once for each of its candidate pairs. Documents without words link with nothing
+    of g copies makes g candidates. A text that isn't linked to that one then meets all texts of the bucket. Equal texts are one
+    class and meet once. Candidates whose exact Jaccard is below `least` go. Each distinct text is fetched once for each of
+    its candidate pairs. Documents without words link with nothing
     but equal texts; rows with null doc_id are left out.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "minhash")
@@ -129,8 +130,6 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, least: float = 0.8, bands:
     buckets = scratch.save(sigs.select("doc_id", cut.alias("b")).select("doc_id", F.xxhash64("b.band", "b.value").alias("bucket")))
     heads = buckets.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
     pairs = scratch.save(buckets.join(heads, "bucket").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct())
-    both = pairs.join(classes.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(classes.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -140,6 +139,18 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, least: float = 0.8, bands:
                 keep.append(both >= least * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    links = both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(classes.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(classes.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+        return scratch.save(both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"))
+
+    links = verified(pairs)
+    linked = scratch.save(components(links, scratch))
+    of_text = linked.select(F.col("id").alias("doc_id"), "component")
+    of_head = linked.select(F.col("id").alias("a"), F.col("component").alias("head_component"))
+    others = buckets.join(heads, "bucket").where("a <> doc_id").join(of_text, "doc_id", "left").join(of_head, "a", "left")
+    rest = scratch.save(others.where("component is null or head_component is null or component <> head_component").select("bucket", "doc_id"))
+    every = buckets.join(heads, "bucket").where("a <> doc_id").select("bucket", F.col("doc_id").alias("other"))
+    left = rest.join(every, "bucket").where("doc_id <> other").select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+    links = links.unionAll(verified(left.join(pairs, ["a", "b"], "left_anti")))
     found = components(links.unionAll(members.select(F.col("head").alias("a"), F.col("doc_id").alias("b"))), scratch)
     return texts.select("doc_id").join(found, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))

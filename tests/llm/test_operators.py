@@ -155,6 +155,19 @@ def test_minhash_near_duplicates(spark):
 
 # Line dedup
 
+def test_minhash_near_duplicates_of_one_template(spark):
+    """Texts of one template are at 0.7 or so to each other, pairs of them over 0.8."""
+    r, texts, base = random.Random(8), [], sentence(950, 300).split()
+    for k in range(150):
+        at = r.sample(range(300), 9)
+        texts += [" ".join(f"own{k}x{i}" if i in at[:n] else w for i, w in enumerate(base)) for n in (5, 9)]
+    sets = [set(shingle_hashes(word_hashes(t), 5).tolist()) for t in texts]
+    near = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = by_id(fingerprints.near_duplicates(frame(spark, texts)))
+    expected = roots(len(texts), near)
+    assert len(set(expected)) > 100 and [got[k].component for k in range(len(texts))] == expected
+
+
 def test_line_dedup_equals_sql(spark, docs):
     c = duckdb.connect()
     for df in (docs.select("doc_id", "text"), frame(spark, ODD).select("doc_id", "text")):
