@@ -198,3 +198,11 @@ def signature_weights(spectra: DataFrame, signatures: DataFrame, by: str = "samp
         return pd.DataFrame({by: pdf[by].iloc[0], "signature": table.columns, "weight": x})
 
     return spectra.groupBy(by).applyInPandas(fit, f"{by} string, signature string, weight double")
+
+
+def combined(df: DataFrame, terms: list[str], name: str = "combined") -> DataFrame:
+    """Adds the sum of some coefficients, such as that of passage and that of its interaction with the genotype."""
+    total = F.col(terms[0])
+    for t in terms[1:]:
+        total = total + F.col(t)
+    return df.withColumn(name, total)

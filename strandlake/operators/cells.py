@@ -69,7 +69,7 @@ def last_code(barcode: Column) -> Column:
 
 def amplification_label(cells: DataFrame, methods: DataFrame) -> DataFrame:
     """Adds `method` by the last code; null if it is in no list."""
-    return cells.withColumn("seq", last_code(F.col("barcode"))).join(F.broadcast(methods), "seq", "left").drop("seq")
+    return cells.withColumn("seq", last_code(F.col("barcode"))).join(methods, "seq", "left").drop("seq")
 
 
 def best_k(df: DataFrame, by: list[str], value: str, key: str, k: int = 6) -> DataFrame:
@@ -77,7 +77,19 @@ def best_k(df: DataFrame, by: list[str], value: str, key: str, k: int = 6) -> Da
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(value, key))).where(F.col("place") <= k)
 
 
+def numbered(df: DataFrame, order: list[str], parts: int = 64) -> DataFrame:
+    """Adds rn, the place from 0 in ascending order over the whole table, without a window over all rows: ranges of the first column, cut at its
+    approximate quantiles, are numbered by themselves and begin where the ones before end. The first column is a number."""
+    cuts = df.agg(F.percentile_approx(order[0], [k / parts for k in range(1, parts)]).alias("q")).first()[0] or []
+    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(order[0]))) if cuts else F.lit(0)
+    rows = df.withColumn("__part", F.coalesce(bucket, F.lit(0)))
+    sizes = rows.groupBy(F.col("__part").alias("__p")).agg(F.count("*").alias("__n"))
+    sizes = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    placed = rows.join(sizes, F.col("__part") == F.col("__p"))
+    return placed.withColumn("rn", F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1 + F.col("__before")).select(*df.columns, "rn")
+
+
 def systematic(df: DataFrame, order: list[str], most: int = 50) -> DataFrame:
     """Every max(1, n div most)-th row in the order."""
-    numbered = df.withColumn("rn", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("step", F.greatest(F.lit(1).cast("long"), F.floor(F.count("*").over(Window.partitionBy()) / most)))
-    return numbered.where(F.col("rn") % F.col("step") == 0).drop("step")
+    step = df.agg(F.greatest(F.lit(1).cast("long"), F.floor(F.count("*") / most)).alias("step"))
+    return numbered(df, order).crossJoin(step).where(F.col("rn") % F.col("step") == 0).drop("step")

@@ -55,14 +55,16 @@ def split_codes(df: DataFrame, seq: str = "seq2") -> DataFrame:
 def correct(df: DataFrame, whitelist: DataFrame, ignore_overhangs: bool = False, seq: str = "seq2", qual: str | None = "qual2") -> DataFrame:
     """Adds ok, the corrected barcode (null if not ok), insert and its quality.
 
-    Each code must lie within distance 1 of a whitelisted one (four broadcast look-ups in the neighbour table) and each overhang within
-    distance 1 of its constant unless they are ignored. Reads shorter than a 45-mer are not ok.
+    Each code must lie within distance 1 of a whitelisted one (four look-ups in the neighbour table) and each overhang within
+    distance 1 of its constant unless they are ignored. Reads shorter than a 45-mer are not ok. The neighbour table is made once, on the
+    driver: 33 strings for each whitelisted code, of which there are a few hundred (4^8 a position at most).
     """
     out = split_codes(df, seq)
-    table = neighbours(whitelist)
+    made = neighbours(whitelist)
+    table = df.sparkSession.createDataFrame(made.collect(), made.schema)
     for p in POSITIONS:
         own = table.where(F.col("position") == p).select(F.col("observed").alias(f"code_{p}"), F.col("corrected").alias(f"fixed_{p}"))
-        out = out.join(F.broadcast(own), f"code_{p}", "left")
+        out = out.join(own, f"code_{p}", "left")
     ok = F.length(seq) >= LENGTH
     for p, (o, _) in OVERHANGS.items():
         ok = ok & F.col(f"fixed_{p}").isNotNull()
@@ -103,7 +105,7 @@ def expand_wells(specs: DataFrame, plate: DataFrame, position: str) -> DataFrame
     legal = s.rlike(r"^([A-H]|\d+|[A-H]\d+)$") & ((col == "") | col.isin(*map(str, COLUMNS[position])))
     parsed = specs.select("condition", "ord", F.when(legal, row).otherwise(F.raise_error(F.concat(F.lit("no such well: "), "spec"))).alias("want_row"), F.when(legal, col).alias("want_col"))
     match = ((F.col("want_row") == "") | (F.col("want_row") == F.col("row"))) & ((F.col("want_col") == "") | (F.col("want_col") == F.col("col").cast("string")))
-    return parsed.join(F.broadcast(own), match).select("condition", "ord", "row", "col", "seq")
+    return parsed.join(own, match).select("condition", "ord", "row", "col", "seq")
 
 
 def code_conditions(wells: DataFrame, strict: bool = False) -> DataFrame:
@@ -122,7 +124,7 @@ def conflicts(wells: DataFrame) -> DataFrame:
 def assign_conditions(df: DataFrame, conditions: DataFrame, position: str = "A", default: str = "Unassigned", barcode: str = "barcode") -> DataFrame:
     """Adds condition by the code at a position of each barcode."""
     seq = F.substring(barcode, OFFSETS[position], CODE)
-    return df.withColumn("seq", seq).join(F.broadcast(conditions), "seq", "left").withColumn("condition", F.coalesce("condition", F.lit(default))).drop("seq")
+    return df.withColumn("seq", seq).join(conditions, "seq", "left").withColumn("condition", F.coalesce("condition", F.lit(default))).drop("seq")
 
 
 def condition_counts(assigned: DataFrame) -> DataFrame:

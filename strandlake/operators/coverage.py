@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import bins
+from .intervals import bins, merge
+from .reads import DUPLICATE, SECONDARY, SUPPLEMENTARY, UNMAPPED, lacks
 
 
 def bin_spine(contigs: DataFrame, width: int = 1000) -> DataFrame:
@@ -14,39 +15,58 @@ def bin_spine(contigs: DataFrame, width: int = 1000) -> DataFrame:
     return contigs.where("length > 0").select("chrom", "length", start).select("chrom", "bin_start", F.least(F.col("bin_start") + width, F.col("length")).alias("bin_end"))
 
 
+def bin_counts(reads: DataFrame, width: int = 1000, by: str = "cell") -> DataFrame:
+    """(by, chrom, bin_start, value): reads that touch each bin; bins without a read are not listed."""
+    return reads.withColumn("bin", F.explode(bins(F.col("pos0"), F.col("pos1"), width))).groupBy(by, "chrom", (F.col("bin") * width).alias("bin_start")).agg(F.count("*").alias("value"))
+
+
+def number_of_bins(contigs: DataFrame, width: int = 1000) -> int:
+    """Bins of all contigs, one number."""
+    return contigs.agg(F.coalesce(F.sum(F.ceil(F.col("length") / width)), F.lit(0)).cast("long")).first()[0]
+
+
 def binned(reads: DataFrame, contigs: DataFrame, width: int = 1000, by: str = "cell") -> DataFrame:
-    """(by, chrom, bin_start, bin_end, value): reads that touch each bin, 0 included, for every group that has a read."""
-    counts = reads.withColumn("bin", F.explode(bins(F.col("pos0"), F.col("pos1"), width))).groupBy(by, "chrom", (F.col("bin") * width).alias("bin_start")).agg(F.count("*").alias("value"))
+    """(by, chrom, bin_start, bin_end, value): reads that touch each bin, 0 included, for every group that has a read. For an export; gini and lorenz
+    take bin_counts and the number of bins."""
     groups = reads.select(by).distinct()
-    return groups.crossJoin(F.broadcast(bin_spine(contigs, width))).join(counts, [by, "chrom", "bin_start"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
+    return groups.crossJoin(bin_spine(contigs, width)).join(bin_counts(reads, width, by), [by, "chrom", "bin_start"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
+
+
+def _ranked(values: DataFrame, by: str, value: str, n: int | None) -> DataFrame:
+    """(by, i, cum, total, n, zeros) in ascending order; n: number of values with the zeros that are not listed, which come first."""
+    up = Window.partitionBy(by).orderBy(value)
+    group = Window.partitionBy(by)
+    listed = F.count("*").over(group)
+    zeros = F.lit(n) - listed if n is not None else F.lit(0)
+    return values.select(by, (F.row_number().over(up) + zeros).cast("long").alias("i"), F.sum(value).over(up.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("cum"), F.sum(value).over(group).alias("total"), (F.lit(n) if n is not None else listed).cast("long").alias("n"), zeros.cast("long").alias("zeros"))
 
 
-def gini(values: DataFrame, by: str = "cell", value: str = "value", drop_zeros: bool = False) -> DataFrame:
+def gini(values: DataFrame, by: str = "cell", value: str = "value", drop_zeros: bool = False, n: int | None = None) -> DataFrame:
     """Gini coefficient of each group from its Lorenz curve by trapezoids; null if the total is 0.
 
-    The curve starts with a doubled 0, so the first share counts once more than in the textbook form.
+    The curve starts with a doubled 0, so the first share counts once more than in the textbook form. n: the number of values of each group
+    if only those above 0 are listed.
     """
     rows = values.where(F.col(value) > 0) if drop_zeros else values
-    up = Window.partitionBy(by).orderBy(value)
-    group = Window.partitionBy(by)
-    share = rows.select(by, F.row_number().over(up).alias("i"), F.sum(value).over(up.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("cum"), F.sum(value).over(group).alias("total"), F.count("*").over(group).alias("n"))
     c = F.try_divide(F.col("cum").cast("double"), F.col("total"))
-    agg = share.groupBy(by).agg(F.sum(c).alias("sum"), F.min(F.when(F.col("i") == 1, c)).alias("first"), F.max("n").alias("n"))
-    return agg.select(by, (1 - 2 / F.col("n") * (F.col("sum") - (F.col("first") + 1) / 2)).alias("gini"))
+    agg = _ranked(rows, by, value, n).groupBy(by).agg(F.sum(c).alias("sum"), F.coalesce(F.min(F.when(F.col("i") == 1, c)), F.lit(0.0)).alias("first"), F.max("n").alias("n"), F.max("total").alias("total"))
+    return agg.select(by, F.when(F.col("total") > 0, 1 - 2 / F.col("n") * (F.col("sum") - (F.col("first") + 1) / 2)).alias("gini"))
 
 
-def lorenz(values: DataFrame, by: str = "cell", value: str = "value", points: int = 100) -> DataFrame:
-    """The Lorenz curve of each group at `points` equal steps of the genome share, linearly interpolated."""
-    up = Window.partitionBy(by).orderBy(value)
-    group = Window.partitionBy(by)
-    curve = values.select(by, F.row_number().over(up).cast("long").alias("i"), F.sum(value).over(up.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("cum"), F.sum(value).over(group).alias("total"), F.count("*").over(group).alias("n"))
-    curve = curve.select(by, "i", "n", F.try_divide(F.col("cum").cast("double"), F.col("total")).alias("c"), F.coalesce(F.lead(F.try_divide(F.col("cum").cast("double"), F.col("total"))).over(group.orderBy("i")), F.lit(1.0)).alias("next"))
+def lorenz(values: DataFrame, by: str = "cell", value: str = "value", points: int = 100, n: int | None = None) -> DataFrame:
+    """The Lorenz curve of each group at `points` equal steps of the genome share, linearly interpolated. n as in gini."""
+    ranked = _ranked(values, by, value, n).withColumn("c", F.try_divide(F.col("cum").cast("double"), F.col("total")))
+    curve = ranked.select(by, "i", "n", "zeros", "c", F.coalesce(F.lead("c").over(Window.partitionBy(by).orderBy("i")), F.lit(1.0)).alias("next"))
+    first = curve.where(F.col("i") == F.col("zeros") + 1)
+    curve = curve.select(by, "i", "n", "c", "next").unionByName(first.where("zeros > 0").select(by, F.col("zeros").alias("i"), "n", F.lit(0.0).alias("c"), F.col("c").alias("next")))
     # point j stands at r = n j / (points - 1), between the curve's elements floor(r) + 1 and floor(r) + 2; beyond the last one it is 1
     low, high = F.ceil((F.col("i") - 1) * (points - 1) / F.col("n")), F.ceil(F.col("i") * (points - 1) / F.col("n")) - 1
     j = F.explode(F.when(low <= high, F.sequence(low, high))).alias("j")
     inside = curve.select(by, "i", "n", "c", "next", j).where(F.col("j") >= 0).select(by, "j", F.when(F.col("i") == F.col("n"), 1.0).otherwise(F.col("c") + (F.col("n") * F.col("j") / (points - 1) - (F.col("i") - 1)) * (F.col("next") - F.col("c"))).alias("y"))
-    end = curve.select(by).distinct().select(by, F.lit(points - 1).cast("long").alias("j"), F.lit(1.0).alias("y"))
-    return inside.unionAll(end).select(by, (F.col("j") / (points - 1)).alias("cumulative_fraction_genome"), F.col("y").alias("cumulative_fraction_reads"))
+    last = F.ceil((F.col("zeros") - 1) * (points - 1) / F.col("n")) - 1
+    level = first.where("zeros > 1").select(by, F.explode(F.when(last >= 0, F.sequence(F.lit(0).cast("long"), last))).alias("j"), F.lit(0.0).alias("y"))
+    end = first.select(by, F.lit(points - 1).cast("long").alias("j"), F.lit(1.0).alias("y"))
+    return inside.unionAll(level).unionAll(end).select(by, (F.col("j") / (points - 1)).alias("cumulative_fraction_genome"), F.col("y").alias("cumulative_fraction_reads"))
 
 
 def depth_histogram(reads: DataFrame, by: str = "cell") -> DataFrame:
@@ -58,6 +78,13 @@ def depth_histogram(reads: DataFrame, by: str = "cell") -> DataFrame:
     return runs.where("depth > 0 and bp > 0").groupBy(by, "depth").agg(F.sum("bp").alias("bp"))
 
 
+def countable(alignments: DataFrame, least_mapq: int = 20, by: str = "cell") -> DataFrame:
+    """(by, chrom, pos0, pos1) of what depth metrics count: mapped primary records that are no duplicates and have the mapping quality; bases that
+    both mates of a template cover count once."""
+    kept = alignments.where(lacks("flag", UNMAPPED | SECONDARY | SUPPLEMENTARY | DUPLICATE) & (F.col("mapq") >= least_mapq))
+    return merge(kept, (by, "qname", "chrom")).select(by, "chrom", "pos0", "pos1")
+
+
 def wgs_metrics(reads: DataFrame, territory: int, levels: tuple[int, ...] = (1, 5, 10, 20, 30), by: str = "cell") -> DataFrame:
     """Mean, median and standard deviation of depth over the territory, shares covered at each level, callable bases at 10."""
     h = depth_histogram(reads, by)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .reads import MATE_UNMAPPED, PAIRED, SECONDARY, SUPPLEMENTARY, UNMAPPED, lacks
+
 
 def from_one_based(df: DataFrame, start: str = "start") -> DataFrame:
     """1-based inclusive coordinates as 0-based half-open ones."""
@@ -50,6 +52,26 @@ def overlapping(left: DataFrame, right: DataFrame, width: int = 16384, how: str
     return a.join(r, on, how).drop("__bin")
 
 
+def touching(left: DataFrame, sets: dict[str, DataFrame], width: int = 16384) -> DataFrame:
+    """Adds a boolean for each named set of disjoint intervals: whether the left interval overlaps one. Left rows are neither copied nor grouped.
+
+    All sets are listed by the bins from which a left interval may reach them (as in overlapping), so one join on the bin of the start answers
+    for all of them. The intervals of a bin are disjoint and so at most as many as the bin and the longest left interval have bases.
+    """
+    longest = left.agg(F.coalesce(F.max(F.col("pos1") - F.col("pos0")), F.lit(1)).alias("longest"))
+    rows = None
+    for name, df in sets.items():
+        own = df.select("chrom", F.struct("pos0", "pos1").alias("span"), F.lit(name).alias("name"))
+        rows = own if rows is None else rows.unionByName(own)
+    reach = F.explode(F.sequence(F.floor((F.col("span.pos0") - F.col("longest")) / width), F.floor((F.col("span.pos1") - 1) / width)))
+    binned = rows.crossJoin(longest).select("chrom", reach.alias("bin"), "span", "name")
+    lists = binned.groupBy("chrom", "bin").agg(*[F.collect_list(F.when(F.col("name") == n, F.col("span"))).alias(f"__{n}") for n in sets])
+    lists = lists.withColumnsRenamed({"chrom": "__chrom", "bin": "__bin"})
+    joined = left.join(lists, (F.col("chrom") == F.col("__chrom")) & (F.floor(F.col("pos0") / width) == F.col("__bin")), "left")
+    hit = lambda n: F.coalesce(F.exists(f"__{n}", lambda x: (F.col("pos0") < x["pos1"]) & (F.col("pos1") > x["pos0"])), F.lit(False)).alias(n)
+    return joined.select(*left.columns, *[hit(n) for n in sets])
+
+
 def subtract(left: DataFrame, right: DataFrame) -> DataFrame:
     """Parts of the left union that the right union doesn't cover, by a sweep over all end points."""
     def points(df: DataFrame, side: str) -> DataFrame:
@@ -70,12 +92,9 @@ def exonic_enrichment(reads: DataFrame, exons: DataFrame, genome_bp: int, by: st
     """Per cell: reads, reads that touch an exon, and the share of these minus the exons' share of the genome. No reads: share 0."""
     merged = merge(exons)
     share = total_length(merged).select((F.col("bp") / F.lit(float(genome_bp))).alias("exon_share"))
-    total = reads.groupBy(by).agg(F.count("*").alias("total_reads"))
-    hit = overlapping(reads, merged).groupBy(by).agg(F.count("*").alias("exonic_reads"))
-    joined = total.join(hit, by, "left").crossJoin(F.broadcast(share))
-    n = F.coalesce("exonic_reads", F.lit(0))
-    fraction = F.coalesce(F.try_divide(n.cast("double"), F.col("total_reads")), F.lit(0.0))
-    return joined.select(by, "total_reads", n.alias("exonic_reads"), (fraction - F.col("exon_share")).alias("enrichment"))
+    counts = touching(reads.select(by, "chrom", "pos0", "pos1"), {"exonic": merged}).groupBy(by).agg(F.count("*").alias("total_reads"), F.count_if("exonic").alias("exonic_reads"))
+    fraction = F.coalesce(F.try_divide(F.col("exonic_reads").cast("double"), F.col("total_reads")), F.lit(0.0))
+    return counts.crossJoin(share).select(by, "total_reads", "exonic_reads", (fraction - F.col("exon_share")).alias("enrichment"))
 
 
 def feature_distribution(reads: DataFrame, exons: DataFrame, genes: DataFrame) -> DataFrame:
@@ -83,9 +102,8 @@ def feature_distribution(reads: DataFrame, exons: DataFrame, genes: DataFrame) -
 
     A read at a border counts as exonic and intronic; intergenic is what touches no gene.
     """
-    introns = subtract(genes, exons)
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    row = count(reads, "total").crossJoin(count(overlapping(reads, merge(exons)), "exonic")).crossJoin(count(overlapping(reads, introns), "intronic")).crossJoin(count(overlapping(reads, merge(genes), how="left_anti"), "intergenic"))
+    flagged = touching(reads.select("chrom", "pos0", "pos1"), {"exonic": merge(exons), "intronic": subtract(genes, exons), "genic": merge(genes)})
+    row = flagged.agg(F.count("*").alias("total"), F.count_if("exonic").alias("exonic"), F.count_if("intronic").alias("intronic"), F.count_if(~F.col("genic")).alias("intergenic"))
     pct = lambda c: F.round(100 * F.try_divide(F.col(c).cast("double"), F.col("total")), 2).alias(f"{c}_pct")
     return row.select("*", pct("exonic"), pct("intronic"), pct("intergenic"))
 
@@ -95,22 +113,58 @@ def genes_from_transcripts(df: DataFrame) -> DataFrame:
     return df.groupBy("chrom", "gene_id").agg(F.min("pos0").alias("pos0"), F.max("pos1").alias("pos1"))
 
 
-def gene_counts(reads: DataFrame, exons: DataFrame, least: float = 0.5) -> DataFrame:
-    """(gene, cell, n): templates whose read lies in a gene's exons with at least `least` of its bases; reads of two genes or more are dropped."""
-    merged = merge(exons, ("chrom", "gene"))
-    pairs = overlap_join(reads.select("cell", "qname", "chrom", "pos0", "pos1"), merged)
-    shared = F.sum(F.least("pos1", "pos1_r") - F.greatest("pos0", "pos0_r"))
-    hits = pairs.groupBy("cell", "qname", "chrom", "pos0", "pos1", "gene").agg(shared.alias("bp")).where(F.col("bp") >= least * (F.col("pos1") - F.col("pos0")))
-    single = hits.groupBy("cell", "qname").agg(F.min("gene").alias("gene"), F.max("gene").alias("other")).where("gene = other")
+def fragments(reads: DataFrame, both_ends: bool = True, chimeric: bool = False) -> DataFrame:
+    """Reads that count for genes: mapped and primary (several reported places are no obstacle), of paired reads only those whose mate is mapped
+    and, unless asked, lies on the same contig."""
+    single = lacks("flag", PAIRED)
+    keep = lacks("flag", UNMAPPED | SECONDARY | SUPPLEMENTARY)
+    if both_ends:
+        keep = keep & (single | lacks("flag", MATE_UNMAPPED))
+    if not chimeric:
+        keep = keep & (single | F.coalesce((F.col("mate_chrom") == "=") | (F.col("mate_chrom") == F.col("chrom")), F.lit(False)))
+    return reads.where(keep)
+
+
+def gene_counts(reads: DataFrame, exons: DataFrame, least: float = 0.5, width: int = 16384) -> DataFrame:
+    """(gene, cell, n): fragments (records of one qname that `fragments` keeps) with at least `least` of their bases in the exons of exactly one gene.
+
+    Reads look in the bin of their start only and are not copied; exons stand in every bin from which a read could reach them.
+    """
+    kept = fragments(reads).select("cell", "qname", "chrom", "pos0", "pos1")
+    longest = kept.agg(F.coalesce(F.max(F.col("pos1") - F.col("pos0")), F.lit(1)).alias("longest"))
+    e = merge(exons, ("chrom", "gene")).crossJoin(longest)
+    reach = F.explode(F.sequence(F.floor((F.col("pos0") - F.col("longest")) / width), F.floor((F.col("pos1") - 1) / width)))
+    e = e.select("chrom", reach.alias("bin"), "gene", F.col("pos0").alias("pos0_r"), F.col("pos1").alias("pos1_r"))
+    shared = F.least("pos1", "pos1_r") - F.greatest("pos0", "pos0_r")
+    hits = kept.withColumn("bin", F.floor(F.col("pos0") / width)).join(e, ["chrom", "bin"]).where(shared > 0).groupBy("cell", "qname", "gene").agg(F.sum(shared).alias("bp"))
+    length = kept.groupBy("cell", "qname").agg(F.sum(F.col("pos1") - F.col("pos0")).alias("length"))
+    enough = hits.join(length, ["cell", "qname"]).where(F.col("bp") >= least * F.col("length"))
+    single = enough.groupBy("cell", "qname").agg(F.min("gene").alias("gene"), F.max("gene").alias("other")).where("gene = other")
     return single.groupBy("gene", "cell").agg(F.count("*").alias("n"))
 
 
 def balanced_scatter(df: DataFrame, shards: int) -> DataFrame:
-    """Adds shard 0 to shards - 1 by the running length before each interval; intervals stay whole."""
-    w = Window.orderBy("chrom", "pos0", "pos1")
-    before = F.coalesce(F.sum(F.col("pos1") - F.col("pos0")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum(F.col("pos1") - F.col("pos0")).over(Window.partitionBy())
-    return df.withColumn("shard", F.floor(before * shards / total).cast("long"))
+    """Adds shard 0 to shards - 1 by the running length before each interval; intervals stay whole.
+
+    The running length of each contig is taken by itself and starts from the sum of the contigs before, of which there is one row each.
+    """
+    length = F.col("pos1") - F.col("pos0")
+    contigs = df.groupBy(F.col("chrom").alias("__chrom")).agg(F.sum(length).alias("__length"))
+    before = F.coalesce(F.sum("__length").over(Window.orderBy("__chrom").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    contigs = contigs.select("__chrom", before.alias("__before"), F.sum("__length").over(Window.partitionBy()).alias("__total"))
+    w = Window.partitionBy("chrom").orderBy("pos0", "pos1").rowsBetween(Window.unboundedPreceding, -1)
+    running = F.coalesce(F.sum(length).over(w), F.lit(0)) + F.col("__before")
+    joined = df.join(contigs, F.col("chrom").eqNullSafe(F.col("__chrom")))
+    return joined.withColumn("shard", F.floor(running * shards / F.col("__total")).cast("long")).select(*df.columns, "shard")
+
+
+def rename_contigs(df: DataFrame, names: dict[str, str] | None = None, strip: str | None = None, column: str = "chrom") -> DataFrame:
+    """Contig names by a table (accessions to numerals, say), after a suffix from `strip` on is cut off; names that the table lacks stay."""
+    name = F.split_part(F.col(column), F.lit(strip), F.lit(1)) if strip else F.col(column)
+    if names:
+        known = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+        name = F.coalesce(F.try_element_at(known, name), name)
+    return df.withColumn(column, name)
 
 
 def contig_rank(chrom: str = "chrom") -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Metric keys of the tool's tables and the names they get.
 METRICS = {
-    "alignment_metrics": {"PCT_PF_READS_ALIGNED": "pct_reads_aligned", "MEAN_READ_LENGTH": "mean_read_length", "PF_READS_ALIGNED": "reads_aligned", "TOTAL_READS": "total_reads"},
+    "alignment_metrics": {"PCT_PF_READS_ALIGNED": "pct_reads_aligned", "MEAN_READ_LENGTH": "mean_read_length", "PF_READS_ALIGNED": "reads_aligned", "PF_READS": "total_reads"},
     "gc_summary": {"MEAN_GC": "mean_gc", "AT_DROPOUT": "at_dropout", "GC_DROPOUT": "gc_dropout"},
     "duplicate_metrics": {"PERCENT_DUPLICATION": "pct_duplicates", "READ_PAIRS_EXAMINED": "read_pairs_examined", "READ_PAIR_DUPLICATES": "read_pair_duplicates"},
     "wgs_metrics": {"MEAN_COVERAGE": "mean_coverage", "MEDIAN_COVERAGE": "median_coverage", "PCT_1X": "pct_1x", "PCT_10X": "pct_10x"},
@@ -88,6 +88,17 @@ def last_row(curve: DataFrame, by: str, order: str) -> DataFrame:
     return curve.groupBy(by).agg(F.max_by(F.struct(*[c for c in curve.columns if c != by]), order).alias("b")).select(by, "b.*")
 
 
+def wide_by_depth(rows: DataFrame, values: dict[str, str], by: str = "sample", prefix: str = "extrap") -> DataFrame:
+    """One row for each group with a column {prefix}_{depth}_{name} for each depth and value, for a sink. rows: (by, depth, columns of `values`).
+
+    The depths are one small list of targets, which names the columns.
+    """
+    labelled = rows.select(by, depth_label(F.col("depth")).alias("label"), F.col("depth"), *values)
+    labels = [r[0] for r in labelled.groupBy("label").agg(F.min("depth").alias("d")).orderBy("d").select("label").collect()]
+    out = labelled.groupBy(by).agg(*[F.max(F.when(F.col("label") == k, F.col(c))).alias(f"{prefix}_{k}_{name}") for k in labels for c, name in values.items()])
+    return out
+
+
 def fraction_unique(curve: DataFrame) -> DataFrame:
     return curve.withColumn("fraction_unique", F.try_divide(F.col("distinct_reads").cast("double"), F.col("total_reads")))
 
@@ -122,6 +133,14 @@ def funnel(summary: DataFrame) -> DataFrame:
     return out.withColumn("lost", F.col("reads") - F.lead("reads").over(Window.orderBy("step")))
 
 
+def coverage_scatter(cells: DataFrame, conditions: DataFrame | None = None, default: str = "Unassigned") -> DataFrame:
+    """(barcode, condition, mean_coverage, pct_1x) of the cells that have both figures."""
+    out = cells.where("mean_coverage is not null and pct_1x is not null").select("barcode", "mean_coverage", "pct_1x")
+    if conditions is None:
+        return out.withColumn("condition", F.lit(default))
+    return out.join(conditions.select("barcode", "condition"), "barcode", "left").withColumn("condition", F.coalesce("condition", F.lit(default)))
+
+
 def cards(summary: DataFrame, names: list[str]) -> DataFrame:
     """(card, value) in the given order; shares of at most 1 become percent."""
     values = [F.struct(F.lit(k).alias("ord"), F.lit(n).alias("card"), F.when(F.lit(n.startswith(("pct_", "rate_"))) & (F.col(n) <= 1), F.col(n) * 100).otherwise(F.col(n)).cast("double").alias("value")) for k, n in enumerate(names)]
@@ -150,3 +169,45 @@ def adjust_p_values(df: DataFrame, p: str = "p_value", by: list[str] | None = No
     n = F.count(p).over(Window.partitionBy(*group))
     raw = df.withColumn("__q", F.col(p) * n / F.rank().over(up))
     return raw.withColumn("q_value", F.least(F.lit(1.0), F.min("__q").over(Window.partitionBy(*group).orderBy(p).rangeBetween(Window.currentRow, Window.unboundedFollowing)))).drop("__q")
+
+
+def poisson_tail(k: Column, rate: Column, terms: int = 400) -> Column:
+    """P(X >= k) of a Poisson variable, from its largest term on the side of k away from the rate; `terms` of them reach full precision for rates up
+    to some thousands."""
+    upper, start = k > rate, F.when(k > rate, k).otherwise(k - 1)
+    ratio = lambda i: F.when(upper, rate / (start + i)).otherwise((start - i + 1) / rate)
+    step = lambda a, i: F.struct((a["t"] * F.greatest(ratio(i), F.lit(0.0))).alias("t"), (a["s"] + a["t"] * F.greatest(ratio(i), F.lit(0.0))).alias("s"))
+    total = F.exp(start * F.log(rate) - rate - log_factorial(start)) * F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")), step)["s"]
+    return F.when(k <= 0, 1.0).when(rate <= 0, 0.0).when(upper, F.least(F.lit(1.0), total)).otherwise(F.greatest(F.lit(0.0), 1 - total))
+
+
+def log_factorial(k: Column) -> Column:
+    """ln k! from Stirling's series at k + 8, brought down again."""
+    x = k + 8.0
+    series = x * F.log(x) - x + 0.5 * F.log(2 * 3.141592653589793 * x) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0)))
+    down = F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.lit(0.0), lambda s, i: s + F.log(k + i))
+    return series - down
+
+
+def rescue_rna(genes: DataFrame, background: DataFrame, fdr: float = 0.05, prior: tuple[float, float] = (3.0, 5.0)) -> DataFrame:
+    """RNA share of the reads in each gene of a cell. genes: (cell, gene, reads, bp); background: (cell, reads, bp) of intergenic ground.
+
+    The background rate gives the reads that DNA alone leaves in a gene; their Poisson tail is the p-value, adjusted over a cell's genes. Where it is
+    at most `fdr` the share is (excess + a) / (reads + b), within 0 and 1, else 0. A cell without background has rate 0.
+    """
+    rate = background.groupBy("cell").agg(F.try_divide(F.sum("reads").cast("double"), F.sum("bp")).alias("rate"))
+    rows = genes.join(rate, "cell", "left").withColumn("expected", F.coalesce("rate", F.lit(0.0)) * F.col("bp"))
+    rows = rows.withColumn("p_value", poisson_tail(F.col("reads").cast("double"), F.col("expected")))
+    q = adjust_p_values(rows, "p_value", ["cell"])
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("reads") - F.col("expected") + prior[0]) / (F.col("reads") + prior[1])))
+    return q.withColumn("rna_share", F.when(F.col("q_value") <= fdr, share).otherwise(0.0)).drop("rate")
+
+
+def reassign(reads: DataFrame, shares: DataFrame, seed: int = 42) -> DataFrame:
+    """Adds modality rna or dna: a read is RNA with the greatest share of the genes it lies in, drawn by the hash of its template.
+
+    reads: (cell, qname, gene), one row for each gene of a read; the result has one row for each read.
+    """
+    best = reads.join(shares.select("cell", "gene", "rna_share"), ["cell", "gene"], "left").groupBy("cell", "qname").agg(F.coalesce(F.max("rna_share"), F.lit(0.0)).alias("rna_share"))
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("qname")), F.lit(1 << 30)) / float(1 << 30)
+    return best.withColumn("modality", F.when(draw < F.col("rna_share"), "rna").otherwise("dna"))

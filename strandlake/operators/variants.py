@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import overlap_join
+
 SITE = ["chrom", "pos", "ref", "alt"]
 
 
@@ -23,7 +25,7 @@ def snps(df: DataFrame) -> DataFrame:
 def merge_sites(calls: DataFrame, samples: DataFrame) -> DataFrame:
     """Every site of any sample for every sample, one record for each allele; a sample without the site has null dp and ad."""
     sites = calls.select(*SITE).distinct()
-    return sites.crossJoin(F.broadcast(samples.select("sample").distinct())).join(calls.select("sample", *SITE, "dp", "ad"), ["sample", *SITE], "left")
+    return sites.crossJoin(samples.select("sample").distinct()).join(calls.select("sample", *SITE, "dp", "ad"), ["sample", *SITE], "left")
 
 
 def combine_alleles(calls: DataFrame) -> DataFrame:
@@ -36,10 +38,46 @@ def multiallelic(sites: DataFrame) -> DataFrame:
     return sites.withColumn("multiallelic", F.count("*").over(Window.partitionBy("chrom", "pos")) > 1)
 
 
-def call_summary(sites: DataFrame) -> DataFrame:
-    """Records, SNPs and indels."""
+def combine_genotypes(calls: DataFrame) -> DataFrame:
+    """One row for each sample and (chrom, pos, ref): all alleles of the site in order, the sample's depth, genotype and depths by allele.
+
+    A genotype names the alleles with reads by their place in the combined list (0: reference): none 0/0, two or more the first two, a
+    single one twice if it has all reads, else with the reference. Alleles without a record in the sample have depth 0.
+    """
+    seen = calls.where("alt <> '.'")
+    alleles = seen.groupBy("chrom", "pos", "ref").agg(F.array_sort(F.collect_set("alt")).alias("alts"))
+    own = seen.groupBy("sample", "chrom", "pos", "ref").agg(F.max("dp").alias("dp"), F.map_from_entries(F.collect_list(F.struct("alt", "ad"))).alias("m"))
+    ad = F.transform("alts", lambda x: F.coalesce(F.try_element_at("m", x), F.lit(0)).cast("long"))
+    rows = own.join(alleles, ["chrom", "pos", "ref"]).withColumn("ad", ad)
+    held = F.filter(F.transform("ad", lambda x, i: F.when(x > 0, i + 1)), lambda i: i.isNotNull())
+    total = F.aggregate("ad", F.lit(0).cast("long"), lambda s, x: s + x)
+    one = F.try_element_at("held", F.lit(1))
+    pair = lambda a, b: F.concat_ws("/", a.cast("string"), b.cast("string"))
+    gt = F.when(F.size("held") == 0, "0/0").when(F.size("held") > 1, pair(one, F.try_element_at("held", F.lit(2)))).when(total >= F.col("dp"), pair(one, one)).otherwise(pair(F.lit(0), one))
+    return rows.withColumn("held", held).select("sample", "chrom", "pos", "ref", F.array_join("alts", ",").alias("alt"), "dp", gt.alias("gt"), "ad")
+
+
+def call_summary(calls: DataFrame) -> DataFrame:
+    """Records (distinct sites), SNPs, indels and samples of calls in long form."""
     snp = (F.length("ref") == 1) & (F.length("alt") == 1)
-    return sites.agg(F.count("*").alias("records"), F.count_if(snp).alias("snps"), F.count_if(~snp).alias("indels"))
+    sites = calls.select(*SITE).distinct().agg(F.count("*").alias("records"), F.count_if(snp).alias("snps"), F.count_if(~snp).alias("indels"))
+    return sites.crossJoin(calls.agg(F.count_distinct("sample").alias("samples")))
+
+
+def label_by_prefix(df: DataFrame, labels: dict[str, str], name: str, column: str = "sample", default: str | None = None) -> DataFrame:
+    """Adds the label of the first prefix that a name starts with (genotypes, broods, passages), else the default."""
+    case = F.lit(default)
+    for prefix, label in reversed(labels.items()):
+        case = F.when(F.col(column).startswith(prefix), label).otherwise(case)
+    return df.withColumn(name, case)
+
+
+def save_shards(calls: DataFrame, intervals: DataFrame, path: str) -> None:
+    """Joint store: calls as Parquet by the shard of their interval (chrom, pos0, pos1, shard), so that a shard is genotyped from its own files.
+    A store that is there already is left as it is."""
+    spans = calls.withColumns({"pos0": F.col("pos") - 1, "pos1": F.col("pos")})
+    dealt = overlap_join(spans, intervals.select("chrom", "pos0", "pos1", "shard")).select(*calls.columns, "shard")
+    dealt.repartition("shard", "chrom").write.mode("ignore").partitionBy("shard").parquet(path)
 
 
 def site_depth(calls: DataFrame) -> DataFrame:
@@ -67,7 +105,7 @@ def ancestor_delta(counts: DataFrame, groups: DataFrame) -> DataFrame:
     """Adds the count of each group's ancestor and the difference; groups: (sample, group, is_ancestor)."""
     joined = counts.join(groups, "sample")
     base = joined.where("is_ancestor").select("group", F.col("mutations").alias("ancestor_mutations"))
-    return joined.join(F.broadcast(base), "group", "left").withColumn("delta", F.col("mutations") - F.col("ancestor_mutations"))
+    return joined.join(base, "group", "left").withColumn("delta", F.col("mutations") - F.col("ancestor_mutations"))
 
 
 def lineage_accumulation(flags: DataFrame, lineages: DataFrame, strict: bool = False) -> DataFrame:
@@ -77,7 +115,7 @@ def lineage_accumulation(flags: DataFrame, lineages: DataFrame, strict: bool = F
     sample's sites not in the split before. strict takes away all earlier splits, so no site counts twice. For two samples: both; the second's alone; null.
     """
     members = lineages.select("lineage", F.size("samples").alias("k"), F.posexplode("samples").alias("i", "sample"))
-    present = flags.where("high_vaf").select("sample", *SITE).distinct().join(F.broadcast(members), "sample")
+    present = flags.where("high_vaf").select("sample", *SITE).distinct().join(members, "sample")
     sets = present.groupBy("lineage", "k", *SITE).agg(F.collect_set("i").alias("held"))
 
     def suffix(i: Column) -> Column:  # the site is in every sample from i on
@@ -99,7 +137,7 @@ def lineage_accumulation(flags: DataFrame, lineages: DataFrame, strict: bool = F
 
 def union_mask(flags: DataFrame, groups: DataFrame) -> DataFrame:
     """(group, site): sites that any sample of the group carries."""
-    return flags.where("high_vaf").join(F.broadcast(groups), "sample").select("group", *SITE).distinct()
+    return flags.where("high_vaf").join(groups, "sample").select("group", *SITE).distinct()
 
 
 def complement(base: str) -> Column:

@@ -47,9 +47,23 @@ ALIGNMENTS = {
     "flag": f"cast({choose('(l_orderkey + l_linenumber) % 9', FLAGS)} AS int)",
     "cigar": choose("l_linenumber % 4", ["20M500N30M", "5S40M5S", "50M", "4S46M"]),
     "seq": choose("l_partkey % 5", ["TTTTTTTTTTACG", "ACGTACGT", "GATTACA", "CCAAAAAAAAAAC", "TTTTTTTTTACG"]),
+    "mate_chrom": "CASE WHEN l_suppkey % 5 = 0 THEN 'chr0' ELSE '=' END",
     "mate_pos": f"{_START} + l_partkey % 700",
     "tlen": "cast((l_partkey * 13 + l_linenumber * 7) % 1400 - 100 AS bigint)",
 }
+_ODD = "l_linenumber % 2 = 1"
+#: Read pairs: two records of most templates, with secondary, supplementary and unmapped ones and equal ends.
+MATES = {
+    "qname": "concat('t', cast(l_orderkey AS string), '_', cast(cast(floor((l_linenumber - 1) / 2) AS bigint) AS string))",
+    "cell": "concat('c', cast(l_orderkey % 20 AS string))",
+    "chrom": f"CASE WHEN l_orderkey % 11 = 0 AND {_ODD} THEN 'chr9' ELSE concat('chr', cast(1 + l_orderkey % 3 AS string)) END",
+    "pos0": f"(l_orderkey % 40) * 500 + 100 + CASE WHEN {_ODD} THEN 0 ELSE 120 END + l_partkey % 2",
+    "flag": f"CASE WHEN l_orderkey % 9 = 1 THEN CASE WHEN {_ODD} THEN 73 ELSE 133 END WHEN l_orderkey % 9 = 2 THEN CASE WHEN {_ODD} THEN 77 ELSE 141 END WHEN l_partkey % 10 = 3 THEN CASE WHEN {_ODD} THEN 355 ELSE 2195 END WHEN l_partkey % 10 = 4 THEN CASE WHEN {_ODD} THEN 611 ELSE 147 END WHEN {_ODD} THEN 99 ELSE 147 END",
+    "cigar": choose("l_partkey % 4", ["50M", "3S47M", "45M2S3H", "10M30N40M"]),
+    "seq": choose("l_partkey % 3", ["ACGTACGTAC", "ACGT", "GATTACA"]),
+    "mapq": "cast(l_quantity AS bigint)",
+    "score": "cast(l_quantity * 7 AS bigint) % 31",
+}
 EXONS = {"chrom": "concat('chr', cast(1 + p_partkey % 22 AS string))", "pos0": "(p_partkey * 7919) % 100000", "pos1": "(p_partkey * 7919) % 100000 + p_size * 4", "gene": "p_brand"}
 GENES = EXONS | {"pos1": "(p_partkey * 7919) % 100000 + p_size * 20"}
 GENOME = 2_200_000
@@ -72,6 +86,10 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(*exprs(ALIGNMENTS))
 
 
+def mates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr(*exprs(MATES))
+
+
 def exons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").selectExpr(*exprs(EXONS))
 
@@ -92,6 +110,7 @@ def _cte(name: str, columns: dict[str, str], source: str) -> str:
 
 
 ALIGNMENTS_SQL = _cte("alignments", ALIGNMENTS, "lineitem")
+MATES_SQL = _cte("mates", MATES, "lineitem")
 EXONS_SQL = _cte("exons", EXONS, "part")
 GENES_SQL = _cte("genes", GENES, "part")
 CALLS_SQL = _cte("raw_calls", CALLS, "lineitem JOIN orders ON l_orderkey = o_orderkey") + """, calls AS (

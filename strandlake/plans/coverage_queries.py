@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions import stats
@@ -27,6 +27,10 @@ def bins(spark: SparkSession, d: str) -> DataFrame:
     return coverage.binned(alignments(spark, d).select("cell", "chrom", "pos0", "pos1"), contigs(spark), WIDTH)
 
 
+def counted_bins(spark: SparkSession, d: str) -> DataFrame:
+    return coverage.bin_counts(alignments(spark, d).select("cell", "chrom", "pos0", "pos1"), WIDTH)
+
+
 @query("q14_binned_coverage", f"{A}, {BINNED} SELECT cell, chrom, bin_start, bin_end::BIGINT AS bin_end, value FROM binned")
 def q14(spark: SparkSession, d: str) -> DataFrame:
     return bins(spark, d).select("cell", "chrom", "bin_start", "bin_end", "value")
@@ -37,7 +41,7 @@ CURVE = """share AS (SELECT cell, row_number() OVER w AS i, sum(value) OVER w /
 
 @query("q15_gini_per_cell", f"{A}, {BINNED}, {CURVE} SELECT cell, round(1 - 2 / max(n) * (sum(c) - (min(CASE WHEN i = 1 THEN c END) + 1) / 2), 9) AS gini FROM share GROUP BY cell")
 def q15(spark: SparkSession, d: str) -> DataFrame:
-    return coverage.gini(bins(spark, d)).withColumn("gini", F.round("gini", 9))
+    return coverage.gini(counted_bins(spark, d), n=coverage.number_of_bins(contigs(spark), WIDTH)).withColumn("gini", F.round("gini", 9))
 
 
 @query("q16_lorenz_curve", f"""{A}, {BINNED}, {CURVE}, grid AS (SELECT range AS j FROM range(100)), cells AS (SELECT cell, max(n) AS n FROM share GROUP BY cell),
@@ -45,10 +49,11 @@ spot AS (SELECT cell, n, j, floor(n * j / 99)::BIGINT AS k, n * j / 99 - floor(n
 SELECT spot.cell AS cell, round(j / 99, 9) AS cumulative_fraction_genome, round(CASE WHEN k + 1 >= spot.n THEN 1 ELSE lo.c + f * (hi.c - lo.c) END, 9) AS cumulative_fraction_reads
 FROM spot LEFT JOIN share lo ON lo.cell = spot.cell AND lo.i = k + 1 LEFT JOIN share hi ON hi.cell = spot.cell AND hi.i = k + 2""")
 def q16(spark: SparkSession, d: str) -> DataFrame:
-    return coverage.lorenz(bins(spark, d)).select("cell", *[F.round(c, 9).alias(c) for c in ("cumulative_fraction_genome", "cumulative_fraction_reads")])
+    return coverage.lorenz(counted_bins(spark, d), n=coverage.number_of_bins(contigs(spark), WIDTH)).select("cell", *[F.round(c, 9).alias(c) for c in ("cumulative_fraction_genome", "cumulative_fraction_reads")])
 
 
-DEPTH = f"""steps AS (SELECT cell, chrom, p, sum(s) AS s FROM (SELECT cell, chrom, pos0 AS p, 1 AS s FROM alignments UNION ALL SELECT cell, chrom, pos1, -1 FROM alignments) GROUP BY ALL),
+DEPTH = f"""counted AS (SELECT * FROM alignments WHERE (flag & 3332) = 0 AND mapq >= 20),
+steps AS (SELECT cell, chrom, p, sum(s) AS s FROM (SELECT cell, chrom, pos0 AS p, 1 AS s FROM counted UNION ALL SELECT cell, chrom, pos1, -1 FROM counted) GROUP BY ALL),
 runs AS (SELECT cell, sum(s) OVER w AS depth, lead(p) OVER w - p AS bp FROM steps WINDOW w AS (PARTITION BY cell, chrom ORDER BY p)),
 hist AS (SELECT cell, depth, sum(bp) AS bp FROM runs WHERE depth > 0 AND bp > 0 GROUP BY ALL),
 filled AS (SELECT * FROM hist UNION ALL SELECT cell, 0, {GENOME} - sum(bp) FROM hist GROUP BY cell),
@@ -59,7 +64,7 @@ upto AS (SELECT *, sum(bp) OVER (PARTITION BY cell ORDER BY depth) AS upto FROM
  coalesce(sum(bp) FILTER (WHERE depth >= 1), 0) / {GENOME} AS p1, coalesce(sum(bp) FILTER (WHERE depth >= 5), 0) / {GENOME} AS p5, coalesce(sum(bp) FILTER (WHERE depth >= 10), 0) / {GENOME} AS p10 FROM upto GROUP BY cell)
 SELECT cell, round(mean, 9) AS mean_coverage, median::BIGINT AS median_coverage, round(sqrt(square - mean * mean), 6) AS sd_coverage, round(p1, 9) AS pct_1x, round(p5, 9) AS pct_5x, round(p10, 9) AS pct_10x FROM m""")
 def q17(spark: SparkSession, d: str) -> DataFrame:
-    m = coverage.wgs_metrics(alignments(spark, d), GENOME)
+    m = coverage.wgs_metrics(coverage.countable(alignments(spark, d)), GENOME)
     return m.select("cell", F.round("mean_coverage", 9).alias("mean_coverage"), F.col("median_coverage").cast("long").alias("median_coverage"), F.round("sd_coverage", 6).alias("sd_coverage"), *[F.round(c, 9).alias(c) for c in ("pct_1x", "pct_5x", "pct_10x")])
 
 
@@ -104,35 +109,26 @@ def q27(spark: SparkSession, d: str) -> DataFrame:
     return coverage.group_curve(curves, "grp", "x", "l_extendedprice").select("grp", "x", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"))
 
 
-LOG = """total_reads: 100
-mapped_reads: 80
-proportion of reads with barcode mapped: 0.8
-=== Summary ===
-Total reads processed:                  80
-Reads with adapters:                    40 (50.0%)
-Total basepairs processed:          12,000 bp
-Quality-trimmed:                       120 bp (1.0%)
-Total written (filtered):           11,000 bp (91.7%)
-Overview of removed sequences
-length\tcount\texpect\tmax.err\terror counts
-1\t30\t20.0\t0\t30
-2\t10\t5.0\t0\t10
-
-Number of sequence pairs removed because at least one read was shorter than the length cutoff (20 bp): 5 (6.25%)
-[M::mem_pestat] analyzing insert size distribution for orientation FR...
-[M::mem_pestat] (25, 50, 75) percentile: (180, 250, 330)
-[M::mem_pestat] mean and std.dev: (260.50, 90.25)
-[M::mem_process_seqs] Processed 90 reads in 0.1 CPU sec, 0.1 real sec
-[M::mem_process_seqs] Processed 60 reads in 0.1 CPU sec, 0.1 real sec
-[main] Version: 0.7.17
-"""
-SHORT_LOG = "100/100 [00:01<00:00]\nproportion of reads with barcode mapped: 0.8\n"
-
-
-@query("q38_parse_logs", """SELECT * FROM (VALUES (1, 100, 80, 0.8::DOUBLE, 80, 40, 50.0::DOUBLE, 12000, 2, 5, 6.25::DOUBLE, 150, 250, 260.5::DOUBLE), (2, 100, 80, 0.8::DOUBLE, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL))
- t(log_id, total_reads, mapped_reads, barcode_mapping_rate, r1_total, r1_adapters, r1_pct, r1_bp, r1_bins, pairs_removed, pct_pairs_removed, reads_processed, insert_median, insert_mean)""")
+#: Text of a tool's log over the columns of supplier: k = s_suppkey; a fifth of the logs is short.
+_LOG = [
+    "total_reads: ", "k * 100", "\nmapped_reads: ", "k * 80", "\nproportion of reads with barcode mapped: 0.8\n=== Summary ===\nTotal reads processed:     ", "format_number(k * 80, 0)", "\nReads with adapters:      ", "format_number(k * 40, 0)", " (50.0%)\nTotal basepairs processed:   ",
+    "format_number(k * 12000, 0)", " bp\nQuality-trimmed:      120 bp (1.0%)\nTotal written (filtered):   11,000 bp (91.7%)\nOverview of removed sequences\nlength\tcount\texpect\tmax.err\terror counts\n1\t", "k", "\t20.0\t0\t30\n2\t10\t5.0\t0\t10\n\nNumber of sequence pairs removed because at least one read was shorter than the length cutoff (20 bp): ",
+    "k % 50", " (6.25%)\n[M::mem_pestat] analyzing insert size distribution for orientation FR...\n[M::mem_pestat] (25, 50, 75) percentile: (180, ", "200 + k % 90", ", 430)\n[M::mem_pestat] mean and std.dev: (", "260 + k % 7", ".50, 90.25)\n[M::mem_process_seqs] Processed ", "k * 90", " reads in 0.1 CPU sec, 0.1 real sec\n[M::mem_process_seqs] Processed ", "k * 60",
+    " reads in 0.1 CPU sec, 0.1 real sec\n[main] Version: 0.7.17\n",
+]
+_SHORT = ["", "k * 100", "/", "k * 100", " [00:01<00:00]\nproportion of reads with barcode mapped: 0.8\n"]
+
+
+def _text(parts: list[str]) -> Column:
+    return F.concat(*[(F.expr(x).cast("string") if k % 2 else F.lit(x)) for k, x in enumerate(parts)])
+
+
+@query("q38_parse_logs", """WITH s AS (SELECT s_suppkey AS k, s_suppkey % 5 > 0 AS long FROM supplier)
+SELECT k AS log_id, k * 100 AS total_reads, k * 80 AS mapped_reads, 0.8::DOUBLE AS barcode_mapping_rate, CASE WHEN long THEN k * 80 END AS r1_total, CASE WHEN long THEN k * 40 END AS r1_adapters, CASE WHEN long THEN 50.0::DOUBLE END AS r1_pct, CASE WHEN long THEN k * 12000 END AS r1_bp, CASE WHEN long THEN 2 END AS r1_bins,
+ CASE WHEN long THEN k % 50 END AS pairs_removed, CASE WHEN long THEN 6.25::DOUBLE END AS pct_pairs_removed, CASE WHEN long THEN k * 150 END AS reads_processed, CASE WHEN long THEN 200 + k % 90 END AS insert_median, CASE WHEN long THEN 260.5::DOUBLE + k % 7 END AS insert_mean FROM s""")
 def q38(spark: SparkSession, d: str) -> DataFrame:
-    p = logs.parse(spark.createDataFrame([(1, LOG), (2, SHORT_LOG)], "log_id int, value string"))
+    texts = table(spark, d, "supplier").selectExpr("s_suppkey AS k").select(F.col("k").alias("log_id"), F.when(F.col("k") % 5 > 0, _text(_LOG)).otherwise(_text(_SHORT)).alias("value"))
+    p = logs.parse(texts)
     r1 = "trimming.r1."
     return p.select(
         "log_id", "demux.*", F.col(r1 + "total_reads").alias("r1_total"), F.col(r1 + "reads_with_adapters").alias("r1_adapters"), F.col(r1 + "pct_with_adapters").alias("r1_pct"), F.col(r1 + "total_bp").alias("r1_bp"),
@@ -170,15 +166,52 @@ def q40(spark: SparkSession, d: str) -> DataFrame:
     return logs.merge_histograms(chunk_rows(spark, d))
 
 
-WGS = "## METRICS CLASS\tWgsMetrics\nGENOME_TERRITORY\tMEAN_COVERAGE\tSD_COVERAGE\tMEDIAN_COVERAGE\tPCT_1X\tPCT_5X\tPCT_10X\n1000000\t12.5\t3.0\t12\t0.9\t0.6\t0.25\n"
-ALIGNED = "# head\n## METRICS CLASS\tAlignmentSummaryMetrics\nTOTAL_READS\tPF_READS_ALIGNED\tPCT_PF_READS_ALIGNED\tMEAN_READ_LENGTH\n200\t190\t0.95\t141.8\n"
+#: Metric files over the columns of supplier (k = s_suppkey): name, header, values and which suppliers have one.
+_FILES = [
+    ("alignment_metrics", "CATEGORY\tTOTAL_READS\tPF_READS\tPF_READS_ALIGNED\tPCT_PF_READS_ALIGNED\tMEAN_READ_LENGTH", ["'PAIR'", "k * 10", "k * 9", "k * 8", "0.5 + (k % 8) / 16", "100 + k % 40"], "k % 7 > 0"),
+    ("gc_summary", "MEAN_GC\tAT_DROPOUT\tGC_DROPOUT", ["(k % 64) / 64", "k % 5", "k % 3"], "k % 2 = 0"),
+    ("duplicate_metrics", "LIBRARY\tREAD_PAIRS_EXAMINED\tREAD_PAIR_DUPLICATES\tPERCENT_DUPLICATION", ["''", "k * 4", "k", "0.25"], "k % 3 = 1"),
+    ("duplication_metrics", "LIBRARY\tREAD_PAIRS_EXAMINED\tREAD_PAIR_DUPLICATES\tPERCENT_DUPLICATION", ["''", "k * 4", "k", "0.25"], "k % 3 = 2"),
+    ("wgs_metrics", "GENOME_TERRITORY\tMEAN_COVERAGE\tSD_COVERAGE\tMEDIAN_COVERAGE\tPCT_1X\tPCT_10X", ["1000000", "k / 8", "3.0", "k % 30", "(k % 32) / 32", "(k % 16) / 32"], "k % 4 > 0"),
+]
+_HAS_D = "k % 3 > 0"
+
+
+def metric_files(spark: SparkSession, d: str) -> DataFrame:
+    """(path, value) of the metric files of all suppliers."""
+    s, out = table(spark, d, "supplier").selectExpr("s_suppkey AS k"), None
+    name = lambda kind: F.concat(F.lit("x/BC"), F.col("k").cast("string"), F.lit(f"_{kind}.txt")).alias("path")
+    for kind, header, values, which in _FILES:
+        line = F.concat_ws("\t", *[F.expr(v).cast("string") for v in values])
+        part = s.where(which).select(name(kind), F.concat(F.lit(f"# made\n## METRICS CLASS\t{kind}\n{header}\n"), line, F.lit("\n")).alias("value"))
+        out = part if out is None else out.unionAll(part)
+    return out.unionAll(s.select(name("gini"), F.when(F.col("k") % 6 == 0, "none").otherwise(F.concat(((F.col("k") % 16) / 16).cast("string"), F.lit("\n"))).alias("value")))
+
+
+@query("q41_compile_qc_metrics", f"""WITH s AS (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 7 > 0)
+SELECT concat('BC', k) AS barcode, 0.5::DOUBLE + (k % 8) / 16 AS pct_reads_aligned, (100 + k % 40)::DOUBLE AS mean_read_length, (k * 8)::DOUBLE AS reads_aligned, (k * 9)::DOUBLE AS total_reads,
+ CASE WHEN k % 2 = 0 THEN (k % 64) / 64 END AS mean_gc, CASE WHEN k % 2 = 0 THEN (k % 5)::DOUBLE END AS at_dropout, CASE WHEN k % 2 = 0 THEN (k % 3)::DOUBLE END AS gc_dropout,
+ CASE WHEN {_HAS_D} THEN 0.25::DOUBLE END AS pct_duplicates, CASE WHEN {_HAS_D} THEN (k * 4)::DOUBLE END AS read_pairs_examined, CASE WHEN {_HAS_D} THEN k::DOUBLE END AS read_pair_duplicates,
+ CASE WHEN k % 4 > 0 THEN k / 8 END AS mean_coverage, CASE WHEN k % 4 > 0 THEN (k % 30)::DOUBLE END AS median_coverage, CASE WHEN k % 4 > 0 THEN (k % 32) / 32 END AS pct_1x, CASE WHEN k % 4 > 0 THEN (k % 16) / 32 END AS pct_10x,
+ CASE WHEN k % 6 > 0 THEN (k % 16) / 16 END AS gini_coefficient FROM s""")
+def q41(spark: SparkSession, d: str) -> DataFrame:
+    return qc.compile_metrics(metric_files(spark, d))
 
 
-@query("q41_compile_qc_metrics", """SELECT * FROM (VALUES ('AAA', 0.95::DOUBLE, 200.0::DOUBLE, 12.5::DOUBLE, 12.0::DOUBLE, 0.25::DOUBLE, 0.375::DOUBLE), ('CCC', 0.95, 200.0, NULL, NULL, NULL, NULL))
- t(barcode, pct_reads_aligned, total_reads, mean_coverage, median_coverage, pct_10x, gini_coefficient)""")
-def q41(spark: SparkSession, d: str) -> DataFrame:
-    files = [("x/AAA_alignment_metrics.txt", ALIGNED), ("x/AAA_wgs_metrics.txt", WGS), ("x/AAA_gini.txt", "0.375\n"), ("x/CCC_alignment_metrics.txt", ALIGNED), ("x/CCC_gini.txt", "none"), ("x/GGG_wgs_metrics.txt", WGS)]
-    return qc.compile_metrics(spark.createDataFrame(files, "path string, value string")).select("barcode", "pct_reads_aligned", "total_reads", "mean_coverage", "median_coverage", "pct_10x", "gini_coefficient")
+@query("q61_wide_by_depth", """WITH c AS (SELECT o_custkey % 20 AS sample, o_orderkey % 100000 AS total_reads, min(o_totalprice) AS v FROM orders GROUP BY ALL), dep AS (SELECT unnest([1500, 5000]) AS depth),
+n AS (SELECT *, row_number() OVER (PARTITION BY sample, depth ORDER BY abs(total_reads - depth), total_reads) AS k FROM c, dep)
+SELECT sample, max(CASE WHEN depth = 1500 THEN total_reads END) AS extrap_1K_reads, max(CASE WHEN depth = 1500 THEN v END) AS extrap_1K_distinct, max(CASE WHEN depth = 5000 THEN total_reads END) AS extrap_5K_reads, max(CASE WHEN depth = 5000 THEN v END) AS extrap_5K_distinct FROM n WHERE k = 1 GROUP BY sample""")
+def q61(spark: SparkSession, d: str) -> DataFrame:
+    curve = table(spark, d, "orders").groupBy((F.col("o_custkey") % 20).alias("sample"), (F.col("o_orderkey") % 100000).alias("total_reads")).agg(F.min("o_totalprice").alias("v"))
+    near = qc.nearest_row(curve, spark.createDataFrame([(1500,), (5000,)], "depth long"))
+    return qc.wide_by_depth(near, {"total_reads": "reads", "v": "distinct"})
+
+
+@query("q62_coverage_scatter", """WITH s AS (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 7 > 0 AND s_suppkey % 4 > 0)
+SELECT concat('BC', k) AS barcode, k / 8 AS mean_coverage, (k % 32) / 32 AS pct_1x, CASE WHEN k % 3 = 0 THEN 'Ctl' ELSE 'Unassigned' END AS condition FROM s""")
+def q62(spark: SparkSession, d: str) -> DataFrame:
+    known = table(spark, d, "supplier").where("s_suppkey % 3 = 0").selectExpr("concat('BC', s_suppkey) AS barcode", "'Ctl' AS condition")
+    return qc.coverage_scatter(qc.compile_metrics(metric_files(spark, d)), known)
 
 
 @query("q42_read_funnel", """WITH s AS (SELECT count(*) AS p, count(*) FILTER (WHERE l_linenumber < 6) AS m, count(*) FILTER (WHERE l_linenumber = 5) AS r, count(*) FILTER (WHERE l_linenumber < 4) AS a, count(*) FILTER (WHERE l_linenumber < 3) AS q FROM lineitem),

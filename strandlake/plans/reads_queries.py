@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.operators import cells, codes, intervals, qc, reads
 
-from .base import ALIGNMENTS_SQL, EXONS_SQL, GENES_SQL, GENOME, alignments, exons, genes, merged_sql, query, table
+from .base import ALIGNMENTS_SQL, EXONS_SQL, GENES_SQL, GENOME, MATES_SQL, alignments, exons, genes, mates, merged_sql, query, table
 
 A = f"WITH {ALIGNMENTS_SQL}"
 
@@ -180,22 +180,19 @@ def q12(spark: SparkSession, d: str) -> DataFrame:
     return intervals.feature_distribution(alignments(spark, d), exons(spark, d), genes(spark, d))
 
 
-@query("q13_gene_counts", f"""{A}, {GENES_SQL}, {merged_sql('m', 'genes', 'chrom, gene')},
-hits AS (SELECT cell, qname, a.chrom, a.pos0, a.pos1, gene, sum(least(a.pos1, m.pos1) - greatest(a.pos0, m.pos0)) AS bp FROM alignments a JOIN m ON m.chrom = a.chrom AND a.pos0 < m.pos1 AND a.pos1 > m.pos0 GROUP BY ALL),
-one AS (SELECT cell, qname, min(gene) AS gene FROM hits WHERE bp >= 0.5 * (pos1 - pos0) GROUP BY cell, qname HAVING min(gene) = max(gene))
+@query("q13_gene_counts", f"""{A}, {EXONS_SQL}, {merged_sql('m', 'exons', 'chrom, gene')}, kept AS (SELECT * FROM alignments WHERE (flag & 2308) = 0 AND ((flag & 1) = 0 OR ((flag & 8) = 0 AND (mate_chrom = '=' OR mate_chrom = chrom)))),
+hits AS (SELECT cell, qname, gene, sum(least(a.pos1, m.pos1) - greatest(a.pos0, m.pos0)) AS bp FROM kept a JOIN m ON m.chrom = a.chrom AND a.pos0 < m.pos1 AND a.pos1 > m.pos0 GROUP BY ALL),
+size AS (SELECT cell, qname, sum(pos1 - pos0) AS length FROM kept GROUP BY ALL),
+one AS (SELECT cell, qname, min(gene) AS gene FROM hits JOIN size USING (cell, qname) WHERE bp >= 0.5 * length GROUP BY cell, qname HAVING min(gene) = max(gene))
 SELECT gene, cell, count(*) AS n FROM one GROUP BY gene, cell""")
 def q13(spark: SparkSession, d: str) -> DataFrame:
-    return intervals.gene_counts(alignments(spark, d), genes(spark, d))
+    return intervals.gene_counts(alignments(spark, d), exons(spark, d))
 
 
 @query("q19_nested_subsample", f"""{A}, f AS (SELECT unnest([0.1, 0.25, 0.5]) AS fraction)
 SELECT fraction::DOUBLE AS fraction, count(*) AS n FROM alignments, f WHERE (key * 2654435761) % 4294967296 < floor(fraction * 4294967296) GROUP BY fraction""")
 def q19(spark: SparkSession, d: str) -> DataFrame:
-    a, out = alignments(spark, d).select("key"), None
-    for f in (0.1, 0.25, 0.5):
-        part = reads.subsample_portable(a, f, "key").agg(F.lit(f).alias("fraction"), F.count("*").alias("n"))
-        out = part if out is None else out.unionAll(part)
-    return out
+    return reads.nested_sizes(alignments(spark, d), [0.1, 0.25, 0.5], "key")
 
 
 _FIRST = "(flag & 64) = 64"
@@ -266,10 +263,48 @@ def q50(spark: SparkSession, d: str) -> DataFrame:
     return qc.complexity_curve(a, "key", _FRAGMENT, [0.1, 0.5, 1.0])
 
 
-@query("q51_mark_duplicates", f"""{A}, m AS (SELECT row_number() OVER (PARTITION BY cell, chrom, pos0 // 2000, flag & 16 ORDER BY mapq DESC, qname, pos0) > 1 AS dup FROM alignments) SELECT dup AS is_duplicate, count(*) AS n FROM m GROUP BY dup""")
+_CLIP = "CASE cigar WHEN '3S47M' THEN 3 ELSE 0 END", "CASE cigar WHEN '45M2S3H' THEN 5 ELSE 0 END", "CASE cigar WHEN '50M' THEN 50 WHEN '3S47M' THEN 47 WHEN '45M2S3H' THEN 45 ELSE 80 END"
+MARKED = f"""WITH {MATES_SQL}, x AS (SELECT *, concat(chrom, ':', lpad(cast(CASE WHEN (flag & 16) <> 0 THEN pos0 + {_CLIP[2]} + {_CLIP[1]} - 1 ELSE pos0 - {_CLIP[0]} END AS string), 9, '0'), ':', (flag & 16) <> 0) AS e FROM mates WHERE (flag & 2308) = 0),
+t AS (SELECT cell, qname, string_agg(e, ',' ORDER BY e) AS ends, count(*) AS n, sum(score) AS score FROM x GROUP BY cell, qname), taken AS (SELECT DISTINCT cell, e, true AS paired FROM x JOIN t USING (cell, qname) WHERE n > 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY cell, ends ORDER BY score DESC, qname) > 1 AS later FROM t), d AS (SELECT r.cell AS cell, qname, n, later OR (n = 1 AND paired IS NOT NULL) AS duplicate FROM r LEFT JOIN taken ON n = 1 AND taken.cell = r.cell AND taken.e = r.ends)"""
+
+
+@query("q51_mark_duplicates", f"""{MARKED} SELECT cell, flag, coalesce(duplicate, false) AND (flag & 2308) = 0 AS is_duplicate, count(*) AS n FROM mates LEFT JOIN d USING (cell, qname) GROUP BY ALL""")
 def q51(spark: SparkSession, d: str) -> DataFrame:
-    a = alignments(spark, d).withColumns({"end5": F.floor(F.col("pos0") / 2000), "strand": F.col("flag").bitwiseAND(F.lit(16))})
-    return reads.mark_duplicates(a, ["cell", "chrom", "end5", "strand"], "mapq", "qname").groupBy("is_duplicate").agg(F.count("*").alias("n"))
+    return reads.mark_duplicates(mates(spark, d)).groupBy("cell", "flag", "is_duplicate").agg(F.count("*").alias("n"))
+
+
+@query("q51b_duplicate_metrics", f"""{MARKED}, c AS (SELECT cell, count(*) FILTER (WHERE n = 1) AS unpaired_reads_examined, count(*) FILTER (WHERE n > 1) AS read_pairs_examined, count(*) FILTER (WHERE n = 1 AND duplicate) AS unpaired_read_duplicates, count(*) FILTER (WHERE n > 1 AND duplicate) AS read_pair_duplicates FROM d GROUP BY cell),
+u AS (SELECT cell, count(*) FILTER (WHERE (flag & 4) <> 0) AS unmapped_reads, count(*) FILTER (WHERE (flag & 2304) <> 0) AS secondary_or_supplementary_reads FROM mates GROUP BY cell)
+SELECT *, round((unpaired_read_duplicates + 2 * read_pair_duplicates) / (unpaired_reads_examined + 2 * read_pairs_examined), 9) AS pct_duplicates FROM u JOIN c USING (cell)""")
+def q51b(spark: SparkSession, d: str) -> DataFrame:
+    return reads.duplicate_metrics(mates(spark, d)).drop("estimated_library_size").withColumn("pct_duplicates", F.round("pct_duplicates", 9))
+
+
+@query("q60_alignment_metrics", f"""WITH {MATES_SQL}, p AS (SELECT *, (flag & 512) = 0 AS pf, (flag & 512) = 0 AND (flag & 4) = 0 AS al FROM mates WHERE (flag & 2304) = 0),
+k AS (SELECT *, CASE WHEN (flag & 64) <> 0 THEN 'first_of_pair' ELSE 'second_of_pair' END AS category FROM p UNION ALL SELECT *, 'pair' FROM p)
+SELECT cell, category, count(*) AS total_reads, count(*) FILTER (WHERE pf) AS pf_reads, count(*) FILTER (WHERE al) AS pf_reads_aligned, count(*) FILTER (WHERE al AND mapq >= 20) AS pf_hq_aligned_reads, round(avg(length(seq)) FILTER (WHERE pf), 9) AS mean_read_length,
+ count(*) FILTER (WHERE al AND (flag & 8) = 0) AS reads_aligned_in_pairs, round(coalesce(count(*) FILTER (WHERE al) / nullif(count(*) FILTER (WHERE pf), 0), 0), 9) AS pct_pf_reads_aligned,
+ round(coalesce(count(*) FILTER (WHERE al AND (flag & 8) = 0) / nullif(count(*) FILTER (WHERE al), 0), 0), 9) AS pct_reads_aligned_in_pairs, round(coalesce(count(*) FILTER (WHERE al AND (flag & 16) = 0) / nullif(count(*) FILTER (WHERE al), 0), 0), 9) AS strand_balance FROM k GROUP BY cell, category""")
+def q60(spark: SparkSession, d: str) -> DataFrame:
+    m = reads.alignment_metrics(mates(spark, d))
+    return m.withColumns({c: F.round(c, 9) for c in ("mean_read_length", "pct_pf_reads_aligned", "pct_reads_aligned_in_pairs", "strand_balance")})
+
+
+_RESCUE = "CAST(l_suppkey % 10 AS int) AS cell, CAST(l_partkey % 25 AS int) AS gene"
+
+
+@query("q63_rna_rescue", f"""WITH g AS (SELECT {_RESCUE}, count(*) % 12 AS reads, 1000 + (l_partkey % 25) * 10 AS bp FROM lineitem GROUP BY ALL), b AS (SELECT cell, sum(reads) * 4.0::DOUBLE / sum(bp * 5) AS rate FROM g GROUP BY cell),
+x AS (SELECT g.cell, gene, reads, bp, rate * bp AS expected FROM g JOIN b USING (cell)),
+p AS (SELECT *, CASE WHEN reads = 0 THEN 1.0::DOUBLE ELSE 1 - list_sum(list_transform(range(reads), lambda i: exp(i * ln(expected) - expected - lgamma(i + 1)))) END AS p_value FROM x),
+q AS (SELECT *, rank() OVER (PARTITION BY cell ORDER BY round(p_value, 12)) AS k, count(*) OVER (PARTITION BY cell) AS m FROM p),
+a AS (SELECT *, least(1, min(p_value * m / k) OVER (PARTITION BY cell ORDER BY round(p_value, 12) RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q_value FROM q)
+SELECT cell, gene, reads, round(p_value, 6) AS p_value, round(q_value, 6) AS q_value, round(CASE WHEN q_value <= 0.4 THEN greatest(0, least(1, (reads - expected + 3) / (reads + 5))) ELSE 0 END, 6) AS rna_share FROM a""")
+def q63(spark: SparkSession, d: str) -> DataFrame:
+    g = table(spark, d, "lineitem").selectExpr(*_RESCUE.split(", ")).groupBy("cell", "gene").agg((F.count("*") % 12).alias("reads")).withColumn("bp", 1000 + F.col("gene") * 10)
+    background = g.select("cell", (F.col("reads") * 4).alias("reads"), (F.col("bp") * 5).alias("bp"))
+    out = qc.rescue_rna(g, background, fdr=0.4)
+    return out.select("cell", "gene", "reads", *[F.round(c, 6).alias(c) for c in ("p_value", "q_value", "rna_share")])
 
 
 @query("q53_read_groups", f"""{A}, s AS (SELECT cell AS barcode, min(key) AS first FROM alignments GROUP BY cell) SELECT barcode, concat('cell', row_number() OVER (ORDER BY first, barcode)) AS read_group FROM s""")

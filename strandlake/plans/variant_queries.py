@@ -15,11 +15,10 @@ SITE = "chrom, pos, ref, alt"
 FLAGGED = "flagged AS (SELECT *, ad / dp AS vaf, coalesce(dp BETWEEN 10 AND 100 AND ad > 1 AND ad / dp > 0.15, false) AS high FROM calls)"
 
 
-@query("q28_site_merge_long", f"""{C}, sites AS (SELECT DISTINCT {SITE} FROM calls WHERE pos % 7 = 0), samples AS (SELECT DISTINCT sample FROM calls)
+@query("q28_site_merge_long", f"""{C}, sites AS (SELECT DISTINCT {SITE} FROM calls), samples AS (SELECT DISTINCT sample FROM calls)
 SELECT sample, {SITE}, dp, ad FROM samples CROSS JOIN sites LEFT JOIN calls USING (sample, {SITE})""")
 def q28(spark: SparkSession, d: str) -> DataFrame:
-    c = calls(spark, d)
-    return variants.merge_sites(c.where("pos % 7 = 0"), c)
+    return variants.merge_sites(calls(spark, d), calls(spark, d))
 
 
 _MULTI = "concat(alt, CASE WHEN pos % 4 = 0 THEN ',N' ELSE '' END)"
@@ -43,9 +42,19 @@ def q30(spark: SparkSession, d: str) -> DataFrame:
     return variants.multiallelic(calls(spark, d).select("chrom", "pos", "ref", "alt").distinct())
 
 
-@query("q30b_call_summary", f"{C}, s AS (SELECT DISTINCT {SITE} FROM calls) SELECT count(*) AS records, count(*) FILTER (WHERE length(ref) = 1 AND length(alt) = 1) AS snps, count(*) FILTER (WHERE NOT (length(ref) = 1 AND length(alt) = 1)) AS indels FROM s")
+@query("q30b_call_summary", f"{C}, s AS (SELECT DISTINCT {SITE} FROM calls) SELECT count(*) AS records, count(*) FILTER (WHERE length(ref) = 1 AND length(alt) = 1) AS snps, count(*) FILTER (WHERE NOT (length(ref) = 1 AND length(alt) = 1)) AS indels, (SELECT count(DISTINCT sample) FROM calls) AS samples FROM s")
 def q30b(spark: SparkSession, d: str) -> DataFrame:
-    return variants.call_summary(calls(spark, d).select("chrom", "pos", "ref", "alt").distinct())
+    return variants.call_summary(calls(spark, d))
+
+
+@query("q29c_combined_genotypes", f"""{C}, a AS (SELECT chrom, pos, ref, list(DISTINCT alt ORDER BY alt) AS alts FROM calls GROUP BY chrom, pos, ref),
+g AS (SELECT sample, chrom, pos, ref, max(dp) AS dp, list(DISTINCT CASE WHEN ad > 0 THEN alt END ORDER BY CASE WHEN ad > 0 THEN alt END) AS held, sum(ad) AS alt_ad, map_from_entries(list((alt, ad))) AS m FROM calls GROUP BY sample, chrom, pos, ref)
+SELECT sample, chrom, pos, ref, array_to_string(alts, ',') AS alt, dp, CASE WHEN len(list_filter(held, lambda x: x IS NOT NULL)) = 0 THEN '0/0' WHEN len(list_filter(held, lambda x: x IS NOT NULL)) > 1 THEN concat(list_position(alts, list_filter(held, lambda x: x IS NOT NULL)[1]), '/', list_position(alts, list_filter(held, lambda x: x IS NOT NULL)[2]))
+ WHEN alt_ad >= dp THEN concat(list_position(alts, list_filter(held, lambda x: x IS NOT NULL)[1]), '/', list_position(alts, list_filter(held, lambda x: x IS NOT NULL)[1])) ELSE concat('0/', list_position(alts, list_filter(held, lambda x: x IS NOT NULL)[1])) END AS gt,
+ array_to_string(list_transform(alts, lambda x: coalesce(m[x], 0)), ',') AS ad FROM g JOIN a USING (chrom, pos, ref)""")
+def q29c(spark: SparkSession, d: str) -> DataFrame:
+    out = variants.combine_genotypes(calls(spark, d))
+    return out.withColumn("ad", F.array_join(F.transform("ad", lambda x: x.cast("string")), ","))
 
 
 @query("q31_bulk_vaf_filter", f"{C} SELECT {SITE}, sum(ad)::BIGINT AS ad, sum(dp)::BIGINT AS dp, round(sum(ad) / sum(dp), 9) AS bulk_vaf FROM calls GROUP BY {SITE} HAVING sum(ad) / sum(dp) < 0.3")
@@ -106,9 +115,24 @@ def q33b(spark: SparkSession, d: str) -> DataFrame:
     return _lineages(spark, d, True)
 
 
-_L, _R = "substr('ACGT', cast(1 + pos % 4 AS int), 1)", "substr('ACGT', cast(1 + floor(pos / 4) % 4 AS int), 1)"
+def base_at(p: str) -> str:
+    """The reference base at a 1-based position, the same on all contigs and equal to `ref` where a call stands."""
+    return f"CASE WHEN ({p}) % 10 < 2 THEN substr('ACGT', cast(1 + floor(({p}) / 10) % 4 AS int), 1) ELSE substr('ACGT', cast(1 + (({p}) + floor(({p}) / 7)) % 4 AS int), 1) END"
+
+
 _T = "translate({0}, 'ACGT', 'TGCA')"
+_L, _R = base_at("pos - 1"), base_at("pos + 1")
 CONTEXT = f"CASE WHEN ref IN ('C', 'T') THEN concat({_L}, ref, {_R}, '>', {_L}, alt, {_R}) ELSE concat({_T.format(_R)}, {_T.format('ref')}, {_T.format(_L)}, '>', {_T.format(_R)}, {_T.format('alt')}, {_T.format(_L)}) END"
+BASES = 1000
+
+
+def reference_windows(spark: SparkSession, d: str) -> DataFrame:
+    """(chrom, bin, bases) over all positions that a call may have."""
+    top = table(spark, d, "part").agg(F.floor((F.max("p_partkey") * 10 + 1) / BASES).alias("last"))
+    bins = top.select(F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("bin"))
+    contigs = spark.range(22).select(F.concat(F.lit("chr"), (F.col("id") + 1).cast("string")).alias("chrom"))
+    bases = F.expr(f"array_join(transform(sequence(bin * {BASES}, bin * {BASES} + {BASES} + 1), p -> {base_at('p')}), '')")
+    return contigs.crossJoin(bins.select("bin", bases.alias("bases")))
 
 
 @query("q34_spectrum_by_group", f"""{C}, {FLAGGED}, ctx AS (SELECT sample, {CONTEXT} AS trinuc_type FROM flagged WHERE high AND ref <> alt),
@@ -116,8 +140,8 @@ spine AS (SELECT concat(a, r, b, '>', a, x, b) AS trinuc_type FROM (SELECT unnes
 n AS (SELECT sample, trinuc_type, count(*) AS n FROM ctx GROUP BY ALL)
 SELECT sample, trinuc_type, coalesce(n, 0) AS n FROM (SELECT DISTINCT sample FROM ctx) CROSS JOIN spine LEFT JOIN n USING (sample, trinuc_type)""")
 def q34(spark: SparkSession, d: str) -> DataFrame:
-    rows = variants.high_vaf(calls(spark, d)).where("high_vaf AND ref <> alt").selectExpr("sample", f"{CONTEXT} AS trinuc_type")
-    return variants.spectrum(rows)
+    rows = variants.high_vaf(calls(spark, d)).where("high_vaf AND ref <> alt")
+    return variants.spectrum(variants.trinucleotide(rows, reference_windows(spark, d), BASES).select("sample", "trinuc_type"))
 
 
 @query("q34b_union_mask", f"""{C}, {FLAGGED} SELECT DISTINCT CASE WHEN substr(sample, 2)::INT < 9 THEN 'g1' ELSE 'g2' END AS "group", {SITE} FROM flagged WHERE high""")
@@ -176,6 +200,23 @@ def q37b(spark: SparkSession, d: str) -> DataFrame:
     return per.select("clone", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("passage"), "p").select("clone", "passage", F.round(F.col("p") * F.col("passage"), 6).alias("cumulative"))
 
 
+@query("q59_genotypes_and_slopes", """WITH g AS (SELECT concat('F', c_nationkey % 3, '_', c_custkey) AS sample, c_acctbal AS y, CASE c_nationkey % 3 WHEN 0 THEN 'wild' WHEN 1 THEN 'mutant' END AS genotype FROM customer)
+SELECT genotype, count(*) AS n, round(avg(y), 6) AS mean FROM g GROUP BY genotype""")
+def q59(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").selectExpr("concat('F', c_nationkey % 3, '_', c_custkey) AS sample", "c_acctbal AS y")
+    return variants.label_by_prefix(c, {"F0": "wild", "F1": "mutant"}, "genotype").groupBy("genotype").agg(F.count("*").alias("n"), F.round(F.avg("y"), 6).alias("mean"))
+
+
+@query("q59b_combined_coefficients", """WITH s AS (SELECT c_nationkey % 2 AS genotype, c_custkey % 7 AS passage, c_acctbal AS y FROM customer), f AS (SELECT genotype, regr_slope(y, passage) AS slope FROM s GROUP BY genotype)
+SELECT round(max(CASE WHEN genotype = 0 THEN slope END), 6) AS passage, round(max(CASE WHEN genotype = 1 THEN slope END) - max(CASE WHEN genotype = 0 THEN slope END), 6) AS interaction, round(max(CASE WHEN genotype = 1 THEN slope END), 6) AS combined FROM f""")
+def q59b(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "customer").selectExpr("c_nationkey % 2 AS genotype", "c_custkey % 7 AS passage", "c_acctbal AS y")
+    slopes = s.groupBy("genotype").agg(F.regr_slope("y", "passage").alias("slope"))
+    at = lambda g: F.max(F.when(F.col("genotype") == g, F.col("slope")))
+    terms = slopes.agg(at(0).alias("passage"), (at(1) - at(0)).alias("interaction"))
+    return stats.combined(terms, ["passage", "interaction"]).select(*[F.round(c, 6).alias(c) for c in ("passage", "interaction", "combined")])
+
+
 @query("q47_melt_pivot_roundtrip", """WITH w AS (SELECT p_partkey, p_size::DOUBLE AS size, p_retailprice AS price FROM part) SELECT p_partkey, price, size FROM w""")
 def q47(spark: SparkSession, d: str) -> DataFrame:
     wide = table(spark, d, "part").selectExpr("p_partkey", "cast(p_size AS double) AS size", "p_retailprice AS price")

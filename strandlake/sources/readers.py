@@ -67,11 +67,11 @@ def bedgraph(spark: SparkSession, path: str) -> DataFrame:
 def vcf(spark: SparkSession, path: str) -> DataFrame:
     """Calls in long form: (sample, chrom, pos, ref, alt, dp, ad array); '.' is null.
 
-    Sample names come from the #CHROM line, one row of the file, which is joined as a broadcast.
+    Sample names come from the #CHROM line of the same file, so a folder may hold files of different samples.
     """
-    rows = _lines(spark, path).where(F.trim("value") != "")
-    names = rows.where(F.col("value").startswith("#CHROM")).select(F.slice(F.split("value", "\t"), F.lit(10), F.lit(1 << 30)).alias("names")).limit(1)
-    f = rows.where(~F.col("value").startswith("#")).select(F.split("value", "\t").alias("f")).crossJoin(F.broadcast(names))
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
+    names = rows.where(F.col("value").startswith("#CHROM")).select(F.col("file").alias("file2"), F.slice(F.split("value", "\t"), F.lit(10), F.lit(1 << 30)).alias("names")).dropDuplicates(["file2"])
+    f = rows.where(~F.col("value").startswith("#")).select("file", F.split("value", "\t").alias("f")).join(names, F.col("file") == F.col("file2"))
     cells = f.select("f", F.posexplode("names").alias("k", "sample"))
     keys = F.split(F.element_at("f", 9), ":")
     value = F.split(F.element_at("f", F.col("k") + 10), ":")
@@ -80,6 +80,28 @@ def vcf(spark: SparkSession, path: str) -> DataFrame:
     return cells.select("sample", F.element_at("f", 1).alias("chrom"), F.element_at("f", 2).cast("long").alias("pos"), F.element_at("f", 4).alias("ref"), F.element_at("f", 5).alias("alt"), pick("DP").try_cast("long").alias("dp"), ad.alias("ad"))
 
 
+def fasta_width(spark: SparkSession, path: str) -> int:
+    """Bases of a full line, from the first sequence line."""
+    return len(_lines(spark, path).where(~F.col("value").startswith(">") & (F.trim("value") != "")).first()[0].strip())
+
+
+def fasta_windows(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, bin, bases): the lines of a FASTA file, each with one more base on either side (N beyond the contig), in upper case.
+
+    A record is read as one row (the reader splits at '>'), so lines keep their order; bin counts them. All lines of a contig but the last have
+    the width of fasta_width, as in an indexed file; others raise.
+    """
+    width = fasta_width(spark, path)
+    records = spark.read.text(path, lineSep=">").where(F.trim("value") != "")
+    lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.upper(F.trim(x))), lambda x: x != "")
+    body = records.select(F.regexp_extract("value", r"^(\S+)", 1).alias("chrom"), F.slice(lines, F.lit(2), F.lit(1 << 30)).alias("lines"))
+    each = body.select("chrom", "lines", F.posexplode("lines").alias("k", "line"))
+    before = F.when(F.col("k") > 0, F.right(F.try_element_at("lines", F.col("k")), F.lit(1))).otherwise("N")
+    after = F.coalesce(F.left(F.try_element_at("lines", F.col("k") + 2), F.lit(1)), F.lit("N"))
+    whole = F.when((F.length("line") == width) | (F.col("k") == F.size("lines") - 1), F.concat(before, "line", after)).otherwise(F.raise_error("lines of unequal width"))
+    return each.select("chrom", F.col("k").cast("long").alias("bin"), whole.alias("bases"))
+
+
 def whitelist(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """(position, ord, seq) from one list file for each position; the order of lines counts."""
     parts = []
@@ -115,6 +137,12 @@ def counts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema="barcode string, read_count long", mode="DROPMALFORMED")
 
 
+def raw_csv(spark: SparkSession, path: str) -> DataFrame | None:
+    """A CSV file with its header and all columns as text; None where it is missing."""
+    found = first_existing(spark, [path])
+    return spark.read.csv(found, header=True, inferSchema=False) if found else None
+
+
 def delimited(spark: SparkSession, path: str, schema: str, sep: str = "\t") -> DataFrame:
     return spark.read.csv(path, header=True, sep=sep, schema=schema, mode="FAILFAST", nullValue="")
 
@@ -170,6 +198,33 @@ def first_existing(spark: SparkSession, candidates: list[str]) -> str | None:
     return None
 
 
+def listed(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that a glob finds in whatever store it names, sorted."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return sorted(x.getPath().toString() for x in path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or [])
+
+
+def sample_sheet(spark: SparkSession, folder: str) -> DataFrame:
+    """(sample, r1, r2): the first pair of read files of each sample, named {sample}_S1_L001_R1_001.fastq.gz; r2 is null where it is missing."""
+    schema = "sample string, r1 string, r2 string"
+    found, second = listed(spark, f"{folder}/*_S*_L*_R1_001.fastq.gz"), set(listed(spark, f"{folder}/*_S*_L*_R2_001.fastq.gz"))
+    files = spark.createDataFrame([(x, y if (y := x.replace("_R1_001.", "_R2_001.")) in second else None) for x in found], "r1 string, r2 string")
+    sample = F.regexp_extract("r1", r"([^/]+?)_S\d+_L\d+_R1_001\.fastq\.gz$", 1)
+    return files.groupBy(sample.alias("sample")).agg(F.min(F.struct("r1", "r2")).alias("f")).select("sample", "f.r1", "f.r2").to(spark.createDataFrame([], schema).schema)
+
+
+def preferred(spark: SparkSession, folder: str, sample: str) -> str | None:
+    """A sample's raw variant file, else its normalised one."""
+    return first_existing(spark, [f"{folder}/{sample}.g.vcf.gz", f"{folder}/{sample}.vcf.gz", f"{folder}/{sample}.norm.vcf.gz", f"{folder}/{sample}*norm*.vcf.gz"])
+
+
+def path_names(files: DataFrame, path: str = "path") -> DataFrame:
+    """Adds dataset (the folder of a file, or the one above where that is sc_outputs) and cell_id (the file's name up to its first dot)."""
+    parts = F.split(path, "/")
+    up = lambda k: F.try_element_at(parts, F.lit(-k))
+    return files.withColumns({"dataset": F.when(up(2) == "sc_outputs", up(3)).otherwise(up(2)), "cell_id": F.split_part(up(1), F.lit("."), F.lit(1))})
+
+
 def reference_candidates(root: str) -> list[str]:
     """Where a reference may stand under a root that is a file or a folder."""
     return [f"{root}" if root.endswith((".fa", ".fna", ".fasta")) else f"{root}/BWAIndex/genome.fa", f"{root}/genome.fa", f"{root}/*.fa", f"{root}/*.fna"]

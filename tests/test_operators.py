@@ -1,7 +1,9 @@
 """Small cases with answers worked out by hand."""
 
 import gzip
+import math
 import struct
+import zlib
 from datetime import date
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import stats
 from strandlake.operators import cells, codes, coverage, intervals, logs, qc, reads, variants
 from strandlake.plans.catalog import QUERIES
-from strandlake.sources import binary, readers, writers
+from strandlake.sources import binary, dashboard, readers, writers
 
 FLAGS = [99, 147, 77, 141, 73, 133, 2147, 355, 1123]
 
@@ -282,11 +284,25 @@ def test_bam(spark, tmp_path):
     header = b"@HD\n"
     data = b"BAM\1" + struct.pack("<i", len(header)) + header + struct.pack("<i", 1) + struct.pack("<i", 5) + b"chr1\0" + struct.pack("<i", 1000)
     data += record("r1", 0, 0, 9, [(3, "M"), (2, "S")], "ACGTN", b"NMC\1CBZAAA\0") + record("r2", 4, -1, -1, [], "AC", b"")
-    (tmp_path / "x.bam").write_bytes(gzip.compress(data[:60]) + gzip.compress(data[60:]))
+
+    def blocked(raw, size):
+        out = b""
+        for k in range(0, len(raw), size):
+            body = zlib.compressobj(wbits=-15)
+            packed = body.compress(raw[k : k + size]) + body.flush()
+            out += b"\x1f\x8b\x08\x04" + bytes(6) + struct.pack("<H", 6) + b"BC\x02\x00" + struct.pack("<H", len(packed) + 25) + packed + struct.pack("<II", zlib.crc32(raw[k : k + size]), len(raw[k : k + size]))
+        return out
+
+    (tmp_path / "x.bam").write_bytes(blocked(data, 60))
     binary.register(spark)
     one, two = spark.read.format("bam").option("path", str(tmp_path / "x.bam")).load().collect()
     assert (one.qname, one.chrom, one.pos, one.cigar, one.seq, one.qual, one.cb) == ("r1", "chr1", 10, "3M2S", "ACGTN", "?????", "AAA")
     assert (two.chrom, two.cigar, two.cb, two.flag) == ("*", "*", None, 4)
+    many = data + b"".join(record(f"read{k}", 0, 0, k, [(20 + k % 50, "M")], "ACGT" * 20, b"CBZCELL%d\0" % (k % 7)) for k in range(3000))
+    (tmp_path / "y.bam").write_bytes(blocked(many, 997))
+    for split in (1 << 27, 20_000, 3_001, 700):
+        names = [r.qname for r in spark.read.format("bam").option("path", str(tmp_path / "y.bam")).option("split", str(split)).load().select("qname").collect()]
+        assert sorted(names) == sorted(["r1", "r2", *(f"read{k}" for k in range(3000))]), split
 
 
 def test_vcf_and_gtf(spark, tmp_path):
@@ -308,3 +324,126 @@ def test_plate_conditions_and_settings(spark, tmp_path):
     (tmp_path / "w.txt").write_text("acgt\n\n TTTT \n")
     assert [(r.ord, r.seq) for r in readers.whitelist(spark, {"A": str(tmp_path / "w.txt")}).collect()] == [(0, "ACGT"), (1, "TTTT")]
     assert readers.settings({"a": "1", "p_q": "0"}, "p:\n  q: 2 # note\n  r: '3'\n", {"a": None, "z": 9}) == {"a": "1", "p_q": "2", "p_r": "3", "z": 9}
+
+
+ALIGNED = "cell string, qname string, flag int, chrom string, pos0 long, cigar string, score long, mapq int, seq string, mate_chrom string, pos1 long"
+
+
+def alignment(qname, flag, pos0, cigar="50M", score=10, cell="c", chrom="chr1", mate="="):
+    return cell, qname, flag, chrom, pos0, cigar, score, 30, "A" * 50, mate, pos0 + 50
+
+
+def test_unclipped_ends(spark):
+    rows = [("5S45M", 0, 100), ("5S45M", 16, 100), ("2H3S40M4S1H", 0, 100), ("2H3S40M4S1H", 16, 100), ("10M30N40M", 16, 0), ("50M", 16, 7)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, cigar string, flag int, pos0 long")
+    assert [r.e for r in df.select("k", reads.five_prime().alias("e")).orderBy("k").collect()] == [95, 144, 95, 144, 79, 56]
+
+
+def test_duplicates(spark):
+    rows = [
+        alignment("a", 99, 100, score=5), alignment("a", 147, 200, score=5), alignment("b", 99, 100, score=9), alignment("b", 147, 200, score=9),
+        alignment("c", 99, 105, "5S45M", 1), alignment("c", 147, 200, score=1),  # equal ends once clipped bases count
+        alignment("d", 73, 100), alignment("d", 133, 100),  # its only end is that of a pair
+        alignment("e", 73, 400, score=3), alignment("f", 73, 400, score=4), alignment("g", 77, 0), alignment("h", 77, 0), alignment("b", 355, 100), alignment("b", 2147, 100),
+        alignment("z", 99, 100, cell="other"), alignment("z", 147, 200, cell="other"),
+    ]
+    df = spark.createDataFrame(rows, ALIGNED)
+    assert {(r.qname, r.flag) for r in reads.mark_duplicates(df).collect() if r.is_duplicate} == {("a", 99), ("a", 147), ("c", 99), ("c", 147), ("d", 73), ("e", 73)}
+    m = {r.cell: r for r in reads.duplicate_metrics(df).collect()}["c"]
+    assert (m.unpaired_reads_examined, m.read_pairs_examined, m.unpaired_read_duplicates, m.read_pair_duplicates, m.unmapped_reads, m.secondary_or_supplementary_reads) == (3, 3, 2, 2, 3, 2)
+    assert m.pct_duplicates == pytest.approx(6 / 9) and m.estimated_library_size == 1
+    x = spark.range(1).select(reads.library_size(F.lit(1000), F.lit(900)).alias("x")).first().x
+    assert 900 / x == pytest.approx(1 - np.exp(-1000 / x), rel=1e-3)
+
+
+def test_alignment_metrics(spark):
+    df = spark.createDataFrame([alignment("a", 99, 1), alignment("a", 147, 9), alignment("b", 73, 1), alignment("b", 133, 1), alignment("c", 611, 5), alignment("c", 355, 5), alignment("d", 0, 5)], ALIGNED)
+    got = {r.category: r for r in reads.alignment_metrics(df).collect()}
+    assert (got["pair"].total_reads, got["pair"].pf_reads, got["pair"].pf_reads_aligned, got["pair"].reads_aligned_in_pairs, got["unpaired"].total_reads) == (5, 4, 3, 2, 1)
+    assert got["first_of_pair"].strand_balance == 1.0 and got["second_of_pair"].strand_balance == 0.0
+
+
+def test_gene_counts_take_fragments(spark):
+    exons = spark.createDataFrame([("chr1", 0, 100, "g"), ("chr1", 300, 500, "g"), ("chr1", 450, 600, "h")], "chrom string, pos0 long, pos1 long, gene string")
+    rows = [
+        alignment("a", 99, 10), alignment("a", 147, 80),  # 70 of 100 bases
+        alignment("b", 99, 90), alignment("b", 147, 140),  # 10 of 100
+        alignment("c", 73, 10), alignment("d", 99, 10, mate="chr2"), alignment("e", 355, 10), alignment("f", 0, 10), alignment("x", 99, 450), alignment("x", 147, 450),
+    ]
+    got = {(r.gene, r.n) for r in intervals.gene_counts(spark.createDataFrame(rows, ALIGNED), exons).collect()}
+    assert got == {("g", 2)}
+
+
+def test_sparse_bins_equal_listed_zeros(spark):
+    v = spark.createDataFrame([("c", x) for x in (0, 0, 0, 0, 1, 1, 5)] + [("d", 3), ("d", 1)] + [("d", 0)] * 5, "cell string, value long")
+    listed = v.where("value > 0")
+    assert {r.cell: round(r.gini, 12) for r in coverage.gini(v).collect()} == {r.cell: round(r.gini, 12) for r in coverage.gini(listed, n=7).collect()}
+    curve = lambda df: sorted((r.cell, round(r.cumulative_fraction_genome, 9), round(r.cumulative_fraction_reads, 9)) for r in df.collect())
+    assert curve(coverage.lorenz(v)) == curve(coverage.lorenz(listed, n=7))
+
+
+def test_depth_counts_bases_of_mates_once(spark):
+    df = spark.createDataFrame([alignment("a", 99, 0), alignment("a", 147, 20), alignment("b", 1123, 0), alignment("c", 355, 0)], ALIGNED)
+    assert [(r.pos0, r.pos1) for r in coverage.countable(df).collect()] == [(0, 70)]
+
+
+def test_reference_windows(spark, tmp_path):
+    (tmp_path / "x.fa").write_text(">chr1 first\nACGTa\nCCCCC\nGG\n>chr2\nTTTTT\n")
+    got = {(r.chrom, r.bin): r.bases for r in readers.fasta_windows(spark, str(tmp_path / "x.fa")).collect()}
+    assert got == {("chr1", 0): "NACGTAC", ("chr1", 1): "ACCCCCG", ("chr1", 2): "CGGN", ("chr2", 0): "NTTTTTN"}
+    sites = spark.createDataFrame([("chr1", 6, "C", "T"), ("chr1", 11, "G", "T")], "chrom string, pos long, ref string, alt string")
+    typed = variants.trinucleotide(sites, readers.fasta_windows(spark, str(tmp_path / "x.fa")), readers.fasta_width(spark, str(tmp_path / "x.fa")))
+    assert {r.pos: r.trinuc_type for r in typed.collect()} == {6: "ACC>ATC", 11: "CCG>CAG"}
+
+
+def test_variant_files_of_different_samples(spark, tmp_path):
+    head = "##x\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t"
+    (tmp_path / "a.vcf").write_text(head + "s1\nchr1\t5\t.\tA\tC\t.\t.\t.\tDP:AD\t9:4,5\n")
+    (tmp_path / "b.vcf").write_text(head + "s2\ts3\nchr1\t5\t.\tA\tG\t.\t.\t.\tDP:AD\t7:0,7\t3:3,0\n")
+    calls = readers.vcf(spark, str(tmp_path))
+    assert sorted((r.sample, r.alt, r.dp) for r in calls.collect()) == [("s1", "C", 9), ("s2", "G", 7), ("s3", "G", 3)]
+    flat = variants.split_alleles(calls)
+    assert sorted((r.sample, r.alt, r.gt, r.ad) for r in variants.combine_genotypes(flat).collect()) == [("s1", "C,G", "0/1", [5, 0]), ("s2", "C,G", "2/2", [0, 7]), ("s3", "C,G", "0/0", [0, 0])]
+    shards = spark.createDataFrame([("chr1", 0, 5, 3), ("chr1", 5, 9, 4)], "chrom string, pos0 long, pos1 long, shard int")
+    variants.save_shards(flat, shards, str(tmp_path / "store"))
+    assert {r.shard for r in spark.read.parquet(str(tmp_path / "store")).collect()} == {3}
+
+
+def test_names_from_paths(spark, tmp_path):
+    for name in ("s_S1_L001_R1_001.fastq.gz", "s_S1_L001_R2_001.fastq.gz", "s_S1_L002_R1_001.fastq.gz", "t_S2_L001_R1_001.fastq.gz", "x.g.vcf.gz", "x.norm.vcf.gz", "y.norm.vcf.gz"):
+        (tmp_path / name).touch()
+    sheet = {r["sample"]: r for r in readers.sample_sheet(spark, str(tmp_path)).collect()}
+    assert sheet["s"].r1.endswith("L001_R1_001.fastq.gz") and sheet["s"].r2.endswith("L001_R2_001.fastq.gz") and sheet["t"].r2 is None
+    assert readers.preferred(spark, str(tmp_path), "x").endswith("x.g.vcf.gz") and readers.preferred(spark, str(tmp_path), "y").endswith("y.norm.vcf.gz") and readers.preferred(spark, str(tmp_path), "z") is None
+    files = spark.createDataFrame([("/d/run1/c1.bam",), ("/d/run2/sc_outputs/c2.markdup.bam",)], "path string")
+    assert [(r.dataset, r.cell_id) for r in readers.path_names(files).orderBy("path").collect()] == [("run1", "c1"), ("run2", "c2")]
+    assert readers.raw_csv(spark, str(tmp_path / "none.csv")) is None
+    (tmp_path / "a.csv").write_text("x,y\n1,02\n")
+    assert tuple(readers.raw_csv(spark, str(tmp_path / "a.csv")).first()) == ("1", "02")
+    c = spark.createDataFrame([("NC_1",), ("chr1_hg38",), ("q",)], "chrom string")
+    assert sorted(r.chrom for r in intervals.rename_contigs(c.where("chrom <> 'chr1_hg38'"), {"NC_1": "I"}).collect()) == ["I", "q"]
+    assert intervals.rename_contigs(c.where("chrom = 'chr1_hg38'"), strip="_").first().chrom == "chr1"
+
+
+def test_rescue(spark):
+    ks = [(float(k), lam) for k in (0, 1, 3, 20, 200) for lam in (0.0, 0.3, 4.0, 150.0)]
+    df = spark.createDataFrame(ks, "k double, lam double").select("k", "lam", qc.poisson_tail(F.col("k"), F.col("lam")).alias("p"))
+    for r in df.collect():
+        below = sum(np.exp(i * np.log(r.lam) - r.lam - math.lgamma(i + 1)) for i in range(int(r.k))) if r.lam else 1.0 * (r.k > 0)
+        assert r.p == pytest.approx(1 - below, abs=1e-9)
+    genes = spark.createDataFrame([("c", "g", 40, 1000), ("c", "h", 2, 1000), ("e", "g", 5, 10)], "cell string, gene string, reads long, bp long")
+    shares = qc.rescue_rna(genes, spark.createDataFrame([("c", 20, 10_000)], "cell string, reads long, bp long"))
+    got = {(r.cell, r.gene): r.rna_share for r in shares.collect()}
+    assert got["c", "g"] == pytest.approx((40 - 2 + 3) / 45) and got["c", "h"] == 0.0 and got["e", "g"] == pytest.approx(0.8)
+    r = qc.reassign(spark.range(4000).selectExpr("'c' AS cell", "concat('r', id) AS qname", "if(id % 2 = 0, 'g', 'h') AS gene"), shares).groupBy("modality").count().collect()
+    assert {x.modality: x["count"] for x in r}["rna"] == pytest.approx(2000 * 41 / 45, rel=0.03)
+
+
+def test_dashboard(spark, tmp_path):
+    cards = spark.createDataFrame([(0, "cells", 12.0), (1, "pct_<b>", None)], "ord int, card string, value double")
+    knee = spark.range(1, 50_001).selectExpr("id AS rank", "100000 - id AS read_count", "'Ctl' AS condition")
+    scatter = spark.createDataFrame([("a", "Ctl", 1.5, 0.4), ("b", "Trt", 0.5, 0.2)], "barcode string, condition string, mean_coverage double, pct_1x double")
+    text = dashboard.page("run", cards, knee=knee, histograms={"reads": spark.createDataFrame([(0, 3), (1, 4)], "bin long, n long")}, scatter=scatter)
+    assert text.count("<figure>") == 3 and "pct_&lt;b&gt;" in text and "N/A" in text and dashboard.thinned(knee, "rank").count() < 2500
+    dashboard.write(spark, text, str(tmp_path / "page.html"))
+    assert (tmp_path / "page.html").read_text() == text
