@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import re
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import xxhash
@@ -17,21 +20,47 @@ _MIX1, _MIX2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder shared by driver and executors that spark.checkpoint.dir names; one of our own only where none is set."""
+    """The folder shared by driver and executors that spark.checkpoint.dir names; on a local master one of our own where none is set, elsewhere an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = spark.sparkContext.getCheckpointDir()
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="strandlake-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+_MADE: weakref.WeakKeyDictionary[SparkSession, list[str]] = weakref.WeakKeyDictionary()
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all scratch folders that a session has made, when no result that reads them is needed any more; also done when the driver ends."""
+    for base in _MADE.pop(spark, []):
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _clear_all() -> None:
+    for spark in list(_MADE):
+        try:
+            if not spark.sparkContext._jsc.sc().isStopped():
+                clear_scratch(spark)
+        except Exception:  # noqa: BLE001, S110  the JVM may be gone: what is left lies in the folder for checkpoints, which its owner clears
+            pass
+
+
 class Scratch:
-    """Tables written to the shared folder so that lineage ends there and a lost executor costs one stage at most."""
+    """Tables written to the shared folder so that lineage ends there and a lost executor costs one stage at most.
+
+    Tables that only inner steps read are dropped by those; the others stay as long as results may read them, until clear_scratch.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.k = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}", 0
+        _MADE.setdefault(spark, []).append(self.base)
 
     def path(self) -> str:
         self.k += 1
@@ -61,6 +90,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], n: str = "n", how: str = "inner") -> DataFrame:
+    """left joined with right (one row for each key, `n` rows of left, which is dropped), with heavy keys dealt to several tasks.
+
+    A key with more than a share of 1 in 4 x partitions of all rows is cut into pieces of that share by a hash of the left row, and its right row is
+    repeated for each piece. There are at most as many heavy keys as pieces, so the list of their hashes, which is broadcast, has a proven bound.
+    """
+    pieces = 4 * partitions(left.sparkSession)
+    total = right.agg(F.sum(n)).first()[0] or 0
+    slots = F.ceil(F.col(n) * pieces / float(max(total, 1))).cast("int")
+    key = F.xxhash64(*on)
+    heavy = F.broadcast(right.where(F.col(n) * pieces > total).groupBy(key.alias("__salt_key")).agg(F.max(slots).alias("__salt_slots")))
+    piece = F.when(F.col("__salt_slots").isNull(), 0).otherwise(F.pmod(F.xxhash64(*[c for c, t in left.dtypes if not t.startswith("map")], F.lit(7)), F.col("__salt_slots"))).cast("int")
+    many = left.withColumn("__salt_key", key).join(heavy, "__salt_key", "left").withColumn("__salt_piece", piece).drop("__salt_key", "__salt_slots")
+    each = right.withColumn("__salt_key", key).join(heavy, "__salt_key", "left").withColumn("__salt_piece", F.explode(F.sequence(F.lit(0), F.coalesce("__salt_slots", F.lit(1)) - 1))).drop("__salt_key", "__salt_slots", n)
+    return many.join(each, [*on, "__salt_piece"], how).drop("__salt_piece")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, so that hash order is unrelated to text order."""
     x = (x ^ (x >> U64(30))) * _MIX1

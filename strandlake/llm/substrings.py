@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, mix64, partitions
+from .common import U64, Scratch, mix64, partitions, salted_join
 
 LENGTH, GRAM = 400, 160
 #: Texts are scanned for anchors in pieces of so many bytes that overlap by LENGTH - 1 (memory bound).
@@ -269,12 +269,13 @@ def find(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
 
     found = scratch.save(rows.select("cls", "text").mapInArrow(lambda it: packed(scan(it)), "cls long, gram long, form long, first long, last long"))
     place = F.xxhash64("cls", "first")
-    often = found.groupBy("gram").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.min("form").alias("f1"), F.max("form").alias("f2")).where("p <> q").select("gram", (F.col("f1") != F.col("f2")).alias("several"))
-    shared = scratch.save(found.join(often, "gram"))
-    scratch.drop(found)
-    forms = shared.groupBy("gram", "form").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.min(F.struct("cls", "first", "last")).alias("one"), F.first("several").alias("several"))
-    forms = scratch.save(forms.select("gram", "form", "one", "several", (F.col("p") == F.col("q")).alias("single")))
-    whole = shared.join(forms.where("not single").select("gram", "form"), ["gram", "form"]).select("cls", "first", "last")
+    often = found.groupBy("gram").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.min("form").alias("f1"), F.max("form").alias("f2"), F.count("*").alias("n")).where("p <> q").select("gram", (F.col("f1") != F.col("f2")).alias("several"), "n")
+    often = scratch.save(often)
+    shared = scratch.save(salted_join(found, often, ["gram"]))
+    scratch.drop(found, often)
+    forms = shared.groupBy("gram", "form").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.min(F.struct("cls", "first", "last")).alias("one"), F.first("several").alias("several"), F.count("*").alias("n"))
+    forms = scratch.save(forms.select("gram", "form", "one", "several", "n", (F.col("p") == F.col("q")).alias("single")))
+    whole = salted_join(shared, forms.where("not single").select("gram", "form", "n"), ["gram", "form"]).select("cls", "first", "last")
     todo = forms.where("several").select("gram", "single", "one.*")
     wanted = todo.groupBy("cls").agg(F.collect_list(F.struct("first", "last", "gram", "single")).alias("at")).withColumnRenamed("cls", "cls2")
     classes = rows.select("cls", "doc_id").groupBy("cls").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"))
@@ -312,7 +313,9 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) for every row: maximal removed byte ranges [from, to) and the remaining bytes.
 
     A byte goes if a string of `length` bytes that covers it also starts anywhere else, in the same text or another; strings
-    are judged on the input and never cross texts. Null texts count as empty; texts shorter than `length` stay as they are.
+    are judged on the input and never cross texts. Null texts count as empty; texts shorter than `length` stay as they are. Of equal strings none is
+    spared, so ties don't arise; equal texts of that length go whole, repeated rows among them. Texts are read whole. An empty table gives an
+    empty one; other columns are not read. A null doc_id keeps its row.
     """
     texts, _ = find(docs, length)
 
