@@ -23,6 +23,8 @@ NONE = np.int64(1) << 60
 CACHE = 300_000
 #: Leaves of one array of trees at most (memory bound); longer words form arrays of one word.
 LEAVES = 1 << 20
+#: Marks behind a word that make one word of their own.
+MARKS = ".,;:!?"
 
 
 def byte_letters() -> list[str]:
@@ -141,11 +143,24 @@ class Codec:
         self.known: dict[bytes, tuple[int, str, str]] = {}
         self.old: dict[bytes, tuple[int, str, str]] = {}
         self.blank = False  # a chunk without ids was met
+        self.short = self._short()
+
+    def _library_words(self, text: str) -> list[bytes]:
+        """Words as the file's own normaliser and pre-tokenizer make them."""
+        if self.parts.normalizer:
+            text = self.parts.normalizer.normalize_str(text)
+        return [bytes(self.letters[c] for c in w) for w, _ in self.parts.pre_tokenizer.pre_tokenize_str(text)]
+
+    def _short(self) -> bool:
+        """Whether the short way holds for this file: letters in lower case are one word and the marks behind them another."""
+        letters = [chr(c) for c in range(0x250) if chr(c).isalpha() and unicodedata.is_normalized("NFC", chr(c)) and chr(c).lower().isalpha()]
+        probes = [(f"{c}a{c}", m) for c in letters for m in ("", ".")] + [("Ab", a + b) for a in MARKS for b in MARKS]
+        return all(self._library_words(x + m) == [x.lower().encode(), *([m.encode()] if m else [])] for x, m in probes)
 
     def _words(self, chunk: str) -> list[bytes | int]:
         """The words of a chunk as bytes, special tokens as their ids."""
-        body = chunk.rstrip(".,;:!?")
-        if body.isalpha() and (body.isascii() or max(body) < "ɐ" and unicodedata.is_normalized("NFC", body)) and (low := body.lower()).isalpha():
+        body = chunk.rstrip(MARKS)
+        if self.short and body.isalpha() and (body.isascii() or max(body) < "ɐ" and unicodedata.is_normalized("NFC", body)) and (low := body.lower()).isalpha():
             return [low.encode(), chunk[len(body) :].encode()] if len(body) < len(chunk) else [low.encode()]
         for content, i in self.special.items():
             before, found, after = chunk.partition(content)
@@ -155,8 +170,7 @@ class Codec:
                 return [*self._words(before), self.special[first], *self._words(after)]
         if not chunk:
             return []
-        text = self.parts.normalizer.normalize_str(chunk)
-        return [bytes(self.letters[c] for c in w) for w, _ in self.parts.pre_tokenizer.pre_tokenize_str(text)]
+        return self._library_words(chunk)
 
     def told(self, ids: list[int]) -> tuple[int, str, str]:
         return len(ids), " ".join([self.decimal[i] for i in ids]), " ".join([self.model.tokens[i] for i in ids])
@@ -166,8 +180,8 @@ class Codec:
 
         Letters and the marks behind them are two words; everything else takes the file's own normaliser and pre-tokenizer.
         """
-        bodies = [c.rstrip(b".,;:!?") for c in chunks]
-        bodies = [b.lower() if b.isalpha() else None for b in bodies]
+        bodies = [c.rstrip(MARKS.encode()) for c in chunks]
+        bodies = [b.lower() if self.short and b.isalpha() else None for b in bodies]
         plain = [(c, b, c[len(b) :]) for c, b in zip(chunks, bodies, strict=True) if b is not None]
         other = [(c, self._words(c.decode("utf-8"))) for c, b in zip(chunks, bodies, strict=True) if b is None]
         words = {x for _, b, t in plain for x in (b, t)}
@@ -204,9 +218,15 @@ class Codec:
     def texts(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """For each text: number of ids, the ids in decimal joined by one space, the decoded text."""
         split = [t.encode("utf-8").split() if t else [] for t in texts]
-        self.learn(set().union(*split))
+        rows: list[list[tuple[int, str, str]] | None] = []
         for s in split:
-            got = list(map(self.known.__getitem__, s))
+            try:
+                rows.append(list(map(self.known.__getitem__, s)))
+            except KeyError:  # a chunk that this worker hasn't met
+                rows.append(None)
+        self.learn(set().union(*(s for s, row in zip(split, rows, strict=True) if row is None)))
+        for s, row in zip(split, rows, strict=True):
+            got = list(map(self.known.__getitem__, s)) if row is None else row
             if self.blank:
                 got = [x for x in got if x[0]]
             sizes, ids, tokens = zip(*got, strict=True) if got else ((), (), ())

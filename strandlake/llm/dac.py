@@ -112,8 +112,16 @@ def library_ids(path: str, texts: list[str | None]) -> list[np.ndarray]:
     known, old = _IDS.setdefault(path, [{}, {}])
     if len(known) > CACHE:
         known, old = _IDS[path] = [{}, known]
-    split = [t.encode("utf-8").split() if t else [] for t in texts]
-    missing = set().union(*split).difference(known)
+    out: list[np.ndarray | None] = []
+    later: dict[int, list[bytes]] = {}
+    for k, text in enumerate(texts):
+        chunks = text.encode("utf-8").split() if text else []
+        try:
+            out.append(np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<u4"))
+        except KeyError:  # a chunk that this worker hasn't met
+            out.append(None)
+            later[k] = chunks
+    missing = set().union(*later.values()).difference(known)
     again = missing.intersection(old)
     known.update((c, old[c]) for c in again)
     plain, other, words = codec.split(list(missing - again))
@@ -127,7 +135,9 @@ def library_ids(path: str, texts: list[str | None]) -> list[np.ndarray]:
     known.update((c, found[b] + found[t]) for c, b, t in plain)
     for c, s in other:
         known[c] = b"".join([w.to_bytes(4, "little") if isinstance(w, int) else found[w] for w in s])
-    return [np.frombuffer(b"".join(map(known.__getitem__, s)), "<u4") for s in split]
+    for k, chunks in later.items():
+        out[k] = np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<u4")
+    return out
 
 
 def write(docs: DataFrame, target: str, vocabulary: str | None = None, end: int | None = 2) -> None:
@@ -221,7 +231,12 @@ def _read(spark: SparkSession, target: str, with_ids: bool) -> DataFrame:
 
 
 def token_table(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Writes the documents to a scratch data set and returns its digest, read back from the files."""
+    """Writes the documents to a scratch data set and returns its digest, read back from the files: one row for every row.
+
+    Null and empty texts hold the end id only. Rows of one id (or of a null id, which come first) stand in the order of their texts; repeated rows
+    have a row each, and which of two equal ones comes first makes no difference. Texts are encoded whole. An empty table gives an empty one;
+    other columns are not read.
+    """
     spark = docs.sparkSession
     target = Scratch(spark, "tokens").path()
     write(docs, target, vocabulary)
