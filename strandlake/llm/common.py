@@ -90,11 +90,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], n: str = "n", how: str = "inner") -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], n: str = "n", merge: bool = False) -> DataFrame:
     """left joined with right (one row for each key, `n` rows of left, which is dropped), with heavy keys dealt to several tasks.
 
     A key with more than a share of 1 in 4 x partitions of all rows is cut into pieces of that share by a hash of the left row, and its right row is
     repeated for each piece. There are at most as many heavy keys as pieces, so the list of their hashes, which is broadcast, has a proven bound.
+    merge: the join is a sort-merge join at every size, so that exchanges of large rows grow with the input and not by leaps.
     """
     pieces = 4 * partitions(left.sparkSession)
     total = right.agg(F.sum(n)).first()[0] or 0
@@ -104,7 +105,7 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], n: str = "n",
     piece = F.when(F.col("__salt_slots").isNull(), 0).otherwise(F.pmod(F.xxhash64(*[c for c, t in left.dtypes if not t.startswith("map")], F.lit(7)), F.col("__salt_slots"))).cast("int")
     many = left.withColumn("__salt_key", key).join(heavy, "__salt_key", "left").withColumn("__salt_piece", piece).drop("__salt_key", "__salt_slots")
     each = right.withColumn("__salt_key", key).join(heavy, "__salt_key", "left").withColumn("__salt_piece", F.explode(F.sequence(F.lit(0), F.coalesce("__salt_slots", F.lit(1)) - 1))).drop("__salt_key", "__salt_slots", n)
-    return many.join(each, [*on, "__salt_piece"], how).drop("__salt_piece")
+    return (many.hint("merge") if merge else many).join(each, [*on, "__salt_piece"]).drop("__salt_piece")
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

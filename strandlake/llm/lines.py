@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, salted_join
 
 DIVISOR, MULTIPLIER, LEAST_LINES = 3, 31, 2
 
@@ -34,8 +34,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     """All rows with the columns they came with, text replaced by what stays and n_chars (if there) by its length, then n_lines,
     n_chunks, n_removed_chunks, n_removed_lines as the struct `line_dedup`.
 
-    Null text stays null. A text of which all chunks go becomes ''. Rows that repeat id and text are judged as one. A row with null
-    doc_id comes first in the order. Texts cross the exchange once, to meet the list of their removed chunks; chunks that occur once
+    Null text stays null, an empty one is one blank line. A text of which all chunks go becomes ''. Rows that repeat id and text are judged as one; of
+    two texts of one id that share a chunk the one of lesser hash comes first. A row with null doc_id comes first in the order. An empty table
+    gives an empty one, and columns keep their names whatever they are. Texts cross the exchange once, to meet the list of their removed chunks; chunks that occur once
     cross it as hashes only.
     """
     scratch = Scratch(docs.sparkSession, "lines")
@@ -49,15 +50,15 @@ def dedup(docs: DataFrame) -> DataFrame:
     long_enough = F.filter(F.transform("ranges", lambda r, i: F.struct(i.alias("at"), r.alias("r"))), lambda c: c["r"]["last"] - c["r"]["first"] + 1 >= LEAST_LINES)
     chunks = base.select("id", "h", F.explode(F.transform(long_enough, lambda c: F.struct(c["at"].alias("at"), text_of(c["r"]).alias("chunk")))).alias("c")).select("id", "h", "c.at", "c.chunk")
     chunks = chunks.where(F.col("chunk").rlike(r"\S[^\n]*\n(?s:.*)\S")).withColumn("hash", F.xxhash64("chunk"))
-    often = scratch.save(chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("hash").alias("hash2")))
+    often = scratch.save(chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"))
     # Joins of texts are of a fixed kind, so that exchanges grow with the texts and not by leaps.
-    again = scratch.save(chunks.hint("merge").join(often, F.col("hash") == F.col("hash2"), "left_semi"))
+    again = scratch.save(salted_join(chunks, often, ["hash"], merge=True))
     place = F.struct("id", "h", "at")
-    heads = again.groupBy("hash", "chunk").agg(F.min(place).alias("head"), F.count("*").alias("n")).where("n > 1").select(F.col("hash").alias("hash3"), F.col("chunk").alias("chunk3"), "head")
-    gone = again.hint("merge").join(heads, (F.col("hash") == F.col("hash3")) & (F.col("chunk") == F.col("chunk3"))).where(~place.eqNullSafe(F.col("head")))
+    heads = scratch.save(again.groupBy("hash", "chunk").agg(F.min(place).alias("head"), F.count("*").alias("n")).where("n > 1"))
+    gone = salted_join(again, heads, ["hash", "chunk"], merge=True).where(~place.eqNullSafe(F.col("head")))
     removed = gone.groupBy(F.col("id").alias("id2"), F.col("h").alias("h2")).agg(F.collect_set("at").alias("removed"))
     removed = scratch.save(removed)
-    scratch.drop(again, often)
+    scratch.drop(again, often, heads)
     joined = base.hint("merge").join(removed, (F.col("h") == F.col("h2")) & F.col("id").eqNullSafe(F.col("id2")), "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     kept = F.filter("ranges", lambda r, i: ~F.array_contains("removed", i))
     dropped = F.filter("ranges", lambda r, i: F.array_contains("removed", i))
