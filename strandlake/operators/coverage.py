@@ -120,3 +120,8 @@ def mean_track(values: DataFrame, width: int, by: str = "cell") -> DataFrame:
 def group_curve(curves: DataFrame, by: str, x: str, y: str) -> DataFrame:
     """Mean and standard deviation of curves at every x of a group."""
     return curves.groupBy(by, x).agg(F.avg(y).alias("mean"), F.stddev_samp(y).alias("sd"))
+
+
+def group_mean(df: DataFrame, by: list[str], value: str = "gini") -> DataFrame:
+    """Mean and number of a per-cell figure for each group (method, species); nulls don't count."""
+    return df.groupBy(*by).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))

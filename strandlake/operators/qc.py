@@ -133,6 +133,13 @@ def funnel(summary: DataFrame) -> DataFrame:
     return out.withColumn("lost", F.col("reads") - F.lead("reads").over(Window.orderBy("step")))
 
 
+def complete_join(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """Inner join in which every left row must find one row on the right; a missing key raises."""
+    joined = left.join(right.withColumn("__found", F.lit(True)), on, "left")
+    checked = F.when(F.col("__found").isNull(), F.raise_error(F.concat(F.lit("no such key: "), F.col(on).cast("string")))).otherwise(F.col(on))
+    return joined.withColumn(on, checked).drop("__found")
+
+
 def coverage_scatter(cells: DataFrame, conditions: DataFrame | None = None, default: str = "Unassigned") -> DataFrame:
     """(barcode, condition, mean_coverage, pct_1x) of the cells that have both figures."""
     out = cells.where("mean_coverage is not null and pct_1x is not null").select("barcode", "mean_coverage", "pct_1x")

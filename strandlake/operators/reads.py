@@ -255,3 +255,18 @@ def with_read_group(df: DataFrame, value: Column) -> DataFrame:
 def coordinate_sort(df: DataFrame) -> DataFrame:
     """Globally sorted by contig and position, for range-partitioned files."""
     return df.repartitionByRange("chrom", "pos0").sortWithinPartitions("chrom", "pos0")
+
+
+def of_cells(df: DataFrame, cells: DataFrame, tag: str = "cell") -> DataFrame:
+    """Records whose tag is one of the listed barcodes."""
+    return df.join(cells.select(F.col("barcode").alias(tag)).distinct(), tag, "left_semi")
+
+
+def matrix_sums(entries: DataFrame, by: str, value: str = "n") -> DataFrame:
+    """(by, total, detected): sum and number of entries above 0 for each row or column of a sparse matrix in long form."""
+    return entries.groupBy(by).agg(F.sum(value).alias("total"), F.count_if(F.col(value) > 0).alias("detected"))
+
+
+def chunked(df: DataFrame, chunks: int, key: str = "qname") -> DataFrame:
+    """Adds chunk 0 to chunks - 1 by the hash of the template, so that mates stay together, and deals rows out by it."""
+    return df.withColumn("chunk", F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int")).repartition(chunks, "chunk")

@@ -38,6 +38,11 @@ def multiallelic(sites: DataFrame) -> DataFrame:
     return sites.withColumn("multiallelic", F.count("*").over(Window.partitionBy("chrom", "pos")) > 1)
 
 
+def biallelic(sites: DataFrame) -> DataFrame:
+    """Sites at whose position no other record stands."""
+    return multiallelic(sites).where(~F.col("multiallelic")).drop("multiallelic")
+
+
 def combine_genotypes(calls: DataFrame) -> DataFrame:
     """One row for each sample and (chrom, pos, ref): all alleles of the site in order, the sample's depth, genotype and depths by allele.
 

@@ -44,6 +44,14 @@ def q15(spark: SparkSession, d: str) -> DataFrame:
     return coverage.gini(counted_bins(spark, d), n=coverage.number_of_bins(contigs(spark), WIDTH)).withColumn("gini", F.round("gini", 9))
 
 
+@query("q15b_mean_gini_by_group", f"""{A}, {BINNED}, {CURVE}, g AS (SELECT cell, 1 - 2 / max(n) * (sum(c) - (min(CASE WHEN i = 1 THEN c END) + 1) / 2) AS gini FROM share GROUP BY cell)
+SELECT s_nationkey AS method, round(avg(gini), 9) AS mean, count(gini) AS n FROM g JOIN supplier ON cell = concat('c', s_suppkey) GROUP BY s_nationkey""")
+def q15b(spark: SparkSession, d: str) -> DataFrame:
+    g = coverage.gini(counted_bins(spark, d), n=coverage.number_of_bins(contigs(spark), WIDTH))
+    methods = table(spark, d, "supplier").selectExpr("concat('c', s_suppkey) AS cell", "s_nationkey AS method")
+    return coverage.group_mean(g.join(methods, "cell"), ["method"]).withColumn("mean", F.round("mean", 9))
+
+
 @query("q16_lorenz_curve", f"""{A}, {BINNED}, {CURVE}, grid AS (SELECT range AS j FROM range(100)), cells AS (SELECT cell, max(n) AS n FROM share GROUP BY cell),
 spot AS (SELECT cell, n, j, floor(n * j / 99)::BIGINT AS k, n * j / 99 - floor(n * j / 99) AS f FROM cells, grid)
 SELECT spot.cell AS cell, round(j / 99, 9) AS cumulative_fraction_genome, round(CASE WHEN k + 1 >= spot.n THEN 1 ELSE lo.c + f * (hi.c - lo.c) END, 9) AS cumulative_fraction_reads

@@ -321,3 +321,21 @@ def q54(spark: SparkSession, d: str) -> DataFrame:
 def q55(spark: SparkSession, d: str) -> DataFrame:
     pairs = intervals.overlap_join(alignments(spark, d).select("chrom", "pos0", "pos1"), exons(spark, d))
     return pairs.groupBy("gene").agg(F.count("*").alias("n"), F.sum(F.least("pos1", "pos1_r") - F.greatest("pos0", "pos0_r")).alias("bp"))
+
+
+@query("q64_matrix_sums", f"""{A}, m AS (SELECT cell AS barcode, abs(tlen) AS insert, count(*) AS n FROM alignments WHERE (flag & 66) = 66 AND abs(tlen) < 1000 GROUP BY 1, 2)
+SELECT barcode, sum(n)::BIGINT AS total, count(*) FILTER (WHERE n > 0) AS detected FROM m GROUP BY barcode""")
+def q64(spark: SparkSession, d: str) -> DataFrame:
+    return reads.matrix_sums(reads.insert_pairs(alignments(spark, d)), "barcode")
+
+
+@query("q65_reads_of_cells", f"{A} SELECT cell, count(*) AS n FROM alignments WHERE cell IN (SELECT concat('c', s_suppkey) FROM supplier WHERE s_acctbal > 0) GROUP BY cell")
+def q65(spark: SparkSession, d: str) -> DataFrame:
+    cells_ = table(spark, d, "supplier").where("s_acctbal > 0").selectExpr("concat('c', s_suppkey) AS barcode")
+    return reads.of_cells(alignments(spark, d), cells_).groupBy("cell").agg(F.count("*").alias("n"))
+
+
+@query("q66_complete_join", f"{A}, n AS (SELECT cell, count(*) AS n FROM alignments GROUP BY cell) SELECT cell, n, s_acctbal AS balance FROM n JOIN supplier ON cell = concat('c', s_suppkey)")
+def q66(spark: SparkSession, d: str) -> DataFrame:
+    counts = alignments(spark, d).groupBy("cell").agg(F.count("*").alias("n"))
+    return qc.complete_join(counts, table(spark, d, "supplier").selectExpr("concat('c', s_suppkey) AS cell", "s_acctbal AS balance"), "cell")

@@ -42,6 +42,11 @@ def q30(spark: SparkSession, d: str) -> DataFrame:
     return variants.multiallelic(calls(spark, d).select("chrom", "pos", "ref", "alt").distinct())
 
 
+@query("q30c_biallelic_sites", f"{C}, s AS (SELECT DISTINCT {SITE} FROM calls WHERE ad > 20) SELECT {SITE} FROM (SELECT {SITE}, count(*) OVER (PARTITION BY chrom, pos) AS k FROM s) WHERE k = 1")
+def q30c(spark: SparkSession, d: str) -> DataFrame:
+    return variants.biallelic(calls(spark, d).where("ad > 20").select("chrom", "pos", "ref", "alt").distinct())
+
+
 @query("q30b_call_summary", f"{C}, s AS (SELECT DISTINCT {SITE} FROM calls) SELECT count(*) AS records, count(*) FILTER (WHERE length(ref) = 1 AND length(alt) = 1) AS snps, count(*) FILTER (WHERE NOT (length(ref) = 1 AND length(alt) = 1)) AS indels, (SELECT count(DISTINCT sample) FROM calls) AS samples FROM s")
 def q30b(spark: SparkSession, d: str) -> DataFrame:
     return variants.call_summary(calls(spark, d))

@@ -133,8 +133,9 @@ def names(spark: SparkSession, path: str) -> DataFrame:
     return _lines(spark, path).select(F.trim("value").alias("barcode")).where("barcode <> ''")
 
 
-def counts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema="barcode string, read_count long", mode="DROPMALFORMED")
+def counts(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """(barcode, read_count) of a CSV file; lines with fewer fields or another type are skipped, or raise if strict."""
+    return spark.read.csv(path, header=True, schema="barcode string, read_count long", mode="FAILFAST" if strict else "DROPMALFORMED")
 
 
 def raw_csv(spark: SparkSession, path: str) -> DataFrame | None:
