@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, components, forest, partitions, shingle_hashes, word_hashes
+from .common import U64, Scratch, components, forest, mix64, partitions, salted_join, shingle_hashes, word_hashes
 
 #: Entries and classes of a row block (memory bound), classes of a row block from which a column is hot, and its power of two.
 ENTRIES, CLASSES, HOT, HOT_POWER = 1 << 20, 60_000, 32, 31
@@ -41,22 +41,22 @@ def ngram_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(text), n))
 
 
-def narrow(h: np.ndarray) -> bytes:
-    """The lower 40 bits of each hash."""
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+def narrow(h: np.ndarray, blocks: int) -> bytes:
+    """48 bits of each hash besides its column block, of h div blocks; with the block, one of 256 or more, 56 bits are told apart."""
+    return np.ascontiguousarray((h // U64(blocks)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
-def widen(raw: bytes | None) -> np.ndarray:
+def widen(raw: bytes | None, block: np.ndarray | int, blocks: int) -> np.ndarray:
     if not raw:
         return np.empty(0, U64)
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.reshape(-1).view("<u8").astype(U64, copy=False)
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8").astype(U64, copy=False) * U64(blocks) + np.asarray(block).astype(U64)
 
 
-def column_name(power: np.ndarray, low: np.ndarray, block: np.ndarray | int) -> np.ndarray:
-    """63 bits that order columns by how many classes they hold, then by hash."""
-    return power.astype(U64) << U64(58) | low << U64(18) | np.asarray(block).astype(U64) & U64((1 << 18) - 1)
+def column_name(power: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """63 bits that order columns by how many classes they hold (a power of two), then by a hash of 58 bits."""
+    return power.astype(U64) << U64(58) | mix64(h) >> U64(6)
 
 
 ROW = pa.schema([
@@ -88,7 +88,7 @@ def row_blocks(n: int, blocks: int):
         home = batch % blocks
         first = {
             "keys": np.array(keys, np.int64).tobytes(), "sizes": sizes.astype("<i8").tobytes(), "doc_ids": [d for d, _ in docs], "doc_idx": np.array([i for _, i in docs], "<u2").tobytes(),
-            "hot_low": narrow(hot_h), "hot_block": (hot_h % U64(blocks)).astype("<u4").tobytes(), "hot_cnt": hot_cnt.astype("<u4").tobytes(), "hot_idx": owner[hot_entry].astype("<u2").tobytes(),
+            "hot_low": narrow(hot_h, blocks), "hot_block": (hot_h % U64(blocks)).astype("<u4").tobytes(), "hot_cnt": hot_cnt.astype("<u4").tobytes(), "hot_idx": owner[hot_entry].astype("<u2").tobytes(),
         }
         h, owner = h[~hot_entry], owner[~hot_entry]
         block = (h % U64(blocks)).astype(np.int64)
@@ -102,7 +102,7 @@ def row_blocks(n: int, blocks: int):
             if not len(own) and not len(mine) and b != home:
                 continue
             at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.empty(0, np.int64)
-            row = {"batch": batch, "block": b, "idx": own[at].astype("<u2").tobytes(), "cnt": np.diff(np.append(at, len(own))).astype("<u4").tobytes(), "low": narrow(low), "hot": narrow(mine)}
+            row = {"batch": batch, "block": b, "idx": own[at].astype("<u2").tobytes(), "cnt": np.diff(np.append(at, len(own))).astype("<u4").tobytes(), "low": narrow(low, blocks), "hot": narrow(mine, blocks)}
             yield pa.RecordBatch.from_pylist([row | (first if b == home else {})], schema=ROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +129,7 @@ def row_blocks(n: int, blocks: int):
     return run
 
 
-def column_block(table: pa.Table) -> pa.Table:
+def column_block(table: pa.Table, blocks: int) -> pa.Table:
     """Of one column block: the entries in shared columns, by row block."""
     rows = table.to_pylist()
     block = rows[0]["block"]
@@ -138,9 +138,9 @@ def column_block(table: pa.Table) -> pa.Table:
     kind = np.uint32 if len(rows) < 1 << 16 else np.uint64
     for k, r in enumerate(rows):
         idx, cnt = np.frombuffer(r["idx"], "<u2").astype(kind), np.frombuffer(r["cnt"], "<u4")
-        lows.append(widen(r.pop("low")))
+        lows.append(widen(r.pop("low"), block, blocks))
         owners.append(np.repeat(kind(k << 16) | idx, cnt))
-    hot = np.unique(np.concatenate([widen(r["hot"]) for r in rows]))
+    hot = np.unique(np.concatenate([widen(r["hot"], block, blocks) for r in rows]))
     low = np.concatenate(lows)
     lows.clear()
     order = np.argsort(low, kind="stable").astype(np.uint32 if len(low) < 1 << 32 else np.int64)
@@ -156,7 +156,7 @@ def column_block(table: pa.Table) -> pa.Table:
     if len(hot):
         power[is_hot[keep]] = HOT_POWER
     shared = np.repeat(keep, runs)
-    names = column_name(np.repeat(power, runs[keep]), low[shared], block)
+    names = column_name(np.repeat(power, runs[keep]), low[shared])
     order = order[shared]
     del low, shared
     by_row = np.argsort(order)
@@ -169,7 +169,7 @@ def column_block(table: pa.Table) -> pa.Table:
         idx, col = (owner[cut[k] : cut[k + 1]] & kind(0xFFFF)).astype(np.int64), names[cut[k] : cut[k + 1]]
         if r["keys"] is not None:
             own = np.frombuffer(r["hot_idx"], "<u2").astype(np.int64)
-            wide = column_name(np.full(len(r["hot_low"]) // 5, HOT_POWER), widen(r["hot_low"]), np.frombuffer(r["hot_block"], "<u4"))
+            wide = column_name(np.full(len(r["hot_low"]) // 6, HOT_POWER), widen(r["hot_low"], np.frombuffer(r["hot_block"], "<u4"), blocks))
             idx, col = np.concatenate([idx, own]), np.concatenate([col, np.repeat(wide, np.frombuffer(r["hot_cnt"], "<u4"))])
         if len(idx) or r["keys"] is not None:
             out.append({"batch": r["batch"], "idx": idx.astype("<u2").tobytes(), "col": col.astype("<u8").tobytes(), "keys": r["keys"], "sizes": r["sizes"], "doc_ids": r["doc_ids"], "doc_idx": r["doc_idx"]})
@@ -223,19 +223,22 @@ def overlap_reaches(percent: int):
 def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of (doc_id, text): components of documents linked by their sets.
 
-    Texts without words (or null) have an empty set and link with nothing. Documents of equal sets link. Rows of equal id are linked
-    with themselves only. A null doc_id stays, its component is the least id it reaches (null if there is none).
+    Texts without words (or null) have an empty set and link with nothing. Documents of equal sets link, repeated rows among them. Rows of equal id
+    with different texts are judged text by text. A null doc_id stays, its component is the least id it reaches (null if there is none).
+    Sets are whole, whatever a text's length; an empty table gives an empty one; other columns are not read. Shingles are told apart by 56 bits
+    of their hashes.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "ngrams")
-    blocks = 2 * partitions(spark)
+    blocks = max(256, 2 * partitions(spark))
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(row_blocks(n, blocks), ROW_DDL)
-    back = cut.groupBy("block").applyInArrow(column_block, BACK_DDL)
+    back = cut.groupBy("block").applyInArrow(lambda table: column_block(table, blocks), BACK_DDL)
     found = scratch.save(back.groupBy("batch").applyInArrow(row_block(percent), FOUND_DDL))
     members = found.where("prefix is null").select("doc_id", "key", "n")
     heads = members.groupBy("key").agg(F.min("doc_id").alias("head"))
     rows = scratch.save(found.where("prefix is not null").drop("doc_id").dropDuplicates(["key"]))
     links = link(rows, scratch, percent)
     linked = components(links, scratch).withColumnRenamed("id", "key")
+    scratch.drop(rows)
     # The least document of each component, over classes; classes without a link are components of their own.
     classes = scratch.save(heads.join(linked, "key", "left").select("key", "head", F.coalesce("component", "key").alias("component")))
     least = classes.groupBy("component").agg(F.min("head").alias("component_id"))
@@ -261,25 +264,23 @@ def link(rows: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
         return pairs.where((100 + percent) * (F.col("c") + rest) >= percent * (F.col("n1") + F.col("n2")))
 
     side = [F.col("key").alias("a"), F.col("n").alias("n1"), F.col("rest").alias("rest1"), F.col("end").alias("end1"), "col"]
-    lead = entries.groupBy("col").agg(F.min(F.struct("key", "n", "rest", "end")).alias("l"), F.count("*").alias("g")).where("g > 1").select("col", "l.*")
-    tried = entries.select(*side).join(lead.select("col", F.col("key").alias("b"), F.col("n").alias("n2"), F.col("rest").alias("rest2"), F.col("end").alias("end2")), "col").where("a <> b").where(fits(F.col("n1"), F.col("n2"), percent))
+    lead = scratch.save(entries.groupBy("col").agg(F.min(F.struct("key", "n", "rest", "end")).alias("l"), F.count("*").alias("g")).where("g > 1").select("col", F.col("l.key").alias("b"), F.col("l.n").alias("n2"), F.col("l.rest").alias("rest2"), F.col("l.end").alias("end2"), "g"))
+    tried = salted_join(entries.select(*side), lead, ["col"], "g").where("a <> b").where(fits(F.col("n1"), F.col("n2"), percent))
     pair = ["a", "b", "n1", "rest1", "end1", "n2", "rest2", "end2"]
     counted = may(tried.groupBy(*pair).agg(F.count("*").alias("c")))
     best = counted.groupBy("a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b"))
     first = scratch.save(reaching(best))
     parts = scratch.save(components(first, scratch))
     with_part = scratch.save(entries.join(parts, entries.key == parts.id, "left").select("key", "n", "rest", "end", "col", F.coalesce("component", "key").alias("part")))
-    mixed = with_part.groupBy("col").agg(F.min("part").alias("p1"), F.max("part").alias("p2")).where("p1 <> p2").select("col")
-    open_ = scratch.save(with_part.join(mixed, "col", "left_semi"))
-    size = open_.groupBy("col").agg(F.count("*").alias("g"))
-    heavy = scratch.save(open_.join(size.where(F.col("g") > HEAVY).select("col"), "col", "left_semi").select("key", "n", "col"))
-    light = open_.join(size.where(F.col("g") <= HEAVY).select("col"), "col", "left_semi")
+    mixed = scratch.save(with_part.groupBy("col").agg(F.min("part").alias("p1"), F.max("part").alias("p2"), F.count("*").alias("g")).where("p1 <> p2").select("col", "g"))
+    heavy = scratch.save(salted_join(with_part, mixed.where(F.col("g") > HEAVY), ["col"], "g").select("key", "n", "col"))
+    light = scratch.save(with_part.join(mixed.where(F.col("g") <= HEAVY).select("col"), "col"))
     left = light.select(*side, F.col("part").alias("part1"))
     right = light.select(F.col("key").alias("b"), F.col("n").alias("n2"), F.col("rest").alias("rest2"), F.col("end").alias("end2"), "col", F.col("part").alias("part2"))
     across = left.join(right, "col").where((F.col("a") < F.col("b")) & (F.col("part1") != F.col("part2")) & fits(F.col("n1"), F.col("n2"), percent))
     more = scratch.save(reaching(may(across.groupBy(*pair).agg(F.count("*").alias("c")))))
     blocks = scratch.save(product(heavy, narrow_rows, scratch, percent))
-    scratch.drop(with_part, entries)
+    scratch.drop(with_part, entries, lead, parts, mixed, light, heavy)
     return first.unionAll(more).unionAll(blocks)
 
 
