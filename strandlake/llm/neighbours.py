@@ -52,16 +52,19 @@ def link(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     Linked are vectors of equal, not null label and equal length with a cosine of at least `cosine` (0.5 to 1), in double precision. Vectors
     that are null, empty, zero, or hold a null or non-finite component link with nothing. Equal vectors of a label are one point
-    with a weight. Only the sample for pivots (SAMPLE vectors) passes the driver; it changes the cells, not the result.
+    with a weight, and rows that repeat an id are vectors of their own. A vector as near to two pivots is at home with the first. An empty table
+    gives an empty one; other columns are not read. Only the sample for pivots (SAMPLE vectors) passes the driver; it changes the cells, not the result.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "vectors")
     r = math.sqrt(2 - 2 * cosine)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     good = F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda e: F.coalesce(~F.isnan(e) & (F.abs(e) < float("inf")), F.lit(False))) & F.exists("embedding", lambda e: e != 0)
-    points = scratch.save(rows.where(good).groupBy("label", "embedding").agg(F.min("vec_id").alias("head"), F.count("*").alias("weight")))
+    # A point is known by the hash of its label and vector, as an id may stand for several vectors.
+    points = rows.where(good).groupBy("label", "embedding").agg(F.count("*").alias("weight"))
+    points = scratch.save(points.select("label", "embedding", F.xxhash64("label", "embedding").alias("head"), "weight"))
     members = scratch.save(rows.where(good).join(points, ["label", "embedding"]).select("vec_id", "head", "weight"))
     n = points.count()
-    sample = [row[0] for row in points.orderBy(F.xxhash64("head"), "head").limit(SAMPLE).select("embedding").collect()]
+    sample = [row[0] for row in points.orderBy("head").limit(SAMPLE).select("embedding").collect()]
     by_size: dict[int, list] = {}
     for v in sample:
         by_size.setdefault(len(v), []).append(v)
@@ -123,7 +126,8 @@ def link(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     scratch.drop(placed)
     counts = found.groupBy(F.col("a").alias("head")).agg(F.sum("links").alias("links"))
     groups = components(found.where("b is not null").select("a", "b"), scratch).select(F.col("id").alias("head"), "component")
-    per_head = members.join(counts, "head", "left").join(groups, "head", "left")
-    known = per_head.select("vec_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "head").alias("component_id"))
+    per_head = scratch.save(members.join(counts, "head", "left").join(groups, "head", "left").select("vec_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "head").alias("component")))
+    least = per_head.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    known = per_head.join(least, "component").select("vec_id", "n_links", "component_id")
     single = rows.where(~good | good.isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return known.unionAll(single).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
