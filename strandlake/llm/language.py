@@ -5,6 +5,9 @@ characters counted over all of its training documents; lower orders use continua
 arrays of 64-bit hashes with the interpolated probabilities beside them; a look-up is a binary search. The language
 with the lowest cross-entropy per character wins, and a document is rejected when even that one is
 above the language's threshold, a high quantile of its own training documents plus a margin.
+
+No n-gram and no language is left out. While all n-grams are at most BROADCAST, workers get the arrays by broadcast; beyond that the same
+model is fitted and looked up as tables, by joins on the n-grams that the documents hold. Both give the same probabilities.
 """
 
 from __future__ import annotations
@@ -18,11 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Scratch, mix64
+from .common import U64, Scratch, mix64, salted_join
 
 ORDER = 4
-#: Bound of the model: n-grams of the highest order kept for each language, the most frequent first, and languages.
-MAX_GRAMS, MAX_LANGUAGES = 400_000, 64
+#: N-grams of all languages up to which the models are broadcast.
+BROADCAST = 2_000_000
 #: Calibration: documents above this quantile of cross-entropy in their own language, plus the margin in nats, are rejected.
 #: Short texts vary more: SHORT over the root of the number of characters is added as well.
 QUANTILE, MARGIN, SHORT = 0.999, 0.35, 3.0
@@ -137,7 +140,7 @@ class KneserNey:
         """Natural log of the probability of the last character of each packed n-gram given those before."""
         p = np.full(len(g), self.floor)
         for k, (keys, probs, ckeys, backs) in enumerate(zip(self.keys, self.probs, self.context_keys, self.context_backoff, strict=True), start=1):
-            gram = g & U64((1 << (16 * k)) - 1) if k < 4 else g
+            gram = g & U64((1 << (16 * k)) - 1) if k < len(self.keys) else g
             back, seen = _find(ckeys, backs, mix64((gram >> SHIFT) + U64(k)))
             p = np.where(seen, back * p, p)
             value, known = _find(keys, probs, mix64(gram + U64(k)))
@@ -156,7 +159,7 @@ class Scorer:
     BITS = 20
 
     def __init__(self, languages: list[str], models: list[KneserNey]):
-        self.languages, self.models = languages, models
+        self.languages, self.models, self.order = languages, models, len(models[0].keys)
         self.slots = np.zeros(1 << self.BITS, U64)
         self.logs = np.zeros((1 << self.BITS, len(models)), np.float32)
 
@@ -177,7 +180,7 @@ class Scorer:
 
     def cross_entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Mean negative log-probability per character for each text and language; number of characters scored."""
-        parts = [grams(characters(t)) for t in texts]
+        parts = [grams(characters(t), self.order) for t in texts]
         sizes = np.array([len(p) for p in parts])
         out = np.full((len(texts), len(self.models)), np.nan)
         if sizes.sum():
@@ -188,38 +191,72 @@ class Scorer:
         return out, sizes
 
 
+class Tables:
+    """The models as tables: for each order k (language, n-gram, probability) and (language, context, weight of the lower order)."""
+
+    def __init__(self, counts: DataFrame, order: int, scratch: Scratch):
+        self.order, self.scratch = order, scratch
+        levels = [counts.select("lang", "gram", F.col("n").cast("double").alias("c"))]
+        for k in range(order - 1, 0, -1):  # continuation counts
+            levels.insert(0, scratch.save(levels[0].groupBy("lang", self.last("gram", k).alias("gram")).agg(F.count("*").cast("double").alias("c"))))
+        self.floors = scratch.save(levels[0].groupBy("lang").agg((1 / (F.count("*") + 1)).alias("p")))
+        self.probs: list[DataFrame] = []
+        self.contexts: list[DataFrame] = []
+        for k, t in enumerate(levels, start=1):
+            once, twice = F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)
+            discount = t.groupBy("lang").agg(F.when((once > 0) & (twice > 0), once / (once + 2 * twice)).otherwise(0.5).alias("d"))
+            own = t.withColumn("context", F.shiftrightunsigned("gram", 16) if k > 1 else F.lit(0).cast("long"))
+            weight = own.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.count("*").alias("kinds")).join(discount, "lang")
+            weight = scratch.save(weight.select("lang", "context", "total", "d", (F.col("d") * F.col("kinds") / F.col("total")).alias("back")))
+            lower = self.floors.select("lang", F.col("p").alias("low")) if k == 1 else self.probs[-1].select("lang", F.col("gram").alias("end"), F.col("p").alias("low"))
+            joined = own.join(weight, ["lang", "context"])
+            joined = joined.join(lower, "lang") if k == 1 else joined.withColumn("end", self.last("gram", k - 1)).join(lower, ["lang", "end"])
+            self.probs.append(scratch.save(joined.select("lang", "gram", (F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("total") + F.col("back") * F.col("low")).alias("p"))))
+            self.contexts.append(weight.select("lang", "context", "back"))
+
+    def last(self, gram: str, k: int) -> Column:
+        """The last k characters of an n-gram."""
+        return F.col(gram) if k == self.order else F.col(gram).bitwiseAND(F.lit((1 << (16 * k)) - 1))
+
+    def logs(self, wanted: DataFrame, languages: list[str]) -> DataFrame:
+        """(gram, n, logs) for each of (gram, n): log-probabilities in the order of the languages."""
+        rows = wanted.crossJoin(self.floors)
+        for k, (contexts, probs) in enumerate(zip(self.contexts, self.probs, strict=True), start=1):
+            own = self.last("gram", k)
+            rows = rows.withColumn("end", own).withColumn("context", F.shiftrightunsigned("end", 16) if k > 1 else F.lit(0).cast("long"))
+            rows = rows.join(contexts, ["lang", "context"], "left").join(probs.select("lang", F.col("gram").alias("end"), F.col("p").alias("known")), ["lang", "end"], "left")
+            rows = rows.select("gram", "n", "lang", F.coalesce("known", F.coalesce("back", F.lit(1.0)) * F.col("p")).alias("p"))
+        at = F.array_position(F.array(*map(F.lit, languages)), F.col("lang"))
+        return rows.groupBy("gram", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), F.log("p").alias("log")))), lambda x: x["log"]).alias("logs"))
+
+
 class Identifier:
-    """Fitted models with their rejection thresholds."""
+    """Fitted models, as arrays or as tables, with their rejection thresholds."""
 
-    def __init__(self, languages: list[str], models: list[KneserNey], thresholds: dict[str, float] | None = None):
-        self.languages, self.models, self.thresholds = languages, models, thresholds or {}
+    def __init__(self, languages: list[str], models: list[KneserNey], thresholds: dict[str, float] | None = None, tables: Tables | None = None):
+        self.languages, self.models, self.thresholds, self.tables = languages, models, thresholds or {}, tables
 
     @classmethod
-    def fit(cls, train: DataFrame, calibrate: bool = True, max_grams: int = MAX_GRAMS) -> Identifier:
-        """From every row of (lang, text) whose lang is not null.
+    def fit(cls, train: DataFrame, calibrate: bool = True, order: int = ORDER, broadcast: int = BROADCAST) -> Identifier:
+        """From every row of (lang, text) whose lang and text are not null; repeated rows count as often as they occur.
 
-        Counts cover all rows. The driver gets at most max_grams n-grams for each of at most MAX_LANGUAGES languages
-        (more are an error), so the broadcast model has a fixed bound. Without a usable row no language is learned.
+        Counts, discounts and continuation counts cover all rows. Up to `broadcast` n-grams pass the driver, which is checked first; more are fitted
+        as tables. Without a usable row no language is learned. order: 2 to 4 characters.
         """
-        spark = train.sparkSession
-        scratch = Scratch(spark, "langid")
+        if not 2 <= order <= 4:
+            raise ValueError("n-grams of 2 to 4 characters fit into 64 bits")
+        scratch = Scratch(train.sparkSession, "langid")
         rows = train.where("lang is not null and text is not null").select("lang", "text")
-        counts = scratch.save(count_grams(rows))
-        per_lang = counts.groupBy("lang").agg(F.count("*").alias("kinds")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-        if len(per_lang) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages")
-        languages, models = [], []
-        for lang, kinds in per_lang:
-            own = counts.where(F.col("lang").eqNullSafe(lang))
-            if kinds > max_grams:
-                own = own.orderBy(F.desc("n"), "gram").limit(max_grams)
-            got = own.select("gram", "n").toPandas()
-            g, n = got["gram"].to_numpy().view(U64), got["n"].to_numpy()
-            order = np.argsort(g)
-            languages.append(lang)
-            models.append(KneserNey.fit(g[order], n[order]))
-        scratch.drop(counts)
-        fitted = cls(languages, models)
+        counts = scratch.save(count_grams(rows, order))
+        languages = [r[0] for r in counts.select("lang").distinct().orderBy("lang").collect()]
+        if counts.count() <= broadcast:
+            got = counts.toPandas()
+            got["gram"] = got["gram"].to_numpy().view(U64)
+            models = [KneserNey.fit(own["gram"].to_numpy(), own["n"].to_numpy(), order) for _, own in got.sort_values(["lang", "gram"]).groupby("lang")]
+            fitted = cls(languages, models)
+            scratch.drop(counts)
+        else:
+            fitted = cls(languages, [], tables=Tables(counts, order, scratch))
         if calibrate and languages:
             fitted.thresholds = fitted._calibrate(rows)
         return fitted
@@ -230,8 +267,12 @@ class Identifier:
         return {lang: h + MARGIN for lang, h in got}
 
     def _scored(self, docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast((self.languages, self.models))
         languages = self.languages
+        if not languages:
+            return docs.select(*keep, F.array().cast("array<double>").alias("entropies"), F.lit(0).cast("long").alias("n"))
+        if self.tables:
+            return self._joined(docs, keep)
+        shared = docs.sparkSession.sparkContext.broadcast((languages, self.models))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scorer = Scorer(*shared.value)
@@ -243,15 +284,34 @@ class Identifier:
 
         schema = T.StructType([*(T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)), T.StructField("entropies", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())])
         columns = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
-        if not languages:
-            return docs.select(*keep, F.array().cast("array<double>").alias("entropies"), F.lit(0).cast("long").alias("n"))
         return docs.select(*columns, F.col("text").alias("text")).mapInArrow(run, schema).toDF(*keep, "entropies", "n")
 
+    def _joined(self, docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+        """As _scored, with the models as tables: each distinct text's n-grams meet their log-probabilities in a join."""
+        order, scratch = self.tables.order, self.tables.scratch
+        key = F.sha2(F.coalesce("text", F.lit("")), 256)
+        texts = docs.select(key.alias("__key"), "text").where("text is not null").dropDuplicates(["__key"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    g, n = np.unique(grams(characters(text), order), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], names=["__key", "gram", "times"])
+
+        held = scratch.save(texts.mapInArrow(run, "__key string, gram long, times long"))
+        logs = scratch.save(self.tables.logs(held.groupBy("gram").agg(F.count("*").alias("n")), self.languages))
+        met = salted_join(held, logs, ["gram"])
+        sums = met.groupBy("__key").agg(F.sum("times").alias("__n"), *[F.sum(F.col("times") * F.col("logs")[i]).alias(f"__s{i}") for i in range(len(self.languages))])
+        scored = sums.select("__key", "__n", F.array(*[-F.col(f"__s{i}") / F.col("__n") for i in range(len(self.languages))]).alias("__h"))
+        none = F.array(*[F.lit(float("nan")) for _ in self.languages])
+        return docs.withColumn("__key", key).join(scored, "__key", "left").select(*[F.col(f"`{c}`") for c in keep], F.coalesce("__h", none).alias("entropies"), F.coalesce("__n", F.lit(0)).cast("long").alias("n"))
+
     def predict(self, docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         """`keep`, lang_pred, score, cross_entropy, rejected for every row; only text decides.
 
         `und`, score 0 and rejected where text is null or has no letter (or no language was learned). The score is the
-        softmax of minus the cross-entropies over at most 20 characters' worth of evidence; ties go to the first language.
+        softmax of minus the cross-entropies over at most 20 characters' worth of evidence; ties go to the first language. Whole texts are scored,
+        whatever their length; equal texts have equal results and repeated rows stay; an empty table gives an empty one.
         """
         rows = self._scored(docs, keep)
         langs = F.array(*map(F.lit, self.languages)) if self.languages else F.array(F.lit("und"))
