@@ -37,7 +37,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def fingerprint(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """(doc_id, sig binary) for every row; null text counts as empty."""
+    """(doc_id, sig binary) for every row; null text counts as empty, repeated rows have equal signatures, an empty table gives an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,7 +61,7 @@ def edit_report(docs: DataFrame, n: int = WORDS) -> DataFrame:
 
     The next document is the next in descending doc_id (null last; equal ids by text), after the last the first;
     a single document follows itself. Null texts count as empty; equal texts have equal fingerprints, and the
-    likeness of two empty texts is 1. One range exchange of the texts, then each task streams its sorted run. A
+    likeness of two empty texts is 1. Repeated rows follow each other and have a row each; an empty table gives an empty one. One range exchange of the texts, then each task streams its sorted run. A
     run's last document needs the first of the next run: the two are kept aside with their texts, two rows for
     each task, and joined afterwards by the runs' order.
     """
@@ -117,7 +117,8 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, least: float = 0.8, bands:
     of g copies makes g candidates. A text that isn't linked to that one then meets all texts of the bucket. Equal texts are one
     class and meet once. Candidates whose exact Jaccard is below `least` go. Each distinct text is fetched once for each of
     its candidate pairs. Documents without words link with nothing
-    but equal texts; rows with null doc_id are left out.
+    but equal texts; rows with null doc_id are left out. A bucket's head is its least doc_id. Repeated rows have a row each; an empty table gives an
+    empty one.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "minhash")
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))

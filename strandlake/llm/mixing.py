@@ -21,8 +21,8 @@ WEIGHTS, CAP = (5, 2, 1), 3
 STEPS = 80
 #: Classes of the largest sizes that are rounded one after the other in each source; smaller sizes are rounded side by side.
 SEQUENTIAL = 512
-#: Documents of one class (source, size) that are ranked together.
-CLASS = 5000
+#: Documents of one class (source, size) that are ranked together, about.
+CLASS = 1024
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -98,7 +98,9 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     """(doc_id, source, h, size, source_size, target, copies) for every row; copies are 0 to cap.
 
     Documents without words are taken once at no cost. A source's taken words differ from its target by about half of its smallest
-    sizes. Repeated rows are rows of their own. An empty table gives an empty plan.
+    sizes. Repeated rows are rows of their own. An empty table gives an empty plan. Two rules change with a source's size, neither of them what the mix
+    takes from it: behind its SEQUENTIAL largest (size, part) cells copies are rounded by a running sum and no longer one after the other, and a size
+    with more than CLASS documents is cut into parts by hash, so that other documents of equal size get the extra copy.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = scratch.save(sized(docs))
