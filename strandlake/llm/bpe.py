@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NONE = np.int64(1) << 60
-#: Chunks in each of the two generations that a worker keeps encodings of; older ones are encoded again, results stay the same.
-CACHE = 300_000
+#: Chunks in each of the two generations that a worker keeps encodings of; older ones are encoded again, results stay the same. Between tasks
+#: only the younger generation stays, as a worker may go on to other work.
+CACHE = 200_000
 #: Leaves of one array of trees at most (memory bound); longer words form arrays of one word.
 LEAVES = 1 << 20
 #: Marks behind a word that make one word of their own.
@@ -266,6 +267,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, keep: tuple[str, ...
                 rows = list(own.texts(part.column(len(keep)).to_pylist()))
                 arrays = [*part.columns[: len(keep)], pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "n_tokens", "ids", "decoded"])
+        own.old = {}
 
     from pyspark.sql import types as T
 
