@@ -19,9 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NONE = np.int64(1) << 60
-#: Chunks in each of the two generations that a worker keeps encodings of; older ones are encoded again, results stay the same. Between tasks
-#: only the younger generation stays, as a worker may go on to other work.
-CACHE = 200_000
+#: Chunks in each of the two generations that a worker keeps encodings of; older ones are encoded again, results stay the same.
+CACHE = 300_000
 #: Leaves of one array of trees at most (memory bound); longer words form arrays of one word.
 LEAVES = 1 << 20
 #: Marks behind a word that make one word of their own.
@@ -143,6 +142,7 @@ class Codec:
         self.decimal = {i: str(i) for i in self.model.tokens}
         self.known: dict[bytes, tuple[int, str, str]] = {}
         self.old: dict[bytes, tuple[int, str, str]] = {}
+        self.limit = CACHE
         self.blank = False  # a chunk without ids was met
         self.short = self._short()
 
@@ -192,7 +192,7 @@ class Codec:
 
     def learn(self, chunks: set[bytes]) -> None:
         """Keeps number, decimal ids and decoded tokens of each chunk (UTF-8 without ASCII white space) not known yet."""
-        if len(self.known) > CACHE:
+        if len(self.known) > self.limit:
             self.old, self.known = self.known, {}
         known = self.known
         missing = chunks.difference(known)
@@ -249,25 +249,28 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def encode_decode(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",), chunks: int = CACHE, release: bool = False) -> DataFrame:
     """The columns `keep`, then n_tokens, ids (decimal, joined by one space) and decoded for every row's whole text.
 
     Null and empty texts have no ids and decode to ''. Rows are independent: no shuffle, repeated rows
     and null keys come out as they went in, and only `keep` and text are read. The vocabulary file is
-    opened by each worker; it must lie at `path` on every machine.
+    opened by each worker; it must lie at `path` on every machine. chunks: how many encodings a worker keeps (memory against time);
+    release: after a task only the younger ones stay, for workers that go on to other work. Neither changes a result.
     """
     path = path or default_vocabulary()
     fields = [docs.schema[c] for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
+        own.limit = chunks
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
                 part = batch.slice(k, 1024)
                 rows = list(own.texts(part.column(len(keep)).to_pylist()))
                 arrays = [*part.columns[: len(keep)], pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "n_tokens", "ids", "decoded"])
-        own.old = {}
+        if release:
+            own.old = {}
 
     from pyspark.sql import types as T
 
