@@ -108,6 +108,14 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], n: str = "n",
     return (many.hint("merge") if merge else many).join(each, [*on, "__salt_piece"]).drop("__salt_piece")
 
 
+def fresh(name: str, taken: tuple[str, ...] | list[str]) -> str:
+    """The name, with underscores behind it until no column has it in any case."""
+    names = {c.lower() for c in taken}
+    while name.lower() in names:
+        name += "_"
+    return name
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, so that hash order is unrelated to text order."""
     x = (x ^ (x >> U64(30))) * _MIX1

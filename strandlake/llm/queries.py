@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dac, fingerprints, language, lines, mixing, neighbours, ngram_join, passages, substrings
+from . import bpe, dac, fim, fingerprints, language, lines, mixing, neighbours, ngram_join, passages, quality, spelling, substrings
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,12 +58,25 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(documents(spark, sf_dir)))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.report(documents(spark, sf_dir))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.report(documents(spark, sf_dir))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_embedding_neighbours, op2_passages, op3_token_codes, op4_fingerprints, op5_line_dedup,
         op6_ngram_join, op7_mixing, op8_suffix_arrays, op9_language_id, op10_bpe,
+        op11_spelling, op12_fill_in_middle, op13_quality_rules,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_line_dedup": lines.SQL}
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": lines.SQL, "op11_spelling": spelling.SQL, "op12_fill_in_middle": fim.SQL}
