@@ -125,11 +125,12 @@ class Model:
         return 1 / (1 + F.exp(-odds))
 
 
-def fit(patterns: DataFrame, names: list[str], start: float = 0.8, floor: float = 0.55, prior: float = 10.0, rounds: int = 200, tolerance: float = 1e-7) -> Model:
+def fit(patterns: DataFrame, names: list[str], start: float = 0.8, edge: float = 0.01, prior: float = 10.0, rounds: int = 100, tolerance: float = 1e-5) -> Model:
     """Expectation maximisation over (votes.., c), each pattern counting c times.
 
-    Every estimate is smoothed by `prior` votes at its start, and no rule is taken for worse than `floor`, which keeps good and bad from changing places. Stops
-    when nothing moves by more than the tolerance. Without any votes the model stays where it started.
+    Every estimate is smoothed by `prior` votes at its start. A rule whose votes say nothing gets no weight, and none is taken for worse than chance: its two chances
+    exceed 1 by `edge` at least, which keeps good and bad from changing places. Stops when nothing moves by more than the tolerance. Without any votes the
+    model stays where it started.
     """
     now = Model(0.5, (start,) * len(names), (start,) * len(names))
     for _ in range(rounds):
@@ -140,12 +141,10 @@ def fit(patterns: DataFrame, names: list[str], start: float = 0.8, floor: float
         for k, n in enumerate(names):
             sums += [F.sum(F.when(F.col(n) == 1, good)).alias(f"gg{k}"), F.sum(F.when(F.col(n) != 0, good)).alias(f"g{k}"), F.sum(F.when(F.col(n) == -1, bad)).alias(f"bb{k}"), F.sum(F.when(F.col(n) != 0, bad)).alias(f"b{k}")]
         got = {k: v or 0.0 for k, v in rated.agg(*sums).first().asDict().items()}
-        smooth = lambda hit, of: max(floor, (hit + prior * start) / (of + prior))
-        new = Model(
-            (got["good"] + prior * 0.5) / (got["all"] + prior),
-            tuple(smooth(got[f"gg{k}"], got[f"g{k}"]) for k in range(len(names))),
-            tuple(smooth(got[f"bb{k}"], got[f"b{k}"]) for k in range(len(names))),
-        )
+        smooth = lambda hit, of: (hit + prior * start) / (of + prior)
+        on_good = tuple(smooth(got[f"gg{k}"], got[f"g{k}"]) for k in range(len(names)))
+        on_bad = tuple(max(smooth(got[f"bb{k}"], got[f"b{k}"]), 1 + edge - a) for k, a in enumerate(on_good))
+        new = Model((got["good"] + prior * 0.5) / (got["all"] + prior), on_good, on_bad)
         moved = max(abs(a - b) for a, b in zip((new.good, *new.on_good, *new.on_bad), (now.good, *now.on_good, *now.on_bad), strict=True))
         now = new
         if moved <= tolerance:
