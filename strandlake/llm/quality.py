@@ -29,23 +29,24 @@ class Rule:
     """Votes good where low <= share <= high, bad where share < least or share > most, and abstains in between."""
 
     name: str
-    share: str
+    part: str
+    whole: str
     low: float
     high: float
     least: float
     most: float
 
 
-#: Shares are SQL over the counts; a share without a denominator is null and the rule abstains.
+#: A share of nothing is null, and the rule abstains.
 RULES = (
-    Rule("symbols", "try_divide(n_symbols, n_words)", 0, 0.03, 0, 0.1),
-    Rule("word_length", "try_divide(word_chars, n_words)", 3, 9, 2.5, 12),
-    Rule("duplicate_lines", "try_divide(n_dup_lines, n_solid_lines)", 0, 0.1, 0, 0.3),
-    Rule("repeated_words", "try_divide(n_repeat_words, n_words)", 0, 0.2, 0, 0.4),
-    Rule("plain_words", "try_divide(n_plain, n_words)", 0.85, 1, 0.7, 1),
-    Rule("capitals", "try_divide(n_capitals, n_letters)", 0, 0.2, 0, 0.4),
-    Rule("doubled_marks", "try_divide(n_doubled, n_words)", 0, 0.02, 0, 0.1),
-    Rule("sentence_ends", "try_divide(n_stops, n_words)", 0.015, 0.35, 0.005, 0.6),
+    Rule("symbols", "n_symbols", "n_words", 0, 0.03, 0, 0.1),
+    Rule("word_length", "word_chars", "n_words", 3, 9, 2.5, 12),
+    Rule("duplicate_lines", "n_dup_lines", "n_solid_lines", 0, 0.1, 0, 0.3),
+    Rule("repeated_words", "n_repeat_words", "n_words", 0, 0.2, 0, 0.4),
+    Rule("plain_words", "n_plain", "n_words", 0.85, 1, 0.7, 1),
+    Rule("capitals", "n_capitals", "n_letters", 0, 0.2, 0, 0.4),
+    Rule("doubled_marks", "n_doubled", "n_words", 0, 0.02, 0, 0.1),
+    Rule("sentence_ends", "n_stops", "n_words", 0.015, 0.35, 0.005, 0.6),
 )
 
 
@@ -106,7 +107,7 @@ def features(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
 def vote(rule: Rule) -> Column:
     """1 good, -1 bad, 0 abstains."""
-    share = F.expr(rule.share)
+    share = F.try_divide(F.col(rule.part).cast("double"), F.col(rule.whole))
     return F.when(share.between(rule.low, rule.high), 1).when((share < rule.least) | (share > rule.most), -1).otherwise(0).cast("int")
 
 
@@ -178,3 +179,61 @@ def report(docs: DataFrame) -> DataFrame:
     """One row for every document: doc_id, the base counts, base_failed, kept, and the votes. Odd cases as in judge."""
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return judge(docs).select("doc_id", *[f"quality.counts.{c}" for c in base], "quality.base_failed", "quality.kept", *[F.col(f"quality.votes.{r.name}").alias(f"vote_{r.name}") for r in RULES])
+
+
+def _sql() -> str:
+    """The same in DuckDB: votes from the rules above, expectation maximisation as a recursive table of 100 rounds."""
+    share = lambda r: f"{r.part}::DOUBLE / nullif({r.whole}, 0)"
+    votes = ", ".join(f"coalesce(CASE WHEN {share(r)} BETWEEN {r.low} AND {r.high} THEN 1 WHEN {share(r)} < {r.least} OR {share(r)} > {r.most} THEN -1 END, 0)::INTEGER" for r in RULES)
+    named = ", ".join(f"v[{k}] AS vote_{r.name}" for k, r in enumerate(RULES, 1))
+    n = len(RULES)
+    term = "CASE v[k] WHEN 1 THEN ln(a[k] / (1 - b[k])) WHEN -1 THEN ln((1 - a[k]) / b[k]) ELSE 0 END"
+    odds = f"ln(good / (1 - good)) + list_sum(list_transform(range(1, {n + 1}), lambda k: {term}))"
+    hit = lambda k, v, p: f"(coalesce(sum(CASE WHEN v[{k}] = {v} THEN c * {p} END), 0) + 8) / (coalesce(sum(CASE WHEN v[{k}] <> 0 THEN c * {p} END), 0) + 10)"
+    good = ", ".join(hit(k, 1, "p") for k in range(1, n + 1))
+    bad = ", ".join(f"greatest({hit(k, -1, '(1 - p)')}, 1.01 - {hit(k, 1, 'p')})" for k in range(1, n + 1))
+    return rf"""
+WITH RECURSIVE word AS (
+  SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)
+), tripled AS (
+  SELECT *, lead(w, 1) OVER d AS w1, lead(w, 2) OVER d AS w2 FROM word WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), often AS (
+  SELECT *, w2 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, w, w1, w2) > 1 AS twice FROM tripled
+), per_word AS (
+  SELECT doc_id, w, max(twice::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS repeated FROM often
+), from_words AS (
+  SELECT doc_id, count(*) AS n_words, sum(length(w))::BIGINT AS word_chars, sum(repeated)::BIGINT AS n_repeat_words,
+         count(*) FILTER (WHERE regexp_full_match(w, '\p{{L}}+([-''’]\p{{L}}+)*[.,;:!?]?')) AS n_plain,
+         count(*) FILTER (WHERE regexp_full_match(w, '(?s).*[.!?…]')) AS n_stops
+  FROM per_word GROUP BY doc_id
+), line AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents
+), from_lines AS (
+  SELECT doc_id, count(*) AS n_solid_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), counted AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         coalesce(n_solid_lines, 0) AS n_solid_lines, coalesce(n_plain, 0) AS n_plain, coalesce(n_stops, 0) AS n_stops,
+         length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) AS n_capitals, length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) AS n_letters,
+         len(regexp_extract_all(t, '[!?*#$%&|<>]{{2,}}')) AS n_doubled
+  FROM documents LEFT JOIN from_words USING (doc_id) LEFT JOIN from_lines USING (doc_id)
+), voted AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, [{votes}] AS v FROM counted
+), pattern AS (
+  SELECT v, count(DISTINCT t) AS c FROM voted WHERE NOT base_failed GROUP BY v
+), em AS (
+  SELECT 0 AS step, 0.5::DOUBLE AS good, list_transform(range({n}), lambda k: 0.8::DOUBLE) AS a, list_transform(range({n}), lambda k: 0.8::DOUBLE) AS b
+  UNION ALL
+  SELECT any_value(step) + 1, (coalesce(sum(c * p), 0) + 5) / (coalesce(sum(c), 0) + 10), [{good}], [{bad}]
+  FROM (SELECT *, 1 / (1 + exp(-({odds}))) AS p FROM em, pattern WHERE step < 100)
+  HAVING count(*) > 0
+), fitted AS (
+  SELECT * FROM em ORDER BY step DESC LIMIT 1
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND 1 / (1 + exp(-({odds}))) >= 0.5 AS kept, {named}
+FROM voted, fitted
+"""
+
+
+SQL = _sql()

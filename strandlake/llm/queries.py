@@ -79,4 +79,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_line_dedup": lines.SQL, "op11_spelling": spelling.SQL, "op12_fill_in_middle": fim.SQL}
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": lines.SQL, "op11_spelling": spelling.SQL, "op12_fill_in_middle": fim.SQL, "op13_quality_rules": quality.SQL}
