@@ -39,15 +39,15 @@ def usable(reads: DataFrame, least_mapq: int = 0) -> DataFrame:
 
 
 def walked(reads: DataFrame) -> DataFrame:
-    """(sample, qname, chrom, flag, seq, qual, pos0, ops); absent qualities are the greatest. Records whose CIGAR needs more or fewer bases than they have go."""
+    """(sample, qname, chrom, seq, qual, pos0, ops); absent qualities are the greatest. Records whose CIGAR needs more or fewer bases than they have go."""
     qual = F.when(F.coalesce(F.col("qual"), F.lit("*")) == "*", F.repeat(F.lit("~"), F.length("seq"))).otherwise(F.col("qual"))
-    rows = reads.select("sample", "qname", "chrom", "flag", F.upper("seq").alias("seq"), qual.alias("qual"), "pos0", operations(F.col("cigar"), F.col("pos0")).alias("ops"))
+    rows = reads.select("sample", "qname", "chrom", F.upper("seq").alias("seq"), qual.alias("qual"), "pos0", operations(F.col("cigar"), F.col("pos0")).alias("ops"))
     needs = F.aggregate("ops", F.lit(0).cast("long"), lambda s, o: s + F.when(o["op"].isin("M", "I", "S", "=", "X"), o["n"]).otherwise(0))
     return rows.where((needs == F.length("seq")) & (F.length("qual") == F.length("seq")))
 
 
 def blocks(walks: DataFrame, width: int) -> DataFrame:
-    """(sample, qname, chrom, bin, start, flag, b, q): aligned bases and qualities without skipped stretches, cut at multiples of width."""
+    """(sample, qname, chrom, bin, start, b, q): aligned bases and qualities without skipped stretches, cut at multiples of width."""
     aligned, gap, skip = (lambda o: o["op"].isin("M", "=", "X")), (lambda o: o["op"] == "D"), (lambda o: o["op"] == "N")
 
     def laid(text: str, fill: str) -> Column:
@@ -55,12 +55,12 @@ def blocks(walks: DataFrame, width: int) -> DataFrame:
         return F.split(F.array_join(F.transform("ops", piece), ""), _END, -1)
 
     starts = F.concat(F.array(F.col("pos0").cast("long")), F.transform(F.filter("ops", skip), lambda o: o["ref"] + o["n"]))
-    rows = walks.select("sample", "qname", "chrom", "flag", F.explode(F.arrays_zip(starts.alias("start"), laid("seq", "-").alias("b"), laid("qual", "!").alias("q"))).alias("x"))
-    rows = rows.select("sample", "qname", "chrom", "flag", "x.start", "x.b", "x.q").where("b <> ''")
+    rows = walks.select("sample", "qname", "chrom", F.explode(F.arrays_zip(starts.alias("start"), laid("seq", "-").alias("b"), laid("qual", "!").alias("q"))).alias("x"))
+    rows = rows.select("sample", "qname", "chrom", "x.start", "x.b", "x.q").where("b <> ''")
     rows = rows.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("start") + F.length("b") - 1) / width))))
     first = F.greatest(F.col("bin") * width, "start")
     at, n = (first - F.col("start") + 1).cast("int"), (F.least((F.col("bin") + 1) * width, F.col("start") + F.length("b")) - first).cast("int")
-    return rows.select("sample", "qname", "chrom", "bin", first.alias("start"), "flag", F.substring("b", at, n).alias("b"), F.substring("q", at, n).alias("q"))
+    return rows.select("sample", "qname", "chrom", "bin", first.alias("start"), F.substring("b", at, n).alias("b"), F.substring("q", at, n).alias("q"))
 
 
 def _chars(b: Column, q: Column) -> Column:
@@ -68,12 +68,12 @@ def _chars(b: Column, q: Column) -> Column:
 
 
 def _both(u: Column, v: Column) -> Column:
-    """What two mates say of one base: qualities add up where they agree; else the better one stays with four fifths of its own (ties: the first)."""
+    """What two mates say of one base: qualities add up where they agree; else the better one stays with four fifths of its own (ties: the lesser letter)."""
     a, b = F.ascii(u["q"]) - 33, F.ascii(v["q"]) - 33
     same = F.struct(u["b"].alias("b"), F.char(F.least(a + b, F.lit(93)) + 33).alias("q"))
     first = F.struct(u["b"].alias("b"), F.char(F.floor(a * 4 / 5) + 33).alias("q"))
     other = F.struct(v["b"].alias("b"), F.char(F.floor(b * 4 / 5) + 33).alias("q"))
-    return F.when(u["b"] == "-", v).when(v["b"] == "-", u).when(u["b"] == v["b"], same).when(a >= b, first).otherwise(other)
+    return F.when(u["b"] == "-", v).when(v["b"] == "-", u).when(u["b"] == v["b"], same).when((a > b) | ((a == b) & (u["b"] < v["b"])), first).otherwise(other)
 
 
 def _fold(s: Column, x: Column) -> Column:
@@ -89,8 +89,8 @@ def _fold(s: Column, x: Column) -> Column:
 
 
 def templates(cut: DataFrame) -> DataFrame:
-    """(sample, chrom, bin, start, b, q): one row for each template and bin. Blocks are laid on in order of start, then the first mate first."""
-    one = F.struct("start", F.when(has("flag", 0x80), 1).otherwise(0).alias("mate"), "b", "q")
+    """(sample, chrom, bin, start, b, q): one row for each template and bin. What comes out of two mates doesn't depend on which is first."""
+    one = F.struct("start", "b", "q")
     grouped = cut.groupBy("sample", "qname", "chrom", "bin").agg(F.sort_array(F.collect_list(one)).alias("list"))
     head = F.col("list")[0]
     whole = F.aggregate(F.slice("list", F.lit(2), F.size("list")), F.struct(head["start"].alias("start"), head["b"].alias("b"), head["q"].alias("q")), _fold)

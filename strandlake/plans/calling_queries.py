@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.operators import pileup
+from strandlake.operators import alleles, pileup
 
 from .base import choose, exprs, query, table
 from .variant_queries import base_at
@@ -91,9 +91,9 @@ sized AS (SELECT *, o[-1:] AS c, o[:-2]::BIGINT AS n FROM op),
 walked AS (SELECT *, pos0 + coalesce(sum(CASE WHEN c IN ('M', 'D', 'N', '=', 'X') THEN n ELSE 0 END) OVER before, 0)::BIGINT AS ref0, coalesce(sum(CASE WHEN c IN ('M', 'I', 'S', '=', 'X') THEN n ELSE 0 END) OVER before, 0)::BIGINT AS read0, lag(c) OVER (PARTITION BY qname, flag ORDER BY k) AS prior
   FROM sized WINDOW before AS (PARTITION BY qname, flag ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 aligned AS (SELECT sample, qname, chrom, pos0, flag, seq, qual, ref0, read0, unnest(range(n)) AS i FROM walked WHERE c IN ('M', '=', 'X')),
-base AS (SELECT sample, qname, chrom, ref0 + i AS p0, seq[read0 + i + 1] AS b, ascii(qual[read0 + i + 1]) - 33 AS q, pos0, flag & 128 AS mate FROM aligned),
-seen AS (SELECT sample, qname, chrom, p0, count(*) AS n, list(b ORDER BY pos0, mate) AS bs, list(q ORDER BY pos0, mate) AS qs FROM base GROUP BY sample, qname, chrom, p0),
-resolved AS (SELECT sample, qname, chrom, p0, CASE WHEN n = 1 OR bs[1] = bs[2] OR qs[1] >= qs[2] THEN bs[1] ELSE bs[2] END AS b,
+base AS (SELECT sample, qname, chrom, ref0 + i AS p0, seq[read0 + i + 1] AS b, ascii(qual[read0 + i + 1]) - 33 AS q, flag & 128 AS mate FROM aligned),
+seen AS (SELECT sample, qname, chrom, p0, count(*) AS n, list(b ORDER BY mate) AS bs, list(q ORDER BY mate) AS qs FROM base GROUP BY sample, qname, chrom, p0),
+resolved AS (SELECT sample, qname, chrom, p0, CASE WHEN n = 1 OR qs[1] > qs[2] THEN bs[1] WHEN qs[1] < qs[2] THEN bs[2] ELSE least(bs[1], bs[2]) END AS b,
   CASE WHEN n = 1 THEN qs[1] WHEN bs[1] = bs[2] THEN least(qs[1] + qs[2], 93) ELSE floor(greatest(qs[1], qs[2]) * 4 / 5) END AS q FROM seen),
 counted AS (SELECT * FROM resolved WHERE q >= 13 AND b IN ('A', 'C', 'G', 'T')), depth AS (SELECT sample, chrom, p0, count(*) AS dp FROM counted GROUP BY sample, chrom, p0)"""
 _SPAN = "array_to_string(list_transform(range(p0 + 1, p0 + 2 + gone), lambda p: " + base_at("p") + "), '')"
@@ -107,3 +107,51 @@ piled AS (SELECT sample, chrom, p0 + 1 AS pos, ref, alt, coalesce(dp, 0) AS dp,
 @query("q67_gapped_pileup", f"WITH {PILEUP_SQL} SELECT sample, chrom, pos, ref, alt, dp, ad FROM piled")
 def q67(spark: SparkSession, d: str) -> DataFrame:
     return pileup.pileup(gapped(spark, d), wide_windows(spark, d), WIDTH)
+
+
+_SITE_REF = lambda shift, n: f"substr('{_REF}', cast(1 + (pos0 + {shift}) % {PERIOD} AS int), cast({n} AS int))"
+#: The same variants written in many ways: bases before and behind them, copies of what stands before, and some references that are wrong.
+WRITTEN = {
+    "sample": "concat('s', cast(l_suppkey % 5 AS string))",
+    "chrom": "concat('chr', cast(1 + l_orderkey % 3 AS string))",
+    "pos0": "l_partkey * 10 + l_linenumber + 280",
+    "n": "1 + l_quantity % 6",
+    "kind": "(l_linenumber + l_partkey) % 6",
+    "dp": "cast(l_quantity AS bigint) + 5",
+    "ad": "cast(floor((l_quantity + 5) * l_discount * 10) AS bigint)",
+}
+ALLELES = {
+    "ref": f"CASE kind WHEN 0 THEN {_SITE_REF(0, 'n + 1')} WHEN 1 THEN {_SITE_REF(0, 'n + 3')} WHEN 2 THEN {_SITE_REF(0, '1')} WHEN 3 THEN {_SITE_REF(0, 'n + 2')} WHEN 4 THEN {_SITE_REF(0, '4')} ELSE {_SITE_REF(0, 'n')} END",
+    "alt": f"CASE kind WHEN 0 THEN {_SITE_REF(0, '1')} WHEN 1 THEN {_SITE_REF('n', '3')} WHEN 2 THEN concat({_SITE_REF(0, '1')}, {_SITE_REF('1 - n', 'n')}) WHEN 3 THEN concat({_SITE_REF(0, 'n + 1')}, {_SITE_REF('1', 'n + 1')}) WHEN 4 THEN concat({_SITE_REF(0, '1')}, 'T', {_SITE_REF(2, '2')}) ELSE concat('A', {_SITE_REF(1, 'n')}) END",
+}
+
+
+def written(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").selectExpr(*exprs(WRITTEN)).selectExpr("sample", "chrom", "pos0", "n", "dp", "ad", "kind", *exprs(ALLELES))
+    wrong = "CASE WHEN (pos0 + dp) % 17 = 0 THEN concat('N', substr(ref, 2)) ELSE ref END AS ref"
+    return rows.selectExpr("sample", "chrom", "pos0 + 1 AS pos", wrong, "alt", "dp", "ad")
+
+
+_TWO = f"list_transform(range(0, length(ref)), lambda i: {base_at('pos + i')})"
+#: One base at a time: drop a common last base, or take the base before where an allele is empty; then drop common first bases.
+NORMAL_SQL = f"""raw AS (SELECT {", ".join(exprs(WRITTEN))} FROM lineitem),
+spelt AS (SELECT sample, chrom, pos0 + 1 AS pos, dp, ad, kind, {", ".join(exprs(ALLELES))}, pos0 FROM raw),
+marked AS (SELECT sample, chrom, pos, CASE WHEN (pos0 + dp) % 17 = 0 THEN concat('N', substr(ref, 2)) ELSE ref END AS ref, alt, dp, ad FROM spelt),
+site AS (SELECT DISTINCT chrom, pos, ref, alt FROM marked), held AS (SELECT * FROM site WHERE array_to_string({_TWO}, '') = ref),
+step AS (
+  SELECT chrom, pos, ref, alt, pos AS p, ref AS r, alt AS a, ref <> alt AS more FROM held
+  UNION ALL
+  SELECT chrom, pos, ref, alt, CASE WHEN empty THEN p - 1 ELSE p END, CASE WHEN empty THEN concat({base_at("p - 1")}, r2) ELSE r2 END, CASE WHEN empty THEN concat({base_at("p - 1")}, a2) ELSE a2 END, empty OR r2 <> r
+  FROM (SELECT *, r2 = '' OR a2 = '' AS empty FROM (SELECT *, CASE WHEN r[-1:] = a[-1:] THEN r[:-2] ELSE r END AS r2, CASE WHEN r[-1:] = a[-1:] THEN a[:-2] ELSE a END AS a2 FROM step WHERE more))
+),
+ended AS (SELECT * FROM step WHERE NOT more),
+lead AS (SELECT *, (SELECT coalesce(max(i), 0) FROM range(1, least(length(r), length(a))) t(i) WHERE r[:i] = a[:i] AND r <> a) AS k FROM ended),
+normal AS (SELECT chrom, pos, ref, alt, p + k AS npos, substr(r, k + 1) AS nref, substr(a, k + 1) AS nalt FROM lead)"""
+
+
+@query("q68_normalised_alleles", f"""WITH RECURSIVE {NORMAL_SQL}
+SELECT sample, chrom, pos, ref, alt, dp, ad FROM (
+  SELECT sample, n.chrom, npos AS pos, nref AS ref, nalt AS alt, dp, ad, row_number() OVER (PARTITION BY sample, n.chrom, npos, nref, nalt ORDER BY dp DESC, ad DESC) AS k
+  FROM marked m JOIN normal n ON m.chrom = n.chrom AND m.pos = n.pos AND m.ref = n.ref AND m.alt = n.alt) WHERE k = 1""")
+def q68(spark: SparkSession, d: str) -> DataFrame:
+    return alleles.unite(alleles.normalise(written(spark, d), wide_windows(spark, d), WIDTH))
