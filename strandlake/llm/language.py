@@ -306,14 +306,15 @@ class Identifier:
         none = F.array(*[F.lit(float("nan")) for _ in self.languages])
         return docs.withColumn("__key", key).join(scored, "__key", "left").select(*[F.col(f"`{c}`") for c in keep], F.coalesce("__h", none).alias("entropies"), F.coalesce("__n", F.lit(0)).cast("long").alias("n"))
 
-    def predict(self, docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-        """`keep`, lang_pred, score, cross_entropy, rejected for every row; only text decides.
+    def predict(self, docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), name: str | None = None) -> DataFrame:
+        """`keep`, lang_pred, score, cross_entropy, rejected for every row; only text decides. With a name these four come as a struct of that name.
 
         `und`, score 0 and rejected where text is null or has no letter (or no language was learned). The score is the
         softmax of minus the cross-entropies over at most 20 characters' worth of evidence; ties go to the first language. Whole texts are scored,
-        whatever their length; equal texts have equal results and repeated rows stay; an empty table gives an empty one.
+        whatever their length; equal texts have equal results and repeated rows stay; an empty table gives an empty one. Columns in `keep` travel in one struct
+        and may have any name; where one is called like a result, ask for a struct.
         """
-        rows = self._scored(docs, keep)
+        rows = self._scored(docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), "text"), ("kept",))
         langs = F.array(*map(F.lit, self.languages)) if self.languages else F.array(F.lit("und"))
         best = F.array_min("entropies")
         known = F.col("n") > 0
@@ -321,7 +322,9 @@ class Identifier:
         score = 1 / F.aggregate("entropies", F.lit(0.0), lambda s, h: s + F.exp(-(h - best) * F.least(F.col("n"), F.lit(20)).cast("double")))
         bounds = F.array(*[F.lit(float(self.thresholds.get(lang, float("inf")))) for lang in self.languages]) if self.languages else F.array(F.lit(0.0))
         rejected: Column = F.when(known, best > F.element_at(bounds, at) + SHORT / F.sqrt("n")).otherwise(True)
-        return rows.select(*keep, F.when(known, F.element_at(langs, at)).otherwise("und").alias("lang_pred"), F.when(known, score).otherwise(0.0).alias("score"), F.when(known, best).alias("cross_entropy"), rejected.alias("rejected"))
+        found = [F.when(known, F.element_at(langs, at)).otherwise("und").alias("lang_pred"), F.when(known, score).otherwise(0.0).alias("score"), F.when(known, best).alias("cross_entropy"), rejected.alias("rejected")]
+        made = rows.select("kept", F.struct(*found).alias("found"))
+        return made.select("kept.*", F.col("found").alias(name) if name else "found.*")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

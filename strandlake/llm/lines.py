@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, salted_join
+from .common import Scratch, fresh, salted_join
 
 DIVISOR, MULTIPLIER, LEAST_LINES = 3, 31, 2
 
@@ -32,7 +32,7 @@ def ranges(lines: Column) -> Column:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """All rows with the columns they came with, text replaced by what stays and n_chars (if there) by its length, then n_lines,
-    n_chunks, n_removed_chunks, n_removed_lines as the struct `line_dedup`.
+    n_chunks, n_removed_chunks, n_removed_lines as the struct `line_dedup` (with underscores behind it if a column has that name already).
 
     Null text stays null, an empty one is one blank line. A text of which all chunks go becomes ''. Rows that repeat id and text are judged as one; of
     two texts of one id that share a chunk the one of lesser hash comes first. A row with null doc_id comes first in the order. An empty table
@@ -67,9 +67,10 @@ def dedup(docs: DataFrame) -> DataFrame:
         F.greatest(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.greatest(F.size("ranges"), F.lit(0)).cast("long").alias("n_chunks"), F.size("removed").cast("long").alias("n_removed_chunks"),
         F.coalesce(F.aggregate(dropped, F.lit(0).cast("long"), lambda s, r: s + r["last"] - r["first"] + 1), F.lit(0)).cast("long").alias("n_removed_lines"),
     )
-    out = joined.select("row", text.alias("text"), counts.alias("line_dedup"))
+    name = fresh("line_dedup", docs.columns)
+    out = joined.select("row", text.alias("text"), counts.alias(name))
     columns = [F.col("text") if c == "text" else F.coalesce(F.length("text"), F.col("row.n_chars")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns]
-    return out.select(*columns, "line_dedup")
+    return out.select(*columns, name)
 
 
 def report(docs: DataFrame) -> DataFrame:

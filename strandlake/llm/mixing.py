@@ -157,4 +157,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     number = F.row_number().over(Window.partitionBy("__h", "__id").orderBy(F.lit(1)))
     many = joined.where("__m > 1").withColumn("__n", number).unionByName(joined.where("__m = 1").withColumn("__n", F.lit(1)))
     copies = F.expr("cast(__sum div __m + if(__n <= __sum % __m, 1, 0) as int)")
-    return many.withColumn("__copies", copies).where("__copies > 0").select("__row.*", F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
+    return many.withColumn("__copies", copies).where("__copies > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("__row.*")

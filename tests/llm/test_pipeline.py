@@ -34,3 +34,20 @@ def test_odd_and_empty_tables(spark):
         for _, stage in p.STAGES:
             df = stage(spark, df, SF)
             df = spark.createDataFrame(df.collect(), df.schema)
+
+
+def test_columns_of_any_name_pass_the_stages(spark):
+    """Extra columns called like results or helpers of the stages come out as they went in."""
+    from pyspark.sql import functions as F
+
+    names = ["n", "rejected", "entropies", "score", "lang_pred", "cross_entropy", "language", "line_dedup", "kept", "row", "key", "h", "id", "component_id", "lines", "ranges", "removed", "size", "copies", "__copy", "__row", "__h", "__id", "__n", "text2", "a b"]
+    base = frame(spark, [*ODD, *[sentence(k, 80) for k in range(20)]]).drop("h", "id")
+    base = base.select("*", *[F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias(c) for c in names])
+    df = base
+    for name, stage in p.STAGES[:4]:
+        df = stage(spark, df, SF)
+        assert df.columns == base.columns, name
+        rows = df.collect()
+        assert rows and all(r[c] == f"{c}:{r.doc_id}" for r in rows for c in names), name
+        df = spark.createDataFrame(rows, df.schema)
+    assert p.STAGES[4][1](spark, df, SF).count() == df.count()
