@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import bpe, language, lines, mixing, ngram_join
-from strandlake.llm.common import Scratch
+from strandlake.llm.common import Scratch, fresh
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +20,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     empty table stays empty.
     """
     fitted = language.Identifier.fit(docs)
-    return fitted.predict(docs, tuple(docs.columns)).where(~F.col("rejected")).select(*docs.columns)
+    name = fresh("language", docs.columns)
+    return fitted.predict(docs, tuple(docs.columns), name).where(~F.col(f"{name}.rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +29,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     The first occurrence by doc_id (null first), then place, stays. An empty table stays empty.
     """
-    return lines.dedup(docs).drop("line_dedup")
+    return lines.dedup(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +41,8 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     row = F.xxhash64("doc_id", "text")
     groups = ngram_join.join(docs.select(row.alias("doc_id"), "text"), n=5, percent=80).select(F.col("doc_id").alias("row"), "component_id").distinct()
     named = docs.select(row.alias("row"), "doc_id").distinct().join(groups, "row")
-    heads = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("head")).select(F.col("head.row").alias("__row"))
-    return docs.join(heads, row == F.col("__row"), "left_semi").select(*docs.columns)
+    heads = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("head")).select(F.col("head.row").alias("key"))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"), row.alias("key")).join(heads, "key", "left_semi").select("kept.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
