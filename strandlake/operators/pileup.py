@@ -164,6 +164,11 @@ def reference_bases(spans: DataFrame, windows: DataFrame, width: int) -> DataFra
     return whole.where(F.length("bases") == F.col("length"))
 
 
+def covered_runs(reads: DataFrame, width: int, least_quality: int = 13, least_mapq: int = 0) -> DataFrame:
+    """(sample, chrom, bin, pos0, pos1, depth) of the stretches of equal depth that pileup counts, cut at multiples of width."""
+    return depth_runs(depth_steps(counted(templates(blocks(walked(usable(reads, least_mapq)), width)), least_quality)))
+
+
 def pileup(reads: DataFrame, windows: DataFrame, width: int, least_quality: int = 13, least_mapq: int = 0) -> DataFrame:
     """(sample, chrom, pos, ref, alt, dp, ad) of every allele other than the reference that a template shows; pos is 1-based.
 

@@ -1,13 +1,14 @@
-"""Queries over gapped reads: pileup, normalised alleles, reference blocks."""
+"""Queries over gapped reads: pileup, normalised alleles, the sparse joint store, extrapolated complexity."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.operators import alleles, pileup
+from strandlake.functions import complexity
+from strandlake.operators import alleles, joint, pileup
 
-from .base import choose, exprs, query, table
+from .base import MATES_SQL, choose, exprs, mates, query, table
 from .variant_queries import base_at
 
 WIDTH, PERIOD = 1000, 280
@@ -155,3 +156,40 @@ SELECT sample, chrom, pos, ref, alt, dp, ad FROM (
   FROM marked m JOIN normal n ON m.chrom = n.chrom AND m.pos = n.pos AND m.ref = n.ref AND m.alt = n.alt) WHERE k = 1""")
 def q68(spark: SparkSession, d: str) -> DataFrame:
     return alleles.unite(alleles.normalise(written(spark, d), wide_windows(spark, d), WIDTH))
+
+
+def _bin(expr: str) -> str:
+    return f"cast(floor(({expr}) / {WIDTH}) AS bigint)"
+
+
+#: Blocks of covered positions in each bin, of which the first class ends at depth 4.
+BLOCKS_SQL = f"""lain AS (SELECT sample, chrom, p0, dp, {_bin("p0")} AS bin, dp >= 5 AS level FROM depth),
+island AS (SELECT *, p0 - row_number() OVER (PARTITION BY sample, chrom, bin, level ORDER BY p0) AS k FROM lain),
+block AS (SELECT sample, chrom, bin, min(p0) AS pos0, max(p0) + 1 AS pos1, min(dp) AS min_dp FROM island GROUP BY sample, chrom, bin, level, k)"""
+
+
+@query("q71_reference_blocks", f"WITH {BASES_SQL}, {BLOCKS_SQL} SELECT sample, chrom, bin, pos0, pos1, min_dp FROM block")
+def q71(spark: SparkSession, d: str) -> DataFrame:
+    return joint.reference_blocks(pileup.covered_runs(gapped(spark, d), WIDTH), (1, 5))
+
+
+@query("q72_joint_genotypes", f"""WITH {PILEUP_SQL}, {BLOCKS_SQL}, site AS (SELECT DISTINCT chrom, pos, ref, alt FROM piled),
+unseen AS (SELECT b.sample, s.chrom, s.pos, s.ref, s.alt, min_dp AS dp, 0 AS ad FROM site s JOIN block b ON s.chrom = b.chrom AND s.pos - 1 >= b.pos0 AND s.pos - 1 < b.pos1 ANTI JOIN piled p ON b.sample = p.sample AND s.chrom = p.chrom AND s.pos = p.pos AND s.ref = p.ref AND s.alt = p.alt)
+SELECT sample, chrom, pos, ref, alt, dp, ad FROM piled UNION ALL SELECT * FROM unseen""")
+def q72(spark: SparkSession, d: str) -> DataFrame:
+    reads = gapped(spark, d)
+    found = pileup.pileup(reads, wide_windows(spark, d), WIDTH).withColumn("bin", F.floor((F.col("pos") - 1) / WIDTH))
+    return joint.genotypes(found, joint.reference_blocks(pileup.covered_runs(reads, WIDTH), (1, 5)))
+
+
+_PLACES = ["chrom", "pos0", "cigar"]
+
+
+@query("q69_counts_of_counts", f"WITH {MATES_SQL}, f AS (SELECT cell, chrom, pos0, cigar, count(*) AS seen FROM mates GROUP BY ALL) SELECT cell, seen, count(*) AS molecules FROM f GROUP BY ALL")
+def q69(spark: SparkSession, d: str) -> DataFrame:
+    return complexity.counts_of_counts(mates(spark, d), "cell", _PLACES)
+
+
+@query("q70_extrapolated_complexity")
+def q70(spark: SparkSession, d: str) -> DataFrame:
+    return complexity.extrapolate(complexity.counts_of_counts(mates(spark, d), "cell", _PLACES), "cell", 1000, 20_000)
