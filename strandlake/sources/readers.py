@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .binary import SPLIT
+from .compressed import text_lines
+
 ALIGNMENT_COLUMNS = ("qname", "flag", "chrom", "pos", "mapq", "cigar", "mate_chrom", "mate_pos", "tlen", "seq", "qual")
 
 
@@ -64,12 +67,16 @@ def bedgraph(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.element_at(f, 1).alias("chrom"), F.element_at(f, 2).cast("long").alias("pos0"), F.element_at(f, 3).cast("long").alias("pos1"), F.element_at(f, 4).cast("double").alias("value"))
 
 
-def vcf(spark: SparkSession, path: str) -> DataFrame:
+def vcf(spark: SparkSession, path: str | list[str], split: int | None = None) -> DataFrame:
     """Calls in long form: (sample, chrom, pos, ref, alt, dp, ad array); '.' is null.
 
-    Sample names come from the #CHROM line of the same file, so a folder may hold files of different samples.
+    Sample names come from the #CHROM line of the same file, so a folder may hold files of different samples. A list of files is read in parts of `split`
+    bytes where they are block-compressed or plain.
     """
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
+    if isinstance(path, list):
+        rows = text_lines(spark, path, split or SPLIT).select("value", F.col("path").alias("file")).where(F.trim("value") != "")
+    else:
+        rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
     names = rows.where(F.col("value").startswith("#CHROM")).select(F.col("file").alias("file2"), F.slice(F.split("value", "\t"), F.lit(10), F.lit(1 << 30)).alias("names")).dropDuplicates(["file2"])
     f = rows.where(~F.col("value").startswith("#")).select("file", F.split("value", "\t").alias("f")).join(names, F.col("file") == F.col("file2"))
     cells = f.select("f", F.posexplode("names").alias("k", "sample"))
