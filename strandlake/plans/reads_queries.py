@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.operators import cells, codes, intervals, qc, reads
+from strandlake.operators import cells, codes, intervals, optical, qc, reads
 
-from .base import ALIGNMENTS_SQL, EXONS_SQL, GENES_SQL, GENOME, MATES_SQL, alignments, exons, genes, mates, merged_sql, query, table
+from .base import ALIGNMENTS_SQL, EXONS_SQL, GENES_SQL, GENOME, MATES, MATES_SQL, alignments, exons, exprs, genes, mates, merged_sql, query, table
 
 A = f"WITH {ALIGNMENTS_SQL}"
 
@@ -281,6 +281,21 @@ def q51b(spark: SparkSession, d: str) -> DataFrame:
     return reads.duplicate_metrics(mates(spark, d)).drop("estimated_library_size").withColumn("pct_duplicates", F.round("pct_duplicates", 9))
 
 
+#: Mates with a place on the flow cell in their names.
+PLACED = MATES | {"qname": "concat('t', cast(l_orderkey AS string), '_', cast(cast(floor((l_linenumber - 1) / 2) AS bigint) AS string), ':', cast(l_orderkey % 2 AS string), ':', cast((l_orderkey * 37) % 900 AS string), ':', cast((l_orderkey * 11) % 700 AS string))"}
+_NEAR = "a.set = b.set AND a.tile = b.tile AND abs(a.x - b.x) <= 40 AND abs(a.y - b.y) <= 40"
+OPTICAL = f"""{MARKED.replace("WITH " + MATES_SQL, "WITH RECURSIVE mates AS (SELECT " + ", ".join(exprs(PLACED)) + " FROM lineitem)")},
+pt AS (SELECT cell, qname, score, concat(cell, '|', ends) AS set, split_part(qname, ':', 2)::BIGINT AS tile, split_part(qname, ':', 3)::BIGINT AS x, split_part(qname, ':', 4)::BIGINT AS y, count(*) OVER (PARTITION BY cell, ends) AS m FROM t WHERE n > 1),
+p AS (SELECT * FROM pt WHERE m > 1), link AS (SELECT a.cell, a.qname, b.qname AS other FROM p a JOIN p b ON {_NEAR}),
+walk AS (SELECT cell, qname, other FROM link UNION SELECT w.cell, w.qname, l.other FROM walk w JOIN link l ON w.cell = l.cell AND w.other = l.qname),
+o AS (SELECT w.cell, w.qname, bool_or((-p.score, p.qname) < (-s.score, s.qname)) AS optical FROM walk w JOIN p ON p.cell = w.cell AND p.qname = w.other JOIN p s ON s.cell = w.cell AND s.qname = w.qname GROUP BY w.cell, w.qname)"""
+
+
+@query("q51c_optical_duplicates", f"{OPTICAL} SELECT cell, qname, optical FROM o")
+def q51c(spark: SparkSession, d: str) -> DataFrame:
+    return optical.optical_templates(table(spark, d, "lineitem").selectExpr(*exprs(PLACED)), distance=40)
+
+
 @query("q60_alignment_metrics", f"""WITH {MATES_SQL}, p AS (SELECT *, (flag & 512) = 0 AS pf, (flag & 512) = 0 AND (flag & 4) = 0 AS al FROM mates WHERE (flag & 2304) = 0),
 k AS (SELECT *, CASE WHEN (flag & 64) <> 0 THEN 'first_of_pair' ELSE 'second_of_pair' END AS category FROM p UNION ALL SELECT *, 'pair' FROM p)
 SELECT cell, category, count(*) AS total_reads, count(*) FILTER (WHERE pf) AS pf_reads, count(*) FILTER (WHERE al) AS pf_reads_aligned, count(*) FILTER (WHERE al AND mapq >= 20) AS pf_hq_aligned_reads, round(avg(length(seq)) FILTER (WHERE pf), 9) AS mean_read_length,
