@@ -52,16 +52,48 @@ def split_codes(df: DataFrame, seq: str = "seq2") -> DataFrame:
     return df.withColumns(codes | overhangs)
 
 
-def correct(df: DataFrame, whitelist: DataFrame, ignore_overhangs: bool = False, seq: str = "seq2", qual: str | None = "qual2") -> DataFrame:
+def within(observed: DataFrame, whitelist: DataFrame, radius: int | None = None) -> DataFrame:
+    """(position, observed, corrected, distance): observed strings (position, observed) whose nearest code is within the radius; ties go to the first code of the list.
+
+    Strings with r wrong letters share one of r + 1 pieces with their code at least, in its place, so codes and strings are listed by pieces and meet in an equi-join; only
+    what shares a piece is compared. radius: None takes each position's own (correction_radius), under 0 of which nothing matches, not even a code.
+    """
+    own = whitelist.select("position").distinct().withColumn("radius", F.lit(radius)) if radius is not None else correction_radius(whitelist)
+    own = own.where("radius >= 0")
+
+    def pieces(df: DataFrame, name: str) -> DataFrame:
+        n = F.length(name)
+        cut = F.transform(F.sequence(F.lit(0), F.col("radius")), lambda i: F.struct(i.alias("i"), F.substring(F.col(name), F.floor(i * n / (F.col("radius") + 1)).cast("int") + 1, (F.floor((i + 1) * n / (F.col("radius") + 1)) - F.floor(i * n / (F.col("radius") + 1))).cast("int")).alias("piece")))
+        return df.join(own, "position").withColumn("p", F.explode(cut)).withColumns({"i": F.col("p.i"), "piece": F.col("p.piece"), "length": n}).drop("p")
+
+    seen = pieces(observed.select("position", "observed").distinct(), "observed")
+    listed = pieces(whitelist.select("position", "ord", "seq"), "seq").drop("radius")
+    pairs = seen.join(listed, ["position", "length", "i", "piece"]).select("position", "observed", "radius", "length", "ord", "seq").distinct()
+    places = F.aggregate(F.sequence(F.lit(1), F.col("length")), F.lit(0), lambda s, i: s + (F.substring(F.col("observed"), i, F.lit(1)) != F.substring(F.col("seq"), i, F.lit(1))).cast("int"))
+    near = pairs.withColumn("distance", places).where("distance <= radius")
+    return near.groupBy("position", "observed").agg(F.min(F.struct("distance", "ord", "seq")).alias("b")).select("position", "observed", F.col("b.seq").alias("corrected"), F.col("b.distance").alias("distance"))
+
+
+def _nearly(seen: str, constant: str) -> Column:
+    """A string of the constant's length with one other letter at most."""
+    one = "|".join(constant[:k] + "[^\\n]" + constant[k + 1 :] for k in range(len(constant)))
+    return F.col(seen).rlike(f"^(?:{one})\\z")
+
+
+def correct(df: DataFrame, whitelist: DataFrame, ignore_overhangs: bool = False, seq: str = "seq2", qual: str | None = "qual2", radius: int | None = 1) -> DataFrame:
     """Adds ok, the corrected barcode (null if not ok), insert and its quality.
 
-    Each code must lie within distance 1 of a whitelisted one (four look-ups in the neighbour table) and each overhang within
-    distance 1 of its constant unless they are ignored. Reads shorter than a 45-mer are not ok. The neighbour table is made once, on the
-    driver: 33 strings for each whitelisted code, of which there are a few hundred (4^8 a position at most).
+    Each code must lie within the radius of a whitelisted one and each overhang within distance 1 of its constant unless they are ignored. Reads shorter than a
+    45-mer are not ok. With radius 1 the table of all neighbours is made once, on the driver: 33 strings for each whitelisted code, of which there are a few hundred (4^8 a
+    position at most). With any other, or None for what each position's list allows, the distinct codes of the reads are looked up (within), which reads them twice.
     """
     out = split_codes(df, seq)
-    made = neighbours(whitelist)
-    table = df.sparkSession.createDataFrame(made.collect(), made.schema)
+    if radius == 1:
+        made = neighbours(whitelist)
+        table = df.sparkSession.createDataFrame(made.collect(), made.schema)
+    else:
+        codes_ = F.explode(F.array(*[F.struct(F.lit(p).alias("position"), F.col(f"code_{p}").alias("observed")) for p in POSITIONS]))
+        table = within(out.select(codes_.alias("c")).select("c.*").where(F.length("observed") == CODE).distinct(), whitelist, radius)
     for p in POSITIONS:
         own = table.where(F.col("position") == p).select(F.col("observed").alias(f"code_{p}"), F.col("corrected").alias(f"fixed_{p}"))
         out = out.join(own, f"code_{p}", "left")
@@ -69,7 +101,7 @@ def correct(df: DataFrame, whitelist: DataFrame, ignore_overhangs: bool = False,
     for p, (o, _) in OVERHANGS.items():
         ok = ok & F.col(f"fixed_{p}").isNotNull()
         if not ignore_overhangs:
-            ok = ok & (F.when(F.length(f"overhang_{p}") == len(o), hamming(F.col(f"overhang_{p}"), F.lit(o), len(o))).otherwise(len(o) + 1) <= 1)
+            ok = ok & _nearly(f"overhang_{p}", o)
     barcode = F.concat(*[x for p in POSITIONS for x in (F.col(f"fixed_{p}"), F.lit(OVERHANGS[p][0]))])
     new = {"ok": F.coalesce(ok, F.lit(False)), "insert": F.substring(seq, LENGTH + 2, 1 << 30)}
     if qual:

@@ -113,9 +113,41 @@ def q06b(spark: SparkSession, d: str) -> DataFrame:
     return rejected.groupBy("l_linenumber").agg(F.count("*").alias("rejected"))
 
 
-@query("q06c_correction_radius", f"WITH {WHITELIST_SQL} SELECT a.position AS position, min(hamming(a.seq, b.seq)) - 2 AS radius FROM whitelist a JOIN whitelist b ON a.position = b.position AND a.ord < b.ord GROUP BY a.position")
+#: Lists whose codes differ in four letters at least, from the first 16 nations: two letters, four times each, turned for each position.
+_LETTER = "substr('ACGT', cast(1 + {0} % 4 AS int), 1)"
+SPACED = " UNION ALL ".join(
+    f"SELECT '{p}' AS position, cast(n_nationkey AS int) AS ord, concat(repeat({_LETTER.format(f'(n_nationkey + {k})')}, 4), repeat({_LETTER.format(f'(cast(floor(n_nationkey / 4) AS int) + {k})')}, 4)) AS seq FROM nation WHERE n_nationkey < 16"
+    for k, p in enumerate("DCBA")
+)
+#: Reads of such codes, of which each has up to three wrong letters, one after the other.
+_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+_PURE = [*_KEYS, *[f"concat(repeat({_LETTER.format(f'(l_partkey + {k})')}, 4), repeat({_LETTER.format(f'(l_suppkey + {k})')}, 4)) AS c{p}" for k, p in enumerate("DCBA")]]
+
+
+def _spoilt(n: int) -> list[str]:
+    spot = lambda k: f"cast((l_orderkey + {k} + {3 * n}) % 8 AS int)"
+    return [*_KEYS, *[f"CASE WHEN (l_orderkey + l_linenumber + {k}) % 5 > {n + 1} THEN concat(substr(c{p}, 1, {spot(k)}), '{'GTN'[n]}', substr(c{p}, {spot(k)} + 2)) ELSE c{p} END AS c{p}" for k, p in enumerate("DCBA")]]
+
+
+SPOILT_SQL = f"pure AS (SELECT {', '.join(_PURE)} FROM lineitem), one AS (SELECT {', '.join(_spoilt(0))} FROM pure), two AS (SELECT {', '.join(_spoilt(1))} FROM one), spoilt AS (SELECT {', '.join(_spoilt(2))} FROM two)"
+_WHOLE = "concat(cD, 'AGGA', cC, 'ACTC', cB, 'AAGG', cA, 'A', 'TGATTACA') AS seq2"
+
+
+@query("q06c_correction_radius", f"WITH whitelist AS ({SPACED}) SELECT a.position AS position, min(hamming(a.seq, b.seq)) - 2 AS radius FROM whitelist a JOIN whitelist b ON a.position = b.position AND a.ord < b.ord GROUP BY a.position")
 def q06c(spark: SparkSession, d: str) -> DataFrame:
-    return codes.correction_radius(whitelist(spark))
+    table(spark, d, "nation").createOrReplaceTempView("nation")
+    return codes.correction_radius(spark.sql(SPACED))
+
+
+@query("q05b_correct_two_letters", f"""WITH whitelist AS ({SPACED}), {SPOILT_SQL},
+seen AS (SELECT DISTINCT 'D' AS position, cD AS observed FROM spoilt UNION SELECT 'C', cC FROM spoilt UNION SELECT 'B', cB FROM spoilt UNION SELECT 'A', cA FROM spoilt),
+fix AS (SELECT s.position AS position, observed, arg_min(seq, hamming(observed, seq) * 100 + ord) AS seq, min(hamming(observed, seq)) AS distance FROM seen s JOIN whitelist w ON s.position = w.position GROUP BY s.position, observed)
+SELECT l_orderkey, l_linenumber, greatest(d.distance, c.distance, b.distance, a.distance) <= 2 AS ok, CASE WHEN greatest(d.distance, c.distance, b.distance, a.distance) <= 2 THEN concat(d.seq, 'AGGA', c.seq, 'ACTC', b.seq, 'AAGG', a.seq, 'A') END AS barcode
+FROM spoilt JOIN fix d ON d.position = 'D' AND d.observed = cD JOIN fix c ON c.position = 'C' AND c.observed = cC JOIN fix b ON b.position = 'B' AND b.observed = cB JOIN fix a ON a.position = 'A' AND a.observed = cA""")
+def q05b(spark: SparkSession, d: str) -> DataFrame:
+    table(spark, d, "nation").createOrReplaceTempView("nation")
+    pairs = table(spark, d, "lineitem").selectExpr(*_PURE).selectExpr(*_spoilt(0)).selectExpr(*_spoilt(1)).selectExpr(*_spoilt(2)).selectExpr("l_orderkey", "l_linenumber", _WHOLE)
+    return codes.correct(pairs, spark.sql(SPACED), qual=None, radius=None).select("l_orderkey", "l_linenumber", "ok", "barcode")
 
 
 def plate(spark: SparkSession) -> DataFrame:
