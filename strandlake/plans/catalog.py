@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import calling_queries, coverage_queries, reads_queries, variant_queries  # noqa: F401  they register themselves
+from . import calling_queries, coverage_queries, file_queries, reads_queries, variant_queries  # noqa: F401  they register themselves
 from .base import ORACLE_SQL, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

@@ -23,14 +23,17 @@ def records(stream) -> Iterator[tuple[str, str, str, str]]:
         yield name, comment, seq.rstrip("\n"), qual.rstrip("\n")
 
 
-def open_binary(path: str):
-    """A stream of a file in any store that pyarrow knows by its scheme (file, hdfs, s3, gs, abfs); a path without one is local."""
+def store_of(path: str):
+    """(store, name in it) of a path in any store that pyarrow knows by its scheme (file, hdfs, s3, gs, abfs); a path without one is local."""
     from pyarrow import fs
 
-    if "://" in path or path.startswith("file:"):
-        store, name = fs.FileSystem.from_uri(path)
-    else:
-        store, name = fs.LocalFileSystem(), path
+    if path.startswith("file:") and not path.startswith("file://"):
+        path = "file://" + path.removeprefix("file:")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def open_binary(path: str):
+    store, name = store_of(path)
     return store.open_input_file(name)
 
 
