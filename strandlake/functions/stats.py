@@ -106,6 +106,11 @@ def doublings(slope: Column, days: float = 1.0) -> Column:
     return slope / math.log(2) * days
 
 
+def per_passage(value: Column, passage: Column, ratio: Column) -> Column:
+    """A count without the growth of the passages before it: value / ratio^passage; null where the ratio is 0 or anything is missing."""
+    return F.try_divide(value.cast("double"), F.pow(ratio.cast("double"), passage.cast("double")))
+
+
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, by: str | None = None, weight: str | None = None, log: bool = False) -> DataFrame:
     """(by, bin, n): bins of equal width between low and high (of log10 if asked), the last one closed; weighted if asked."""
     x = F.log10(value) if log else F.col(value).cast("double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import bins, merge
+from .intervals import bins, genome_offsets, merge
 from .reads import DUPLICATE, SECONDARY, SUPPLEMENTARY, UNMAPPED, lacks
 
 
@@ -117,6 +117,11 @@ def mean_track(values: DataFrame, width: int, by: str = "cell") -> DataFrame:
     return values.groupBy(by, "chrom", (F.floor(F.col("pos0") / width) * width).alias("bin_start")).agg(F.avg("value").alias("mean"))
 
 
+def genome_track(track: DataFrame, contigs: DataFrame, gap: int = 0) -> DataFrame:
+    """A binned track (chrom, bin_start, ..) along the whole genome: adds genome_start, the bin's start behind all contigs before its own in natural order. Contigs that aren't listed go."""
+    return track.join(genome_offsets(contigs, gap).select("chrom", "offset"), "chrom").withColumn("genome_start", F.col("offset") + F.col("bin_start")).drop("offset")
+
+
 def group_curve(curves: DataFrame, by: str, x: str, y: str) -> DataFrame:
     """Mean and standard deviation of curves at every x of a group."""
     return curves.groupBy(by, x).agg(F.avg(y).alias("mean"), F.stddev_samp(y).alias("sd"))

@@ -108,6 +108,17 @@ def feature_distribution(reads: DataFrame, exons: DataFrame, genes: DataFrame) -
     return row.select("*", pct("exonic"), pct("intronic"), pct("intergenic"))
 
 
+def compare_distributions(sets: dict[str, DataFrame], exons: DataFrame, genes: DataFrame) -> DataFrame:
+    """(source, feature, reads, pct) of several sets of reads (DNA, RNA) for exonic, intronic and intergenic, each from its own counts."""
+    out = None
+    for name, df in sets.items():
+        row = feature_distribution(df, exons, genes)
+        each = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("reads"), F.col(f"{f}_pct").alias("pct")) for f in ("exonic", "intronic", "intergenic")]))
+        own = row.select(F.lit(name).alias("source"), each.alias("x")).select("source", "x.*")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def genes_from_transcripts(df: DataFrame) -> DataFrame:
     """Gene extents: least start and greatest end of their transcripts."""
     return df.groupBy("chrom", "gene_id").agg(F.min("pos0").alias("pos0"), F.max("pos1").alias("pos1"))

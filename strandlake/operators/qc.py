@@ -124,6 +124,11 @@ def complexity_curve(reads: DataFrame, key: str, fragment: list[str], fractions:
     return rows.groupBy(by, "fraction").agg(F.count("*").alias("total_reads"), F.count_distinct(F.struct(*fragment)).alias("distinct_reads"))
 
 
+def assigned(df: DataFrame, other: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
+    """df with columns of another table that has one row for each key; null where it has none. Rows are matched by key and never by their order."""
+    return df.join(other.groupBy(*on).agg(*[F.first(c).alias(c) for c in columns]), on, "left")
+
+
 def explode_markers(markers: DataFrame) -> DataFrame:
     """One row for each gene in a comma list, trimmed, without blanks."""
     return markers.select(*[c for c in markers.columns if c != "genes"], F.explode(F.split("genes", ",")).alias("gene")).withColumn("gene", F.trim("gene")).where("gene <> ''")

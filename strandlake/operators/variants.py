@@ -175,8 +175,3 @@ def spectrum(sites: DataFrame, by: str = "sample", zeros: bool = True) -> DataFr
         return counts
     spine = sites.select(by).distinct().select(by, F.explode(F.array(*map(F.lit, contexts()))).alias("trinuc_type"))
     return spine.join(counts, [by, "trinuc_type"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-
-
-def pileup(reads: DataFrame) -> DataFrame:
-    """(sample, chrom, pos, base, n) from ungapped reads (sample, chrom, pos0, seq); pos is 1-based."""
-    return reads.select("sample", "chrom", "pos0", F.posexplode(F.split("seq", "")).alias("k", "base")).where("base <> ''").groupBy("sample", "chrom", (F.col("pos0") + F.col("k") + 1).alias("pos"), "base").agg(F.count("*").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions import stats
-from strandlake.operators import coverage, logs, qc
+from strandlake.operators import coverage, logs, qc, reads
 
 from .base import ALIGNMENTS_SQL, GENOME, alignments, query, table
 
@@ -272,3 +272,31 @@ def q56(spark: SparkSession, d: str) -> DataFrame:
 @query("q57_mean_track", f"{A} SELECT cell, chrom, pos0 // 20000 * 20000 AS bin_start, round(avg(mapq), 9) AS mean FROM alignments GROUP BY ALL")
 def q57(spark: SparkSession, d: str) -> DataFrame:
     return coverage.mean_track(alignments(spark, d).withColumn("value", F.col("mapq")), 20000).withColumn("mean", F.round("mean", 9))
+
+
+@query("q57b_genome_track", f"""{A}, m AS (SELECT chrom, pos0 // 20000 * 20000 AS bin_start, round(avg(mapq), 9) AS mean FROM alignments GROUP BY ALL)
+SELECT chrom, bin_start, mean, (substr(chrom, 4)::BIGINT - 1) * 100010 + bin_start AS genome_start FROM m""")
+def q57b(spark: SparkSession, d: str) -> DataFrame:
+    """One track over all contigs, 10 bases apart."""
+    a = alignments(spark, d).withColumns({"value": F.col("mapq"), "all": F.lit("all")})
+    contigs = table(spark, d, "part").selectExpr("concat('chr', 1 + p_partkey % 22) AS chrom", "100000L AS length").distinct()
+    return coverage.genome_track(coverage.mean_track(a, 20000, "all").drop("all").withColumn("mean", F.round("mean", 9)), contigs, 10)
+
+
+@query("q90_number_formats", "SELECT s_suppkey AS k, CASE WHEN s_suppkey % 5 = 0 THEN 'N/A' WHEN s_suppkey % 5 = 1 THEN '0.0012' ELSE format('{:,d}', s_suppkey * 98765) END AS shown FROM supplier")
+def q90(spark: SparkSession, d: str) -> DataFrame:
+    x = F.when(F.col("s_suppkey") % 5 == 1, 0.0012).when(F.col("s_suppkey") % 5 > 1, F.col("s_suppkey") * 98765.0)
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), qc.thousands(x).alias("shown"))
+
+
+@query("q91_chunks_of_templates", f"{A} SELECT qname, concat(cell, '_1') AS rg, count(*) AS n, 1 AS chunks FROM alignments GROUP BY ALL")
+def q91(spark: SparkSession, d: str) -> DataFrame:
+    """Records with a read group, dealt into eight chunks: a template's records stay together."""
+    dealt = reads.chunked(reads.with_read_group(alignments(spark, d), F.concat("cell", F.lit("_1"))), 8)
+    return dealt.groupBy("qname", "rg").agg(F.count("*").alias("n"), F.count_distinct("chunk").alias("chunks"))
+
+
+@query("q92_assigned_by_key", "SELECT n_nationkey AS k, n_regionkey AS region, r_name AS name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey <> 2")
+def q92(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation").selectExpr("n_nationkey AS k", "n_regionkey AS region")
+    return qc.assigned(n, table(spark, d, "region").where("r_regionkey <> 2").selectExpr("r_regionkey AS region", "r_name AS name"), ["region"], ["name"])

@@ -212,6 +212,19 @@ def q12(spark: SparkSession, d: str) -> DataFrame:
     return intervals.feature_distribution(alignments(spark, d), exons(spark, d), genes(spark, d))
 
 
+@query("q12b_compared_distributions", f"""{A}, sets AS (SELECT *, CASE WHEN mapq % 3 = 0 THEN 'rna' ELSE 'dna' END AS source FROM alignments), {EXONS_SQL}, {GENES_SQL}, {merged_sql('mexons', 'exons')}, {merged_sql('mgenes', 'genes')},
+points AS (SELECT chrom, pos0 AS p, 1 AS g, 0 AS e FROM mgenes UNION ALL SELECT chrom, pos1, -1, 0 FROM mgenes UNION ALL SELECT chrom, pos0, 0, 1 FROM mexons UNION ALL SELECT chrom, pos1, 0, -1 FROM mexons),
+sums AS (SELECT chrom, p, sum(g) AS g, sum(e) AS e FROM points GROUP BY chrom, p),
+swept AS (SELECT chrom, p AS pos0, lead(p) OVER w AS pos1, sum(g) OVER w AS g, sum(e) OVER w AS e FROM sums WINDOW w AS (PARTITION BY chrom ORDER BY p)),
+introns AS (SELECT chrom, pos0, pos1 FROM swept WHERE g > 0 AND e = 0),
+c AS (SELECT source, count(*) AS total, count(*) FILTER (WHERE {_HIT.format('mexons')}) AS exonic, count(*) FILTER (WHERE {_HIT.format('introns')}) AS intronic, count(*) FILTER (WHERE NOT {_HIT.format('mgenes')}) AS intergenic FROM sets a GROUP BY source),
+f AS (SELECT unnest(['exonic', 'intronic', 'intergenic']) AS feature), r AS (SELECT source, feature, total, CASE feature WHEN 'exonic' THEN exonic WHEN 'intronic' THEN intronic ELSE intergenic END AS reads FROM c, f)
+SELECT source, feature, reads, round(100 * reads / total, 2) AS pct FROM r""")
+def q12b(spark: SparkSession, d: str) -> DataFrame:
+    a = alignments(spark, d)
+    return intervals.compare_distributions({"rna": a.where("mapq % 3 = 0"), "dna": a.where("mapq % 3 > 0")}, exons(spark, d), genes(spark, d))
+
+
 @query("q13_gene_counts", f"""{A}, {EXONS_SQL}, {merged_sql('m', 'exons', 'chrom, gene')}, kept AS (SELECT * FROM alignments WHERE (flag & 2308) = 0 AND ((flag & 1) = 0 OR ((flag & 8) = 0 AND (mate_chrom = '=' OR mate_chrom = chrom)))),
 hits AS (SELECT cell, qname, gene, sum(least(a.pos1, m.pos1) - greatest(a.pos0, m.pos0)) AS bp FROM kept a JOIN m ON m.chrom = a.chrom AND a.pos0 < m.pos1 AND a.pos1 > m.pos0 GROUP BY ALL),
 size AS (SELECT cell, qname, sum(pos1 - pos0) AS length FROM kept GROUP BY ALL),

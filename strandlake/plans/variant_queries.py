@@ -42,9 +42,9 @@ def q30(spark: SparkSession, d: str) -> DataFrame:
     return variants.multiallelic(calls(spark, d).select("chrom", "pos", "ref", "alt").distinct())
 
 
-@query("q30c_biallelic_sites", f"{C}, s AS (SELECT DISTINCT {SITE} FROM calls WHERE ad > 20) SELECT {SITE} FROM (SELECT {SITE}, count(*) OVER (PARTITION BY chrom, pos) AS k FROM s) WHERE k = 1")
+@query("q30c_biallelic_sites", f"{C}, s AS (SELECT DISTINCT {SITE} FROM calls) SELECT {SITE} FROM (SELECT {SITE}, count(*) OVER (PARTITION BY chrom, pos) AS k FROM s) WHERE k = 1")
 def q30c(spark: SparkSession, d: str) -> DataFrame:
-    return variants.biallelic(calls(spark, d).where("ad > 20").select("chrom", "pos", "ref", "alt").distinct())
+    return variants.biallelic(calls(spark, d).select("chrom", "pos", "ref", "alt").distinct())
 
 
 @query("q30b_call_summary", f"{C}, s AS (SELECT DISTINCT {SITE} FROM calls) SELECT count(*) AS records, count(*) FILTER (WHERE length(ref) = 1 AND length(alt) = 1) AS snps, count(*) FILTER (WHERE NOT (length(ref) = 1 AND length(alt) = 1)) AS indels, (SELECT count(DISTINCT sample) FROM calls) AS samples FROM s")
@@ -183,9 +183,37 @@ def q36b(spark: SparkSession, d: str) -> DataFrame:
     return stats.student(rows, "lang", "x", "en", "de", log=True).select("n1", "n2", F.round("t", 9).alias("t"), "df")
 
 
-@query("q36c_intervals_with_p")
+def t_area(t: str, v: str) -> str:
+    """Area under Student's density with v degrees of freedom between 0 and t, by Simpson's rule."""
+    weight = "CASE WHEN i = 0 OR i = 1000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    total = f"list_sum(list_transform(range(0, 1001), lambda i: {weight} * (1 + ({t}) * ({t}) * i * i / 1000000.0::DOUBLE / {v}) ** (-({v} + 1) / 2.0::DOUBLE)))"
+    return f"({total} * ({t}) / 3000.0::DOUBLE * exp(lgamma(({v} + 1) / 2.0::DOUBLE) - lgamma({v} / 2.0::DOUBLE)) / sqrt({v} * pi()))"
+
+
+@query("q36c_intervals_with_p", f"""WITH RECURSIVE a AS (SELECT c_mktsegment, count(c_acctbal) AS n, avg(c_acctbal)::DOUBLE AS mean, stddev_samp(c_acctbal)::DOUBLE AS sd FROM customer GROUP BY c_mktsegment),
+b AS (SELECT c_mktsegment, (n - 1)::DOUBLE AS v, 0::DOUBLE AS lo, 20::DOUBLE AS hi, 0 AS step FROM a UNION ALL
+  SELECT c_mktsegment, v, CASE WHEN area < 0.475 THEN mid ELSE lo END, CASE WHEN area < 0.475 THEN hi ELSE mid END, step + 1 FROM (SELECT *, {t_area("mid", "v")} AS area FROM (SELECT *, (lo + hi) / 2 AS mid FROM b WHERE step < 50)))
+SELECT a.c_mktsegment, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(sd / sqrt(n), 6) AS sem, round(mean - lo * sd / sqrt(n), 4) AS ci_low, round(mean + lo * sd / sqrt(n), 4) AS ci_high FROM a JOIN b ON a.c_mktsegment = b.c_mktsegment AND step = 50""")
 def q36c(spark: SparkSession, d: str) -> DataFrame:
-    return stats.mean_interval(table(spark, d, "customer"), "c_mktsegment", "c_acctbal")
+    out = stats.mean_interval(table(spark, d, "customer"), "c_mktsegment", "c_acctbal")
+    return out.select("c_mktsegment", "n", *[F.round(F.col(c).cast("double"), k).alias(c) for c, k in (("mean", 6), ("sd", 6), ("sem", 6), ("ci_low", 4), ("ci_high", 4))])
+
+
+@query("q36d_p_values", f"""WITH s AS (SELECT count(c_acctbal) FILTER (WHERE c_mktsegment = 'BUILDING') AS n1, avg(c_acctbal) FILTER (WHERE c_mktsegment = 'BUILDING') AS m1, var_samp(c_acctbal) FILTER (WHERE c_mktsegment = 'BUILDING') AS v1,
+ count(c_acctbal) FILTER (WHERE c_mktsegment = 'MACHINERY') AS n2, avg(c_acctbal) FILTER (WHERE c_mktsegment = 'MACHINERY') AS m2, var_samp(c_acctbal) FILTER (WHERE c_mktsegment = 'MACHINERY') AS v2 FROM customer),
+u AS (SELECT 'welch' AS test, (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t, (v1 / n1 + v2 / n2) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v2 / n2) ** 2 / (n2 - 1)) AS v FROM s UNION ALL
+  SELECT 'student', (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1 / n1 + 1 / n2)), (n1 + n2 - 2)::DOUBLE FROM s),
+{_GROWTH}, r AS (SELECT concat('slope', clone) AS test, count(*) AS n, regr_slope(ln(n), day) AS slope, regr_sxx(ln(n), day) AS sxx, regr_syy(ln(n), day) AS syy FROM g GROUP BY clone),
+w AS (SELECT test, slope / sqrt(greatest(syy - slope * slope * sxx, 0) / ((n - 2) * sxx)) AS t, (n - 2)::DOUBLE AS v FROM r UNION ALL SELECT * FROM u)
+SELECT test, round(1 - 2 * {t_area("abs(t)", "v")}, 6) AS p_value FROM w WHERE abs(t) < 100""")
+def q36d(spark: SparkSession, d: str) -> DataFrame:
+    """p-values of the two t-tests and of the slopes of growth."""
+    c = table(spark, d, "customer")
+    tests = [f(c, "c_mktsegment", "c_acctbal", "BUILDING", "MACHINERY").select(F.lit(f.__name__).alias("test"), "t", "df") for f in (stats.welch, stats.student)]
+    p = tests[0].unionByName(tests[1]).withColumn("p_value", stats.two_sided_p(F.col("t"), F.col("df"))).where("abs(t) < 100").select("test", "p_value")
+    g = table(spark, d, "orders").groupBy((F.col("o_custkey") % 50).alias("clone"), (F.year("o_orderdate") - 1990).alias("day")).agg(F.count("*").alias("n_orders"))
+    slopes = stats.with_slope_p(stats.log_linear(g, "clone", "day", "n_orders")).where("abs(slope / stderr) < 100")
+    return p.unionByName(slopes.select(F.concat(F.lit("slope"), "clone").alias("test"), "p_value")).select("test", F.round("p_value", 6).alias("p_value"))
 
 
 @query("q37_rate_delta_method", """WITH s AS (SELECT n_regionkey AS region, avg(c_acctbal) AS m, stddev_samp(c_acctbal) / sqrt(count(*)) AS se, avg(c_nationkey + 1) AS b, stddev_samp(c_nationkey + 1) / sqrt(count(*)) AS sb FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey)
@@ -232,3 +260,9 @@ def q47(spark: SparkSession, d: str) -> DataFrame:
 def q58(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").selectExpr("cast(o_totalprice / 1000 AS double) AS y", "o_custkey % 12 AS lineage", "cast(year(o_orderdate) - 1992 AS double) AS passage", "cast(o_custkey % 2 AS double) AS genotype")
     return stats.mixed_model(rows.withColumn("interaction", F.col("passage") * F.col("genotype")), "y", "lineage", ["passage", "genotype", "interaction"])
+
+
+@query("q89_normalised_by_passage", "SELECT c_custkey AS sample, round(c_acctbal / (CASE WHEN c_nationkey % 3 = 0 THEN 296 / 168.0::DOUBLE ELSE 1 END) ** (c_custkey % 7), 6) AS per_passage FROM customer")
+def q89(spark: SparkSession, d: str) -> DataFrame:
+    ratio = F.when(F.col("c_nationkey") % 3 == 0, 296 / 168).otherwise(1.0)
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("sample"), F.round(stats.per_passage(F.col("c_acctbal"), F.col("c_custkey") % 7, ratio), 6).alias("per_passage"))
