@@ -52,22 +52,25 @@ def overlapping(left: DataFrame, right: DataFrame, width: int = 16384, how: str
     return a.join(r, on, how).drop("__bin")
 
 
-def touching(left: DataFrame, sets: dict[str, DataFrame], width: int = 16384) -> DataFrame:
+def touching(left: DataFrame, sets: dict[str, DataFrame], least: int = 10) -> DataFrame:
     """Adds a boolean for each named set of disjoint intervals: whether the left interval overlaps one. Left rows are neither copied nor grouped.
 
-    All sets are listed by the bins from which a left interval may reach them (as in overlapping), so one join on the bin of the start answers
-    for all of them. The intervals of a bin are disjoint and so at most as many as the bin and the longest left interval have bases.
+    A left interval looks in one bin, that of its start among bins of the next power of two above its length (2^least at least); so it reaches into the next bin
+    at most, whatever the longest one is. The sets' intervals are listed in the bins of each of these widths that occurs, of which there are a few dozen at most; one
+    join answers for all sets, and a list holds no more disjoint intervals than two bins have bases.
     """
-    longest = left.agg(F.coalesce(F.max(F.col("pos1") - F.col("pos0")), F.lit(1)).alias("longest"))
+    level = F.greatest(F.lit(least), F.ceil(F.log2(F.greatest(F.col("pos1") - F.col("pos0"), F.lit(1)).cast("double")))).cast("int")
+    levels = left.agg(F.collect_set(level).alias("l")).scalar()
     rows = None
     for name, df in sets.items():
         own = df.select("chrom", F.struct("pos0", "pos1").alias("span"), F.lit(name).alias("name"))
         rows = own if rows is None else rows.unionByName(own)
-    reach = F.explode(F.sequence(F.floor((F.col("span.pos0") - F.col("longest")) / width), F.floor((F.col("span.pos1") - 1) / width)))
-    binned = rows.crossJoin(longest).select("chrom", reach.alias("bin"), "span", "name")
-    lists = binned.groupBy("chrom", "bin").agg(*[F.collect_list(F.when(F.col("name") == n, F.col("span"))).alias(f"__{n}") for n in sets])
-    lists = lists.withColumnsRenamed({"chrom": "__chrom", "bin": "__bin"})
-    joined = left.join(lists, (F.col("chrom") == F.col("__chrom")) & (F.floor(F.col("pos0") / width) == F.col("__bin")), "left")
+    rows = rows.select("chrom", "span", "name", F.explode(levels).alias("level")).withColumn("width", F.expr("shiftleft(1L, level)"))
+    reach = F.explode(F.sequence(F.floor(F.col("span.pos0") / F.col("width")) - 1, F.floor((F.col("span.pos1") - 1) / F.col("width"))))
+    lists = rows.select("chrom", "level", reach.alias("bin"), "span", "name").groupBy("chrom", "level", "bin").agg(*[F.collect_list(F.when(F.col("name") == n, F.col("span"))).alias(f"__{n}") for n in sets])
+    lists = lists.withColumnsRenamed({"chrom": "__chrom", "level": "__level", "bin": "__bin"})
+    own = left.withColumn("__own", level).withColumn("__at", F.floor(F.col("pos0") / F.expr("shiftleft(1L, __own)")))
+    joined = own.join(lists, (F.col("chrom") == F.col("__chrom")) & (F.col("__own") == F.col("__level")) & (F.col("__at") == F.col("__bin")), "left")
     hit = lambda n: F.coalesce(F.exists(f"__{n}", lambda x: (F.col("pos0") < x["pos1"]) & (F.col("pos1") > x["pos0"])), F.lit(False)).alias(n)
     return joined.select(*left.columns, *[hit(n) for n in sets])
 

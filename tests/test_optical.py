@@ -61,3 +61,26 @@ def test_nearest_rows_against_all(spark):
             want[g, d].append((abs(x - d), x, v))
     assert got == {k: min(v)[1:] for k, v in want.items()}
     assert qc.nearest_row(spark.createDataFrame([], "sample string, total_reads long, v string"), spark.createDataFrame([(1,)], "depth long")).select(F.count("*")).first()[0] == 0
+
+
+def test_touching_reads_of_all_lengths(spark):
+    """Reads from one base to most of a contig against disjoint intervals."""
+    from strandlake.operators import intervals
+
+    r = random.Random(8)
+    sets = {}
+    for name in ("few", "many"):
+        at, own = 0, []
+        while at < 300_000:
+            at += r.choice([1, 50, 5000]) if name == "many" else r.choice([3000, 70_000])
+            own.append(("x", at, at + r.choice([1, 40, 3000])))
+            at = own[-1][2]
+        sets[name] = own
+    reads = [("x", a, a + n) for a, n in ((r.randrange(300_000), r.choice([1, 2, 100, 1023, 1024, 1025, 40_000, 250_000])) for _ in range(400))] + [("y", 1, 5), ("x", 0, 1)]
+    made = {k: spark.createDataFrame(v, "chrom string, pos0 long, pos1 long") for k, v in sets.items()}
+    got = intervals.touching(spark.createDataFrame(reads, "chrom string, pos0 long, pos1 long"), made).collect()
+    assert len(got) == len(reads)
+    for q in got:
+        for name, own in sets.items():
+            assert q[name] == any(c == q.chrom and a < q.pos1 and b > q.pos0 for c, a, b in own)
+    assert intervals.touching(made["few"].limit(0), made).count() == 0
