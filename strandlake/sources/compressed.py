@@ -100,12 +100,13 @@ def parts(spark: SparkSession, paths: list[str], split: int) -> DataFrame:
     return rows.repartition(max(1, min(len(paths), 256)), "file").mapInPandas(cut, "file long, path string, begin long, end long")
 
 
-def spread(tasks: DataFrame, n: int) -> DataFrame:
-    """One task for each part, as far as there are n."""
-    return tasks.repartition(n, *tasks.columns)
+def spread(tasks: DataFrame, n: int | None) -> DataFrame:
+    """Parts dealt to n tasks, by default as many as a shuffle has partitions or twice the cores, if those are more."""
+    spark = tasks.sparkSession
+    return tasks.repartition(n or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *tasks.columns)
 
 
-def text_lines(spark: SparkSession, paths: list[str], split: int = SPLIT, tasks: int = 1024) -> DataFrame:
+def text_lines(spark: SparkSession, paths: list[str], split: int = SPLIT, tasks: int | None = None) -> DataFrame:
     """(path, value): every line of the files, read in parts of `split` bytes. Lines of different parts come in no order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +172,7 @@ def fastq_records(path: str, begin: int, end: int) -> Iterator[tuple[str, str, s
         yield name, comment, seq, qual
 
 
-def directory(spark: SparkSession, pairs: list[tuple[str, str]], split: int = SPLIT, tasks: int = 1024) -> DataFrame:
+def directory(spark: SparkSession, pairs: list[tuple[str, str]], split: int = SPLIT, tasks: int | None = None) -> DataFrame:
     """(pair, mate, path, begin, end, first, records): the parts of both files of each pair, with the number of the first record of each. One pass that only counts."""
     files = [p for pair in pairs for p in pair]
 
@@ -184,7 +185,7 @@ def directory(spark: SparkSession, pairs: list[tuple[str, str]], split: int = SP
     return counted.select(F.floor(F.col("file") / 2).alias("pair"), (F.col("file") % 2).alias("mate"), "path", "begin", "end", before.alias("first"), "records")
 
 
-def fastq_pairs(spark: SparkSession, pairs: list[tuple[str, str]], split: int = SPLIT, tasks: int = 1024) -> DataFrame:
+def fastq_pairs(spark: SparkSession, pairs: list[tuple[str, str]], split: int = SPLIT, tasks: int | None = None) -> DataFrame:
     """(name, comment, seq1, qual1, seq2, qual2): a row for each pair of records, until either file ends.
 
     Every part of a first file reads its mates from the part of the second one that holds the record of the same number, and skips what is before it: at most one part's
