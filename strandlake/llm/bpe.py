@@ -253,7 +253,8 @@ def encode_decode(docs: DataFrame, path: str | None = None, keep: tuple[str, ...
     """The columns `keep`, then n_tokens, ids (decimal, joined by one space) and decoded for every row's whole text.
 
     Null and empty texts have no ids and decode to ''. Rows are independent: no shuffle, repeated rows
-    and null keys come out as they went in, and only `keep` and text are read. The vocabulary file is
+    and null keys come out as they went in, and only `keep` and text are read; an empty table gives an empty one. Very long texts take the time of their words; a single word of millions
+    of bytes takes one round for each merge. The vocabulary file is
     opened by each worker; it must lie at `path` on every machine. chunks: how many encodings a worker keeps (memory against time);
     release: after a task only the younger ones stay, for workers that go on to other work. Neither changes a result.
     """

@@ -63,7 +63,7 @@ def edit_report(docs: DataFrame, n: int = WORDS) -> DataFrame:
     a single document follows itself. Null texts count as empty; equal texts have equal fingerprints, and the
     likeness of two empty texts is 1. Repeated rows follow each other and have a row each; an empty table gives an empty one. One range exchange of the texts, then each task streams its sorted run. A
     run's last document needs the first of the next run: the two are kept aside with their texts, two rows for
-    each task, and joined afterwards by the runs' order.
+    each task, and joined afterwards by the runs' order. Very long texts are held two at a time in a task; only doc_id and text are read, whatever other columns are called.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "edits")
 

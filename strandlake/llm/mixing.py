@@ -98,7 +98,8 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     """(doc_id, source, h, size, source_size, target, copies) for every row; copies are 0 to cap.
 
     Documents without words are taken once at no cost. A source's taken words differ from its target by about half of its smallest
-    sizes. Repeated rows are rows of their own. An empty table gives an empty plan. Two rules change with a source's size, neither of them what the mix
+    sizes. Repeated rows are rows of their own. An empty table gives an empty plan. Null texts have no words; a very long text is one row with a large size, which is rounded first.
+    Of the documents only doc_id, source and text are read, whatever other columns are called. Two rules change with a source's size, neither of them what the mix
     takes from it: behind its SEQUENTIAL largest (size, part) cells copies are rounded by a running sum and no longer one after the other, and a size
     with more than CLASS documents is cut into parts by hash, so that other documents of equal size get the extra copy.
     """
