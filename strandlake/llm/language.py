@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -250,9 +251,14 @@ class Identifier:
         counts = scratch.save(count_grams(rows, order))
         languages = [r[0] for r in counts.select("lang").distinct().orderBy("lang").collect()]
         if counts.count() <= broadcast:
-            got = counts.toPandas()
-            got["gram"] = got["gram"].to_numpy().view(U64)
-            models = [KneserNey.fit(own["gram"].to_numpy(), own["n"].to_numpy(), order) for _, own in got.sort_values(["lang", "gram"]).groupby("lang")]
+            got = counts.select("lang", "gram", "n").toArrow()
+            which = pc.index_in(got["lang"], pa.array(languages)).to_numpy()
+            gram, n = got["gram"].to_numpy().view(U64), got["n"].to_numpy()
+            models = []
+            for k in range(len(languages)):
+                own = np.flatnonzero(which == k)
+                own = own[np.argsort(gram[own])]
+                models.append(KneserNey.fit(gram[own], n[own], order))
             fitted = cls(languages, models)
             scratch.drop(counts)
         else:
