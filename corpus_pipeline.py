@@ -58,7 +58,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no ids. Rows are independent of each other; an empty table stays empty.
     """
-    out = bpe.encode_decode(docs, keep=("doc_id", "lang", "source"), chunks=200_000, release=True)
+    out = bpe.encode_decode(docs, keep=("doc_id", "lang", "source"), chunks=60_000, release=True)
     return out.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
