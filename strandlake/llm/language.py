@@ -252,7 +252,7 @@ class Identifier:
         languages = [r[0] for r in counts.select("lang").distinct().orderBy("lang").collect()]
         if counts.count() <= broadcast:
             got = counts.select("lang", "gram", "n").toArrow()
-            which = pc.index_in(got["lang"], pa.array(languages)).to_numpy()
+            which = pc.index_in(got["lang"], pa.array(languages, got.schema.field("lang").type)).to_numpy()
             gram, n = got["gram"].to_numpy().view(U64), got["n"].to_numpy()
             models = []
             for k in range(len(languages)):
