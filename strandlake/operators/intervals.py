@@ -38,6 +38,32 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int = 16384) -> DataF
     return a.join(r, ["chrom", "bin"]).where((F.col("pos0") < F.col("pos1_r")) & (F.col("pos1") > F.col("pos0_r")) & (F.col("bin") == first)).drop("bin")
 
 
+def overlap_totals(left: DataFrame, right: DataFrame, by: str, width: int = 16384) -> DataFrame:
+    """(by, n, bp): for each group of right intervals the pairs that overlap_join would give and the bases they share, without making the pairs.
+
+    An interval from s to e overlaps as many left ones as begin before e less those that end by s; the bases they share are those that left intervals have before
+    e less those before s. Ends are summed up by place, and running sums in bins start from the sums of the bins before. Groups without a pair are not listed.
+    """
+    ends = lambda df: df.where("pos0 <= pos1").select(*df.columns, F.explode(F.array(F.struct(F.col("pos0").alias("at"), F.lit(1).alias("opens")), F.struct(F.col("pos1").alias("at"), F.lit(0).alias("opens")))).alias("p"))
+    none = F.lit(0).cast("long")
+    # At one place left ends come first, then what is asked, then left starts.
+    place = ends(left.select("chrom", "pos0", "pos1")).groupBy("chrom", "p.at", F.when(F.col("p.opens") == 1, 2).otherwise(0).alias("kind")).agg(F.count("*").alias("m"))
+    begun, ended = (F.when(F.col("kind") == k, F.col("m")).otherwise(0) for k in (2, 0))
+    place = place.select("chrom", F.col("at").cast("long").alias("at"), "kind", begun.alias("begun"), ended.alias("ended"), F.lit(None).cast(right.schema[by].dataType).alias("g"), none.alias("opens"), none.alias("closes"))
+    asked = ends(right.select("chrom", "pos0", "pos1", by)).groupBy("chrom", "p.at", by).agg(F.count_if(F.col("p.opens") == 1).alias("opens"), F.count_if(F.col("p.opens") == 0).alias("closes"))
+    asked = asked.select("chrom", F.col("at").cast("long").alias("at"), F.lit(1).alias("kind"), none.alias("begun"), none.alias("ended"), F.col(by).alias("g"), "opens", "closes")
+    rows = place.unionByName(asked).where("chrom is not null").withColumn("bin", F.floor(F.col("at") / width)).withColumn("bases", (F.col("ended") - F.col("begun")) * F.col("at"))
+    sums = ("begun", "ended", "bases")
+    earlier = Window.partitionBy("chrom").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    whole = rows.groupBy("chrom", "bin").agg(*[F.sum(c).alias(c) for c in sums]).select("chrom", "bin", *[F.coalesce(F.sum(c).over(earlier), none).alias(f"{c}_0") for c in sums])
+    w = Window.partitionBy("chrom", "bin").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = rows.select("chrom", "bin", "at", "kind", "g", "opens", "closes", *[F.sum(c).over(w).alias(c) for c in sums]).where("kind = 1").join(whole, ["chrom", "bin"])
+    begun, ended, bases = (F.col(c) + F.col(f"{c}_0") for c in sums)
+    before = F.col("at") * (begun - ended) + bases
+    n, bp = F.sum(F.col("closes") * begun - F.col("opens") * ended), F.sum((F.col("closes") - F.col("opens")) * before)
+    return run.groupBy(F.col("g").alias(by)).agg(n.alias("n"), bp.alias("bp")).where("n > 0")
+
+
 def overlapping(left: DataFrame, right: DataFrame, width: int = 16384, how: str = "left_semi") -> DataFrame:
     """Left intervals that overlap any right one, each once (how=left_anti: none).
 
