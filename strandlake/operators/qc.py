@@ -81,17 +81,19 @@ def downsample_tasks(manifest: DataFrame, depths: DataFrame) -> DataFrame:
 def nearest_row(curve: DataFrame, depths: DataFrame, by: str = "sample", x: str = "total_reads") -> DataFrame:
     """For every group and depth the row whose x is nearest, the first by x on ties.
 
-    Depths take their places among a group's rows in one sort, and each sees the last row before it and the first one behind it, so no row meets a depth that
-    isn't next to it. The depths are a list of targets, one array.
+    The depths, one short array, part a group's rows into stretches, of which only the first and the last row can be nearest to a depth. One aggregate keeps
+    these two; depths and kept rows take their places in two running windows, one in either direction, over a few rows for each depth.
     """
     columns = [c for c in curve.columns if c != by]
     wanted = depths.agg(F.collect_set("depth").alias("d")).select(F.sort_array("d")).scalar()
-    rows = curve.where(F.col(x).isNotNull()).select(F.col(by).alias("g"), F.col(x).cast("double").alias("at"), F.lit(0).alias("asks"), F.struct(*columns).alias("row"), F.lit(None).cast(depths.schema["depth"].dataType).alias("depth"))
-    asked = curve.where(F.col(x).isNotNull()).select(F.col(by).alias("g")).distinct().select("g", F.explode(wanted).alias("depth"))
+    rows = curve.where(F.col(x).isNotNull()).select(F.col(by).alias("g"), F.col(x).cast("double").alias("at"), F.struct(*columns).alias("row"), wanted.alias("wanted"))
+    rows = rows.withColumn("stretch", F.size(F.filter("wanted", lambda d: d < F.col("at"))))
+    ends = rows.groupBy("g", "stretch").agg(F.min_by("row", "at").alias("first"), F.max_by("row", "at").alias("last"))
+    rows = ends.select("g", F.explode(F.array("first", "last")).alias("row")).select("g", F.col(f"row.{x}").cast("double").alias("at"), F.lit(0).alias("asks"), "row", F.lit(None).cast(depths.schema["depth"].dataType).alias("depth"))
+    asked = ends.select("g").distinct().select("g", F.explode(wanted).alias("depth"))
     asked = asked.select("g", F.col("depth").cast("double").alias("at"), F.lit(1).alias("asks"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"), "depth")
-    w = Window.partitionBy("g").orderBy("at", "asks")
-    before = F.last("row", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    behind = F.first("row", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    before = F.last("row", ignorenulls=True).over(Window.partitionBy("g").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    behind = F.last("row", ignorenulls=True).over(Window.partitionBy("g").orderBy(F.desc("at"), "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     beside = rows.unionByName(asked).select("g", "asks", "depth", before.alias("a"), behind.alias("b")).where("asks = 1")
     closer = F.when(F.col("b").isNull() | (F.col("depth") - F.col(f"a.{x}") <= F.col(f"b.{x}") - F.col("depth")), F.col("a")).otherwise(F.col("b"))
     return beside.select(F.col("g").alias(by), "depth", closer.alias("r")).select(by, "depth", "r.*")

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from strandlake.operators import intervals
+from strandlake.operators import intervals, qc
 
 SPAN = "chrom string, pos0 long, pos1 long"
 
@@ -25,3 +25,9 @@ def test_overlap_totals_of_a_pile(spark):
     left = spark.range(1_000_000).selectExpr("'chr1' AS chrom", "100L AS pos0", "200L AS pos1")
     right = spark.range(1_000_000).selectExpr("'chr1' AS chrom", "150L AS pos0", "300L AS pos1", "'g' AS gene")
     assert intervals.overlap_totals(left, right, "gene").first() == ("g", 10**12, 50 * 10**12)
+
+
+def test_nearest_rows_of_one_large_group(spark):
+    curve = spark.range(1_500_000).selectExpr("'s' AS sample", "id * 2 AS total_reads", "id AS v")
+    got = qc.nearest_row(curve, spark.createDataFrame([(-5,), (7,), (8,), (9_000_000,)], "depth long")).collect()
+    assert {(x.depth, x.total_reads, x.v) for x in got} == {(-5, 0, 0), (7, 6, 3), (8, 8, 4), (9_000_000, 2_999_998, 1_499_999)}
