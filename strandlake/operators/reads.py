@@ -268,5 +268,5 @@ def matrix_sums(entries: DataFrame, by: str, value: str = "n") -> DataFrame:
 
 
 def chunked(df: DataFrame, chunks: int, key: str = "qname") -> DataFrame:
-    """Adds chunk 0 to chunks - 1 by the hash of the template, so that mates stay together, and deals rows out by it."""
-    return df.withColumn("chunk", F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
+    """Adds chunk 0 to chunks - 1 by the hash of the template, so that mates stay together. Rows stay where they are: a chunk may be larger than a task, and a sink parts its files by the column."""
+    return df.withColumn("chunk", F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int"))

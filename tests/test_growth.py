@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from strandlake.operators import intervals, qc
+from strandlake.operators import intervals, qc, reads
 
 SPAN = "chrom string, pos0 long, pos1 long"
 
@@ -31,3 +31,10 @@ def test_nearest_rows_of_one_large_group(spark):
     curve = spark.range(1_500_000).selectExpr("'s' AS sample", "id * 2 AS total_reads", "id AS v")
     got = qc.nearest_row(curve, spark.createDataFrame([(-5,), (7,), (8,), (9_000_000,)], "depth long")).collect()
     assert {(x.depth, x.total_reads, x.v) for x in got} == {(-5, 0, 0), (7, 6, 3), (8, 8, 4), (9_000_000, 2_999_998, 1_499_999)}
+
+
+def test_chunks_are_no_partitions(spark):
+    df = spark.range(0, 1000, 1, 6).selectExpr("concat('r', id % 300) AS qname")
+    dealt = reads.chunked(df, 2)
+    assert dealt.rdd.getNumPartitions() == 6
+    assert dealt.groupBy("qname").agg(F.count_distinct("chunk").alias("n")).where("n > 1").isEmpty() and dealt.select("chunk").distinct().count() == 2
