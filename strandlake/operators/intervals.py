@@ -165,21 +165,33 @@ def fragments(reads: DataFrame, both_ends: bool = True, chimeric: bool = False)
     return reads.where(keep)
 
 
-def gene_counts(reads: DataFrame, exons: DataFrame, least: float = 0.5, width: int = 16384) -> DataFrame:
+def gene_counts(reads: DataFrame, exons: DataFrame, least: float = 0.5) -> DataFrame:
     """(gene, cell, n): fragments (records of one qname that `fragments` keeps) with at least `least` of their bases in the exons of exactly one gene.
 
-    Reads look in the bin of their start only and are not copied; exons stand in every bin from which a read could reach them.
+    Records are neither copied nor made into a row for each gene: a record looks in one bin, that of its start among bins of the next power of two above its length, for
+    a list of the exons that it could reach. A fragment of one record is decided there; only the others' bases are summed up by gene.
     """
-    kept = fragments(reads).select("cell", "qname", "chrom", "pos0", "pos1")
-    longest = kept.agg(F.coalesce(F.max(F.col("pos1") - F.col("pos0")), F.lit(1)).alias("longest"))
-    e = merge(exons, ("chrom", "gene")).crossJoin(longest)
-    reach = F.explode(F.sequence(F.floor((F.col("pos0") - F.col("longest")) / width), F.floor((F.col("pos1") - 1) / width)))
-    e = e.select("chrom", reach.alias("bin"), "gene", F.col("pos0").alias("pos0_r"), F.col("pos1").alias("pos1_r"))
-    shared = F.least("pos1", "pos1_r") - F.greatest("pos0", "pos0_r")
-    hits = kept.withColumn("bin", F.floor(F.col("pos0") / width)).join(e, ["chrom", "bin"]).where(shared > 0).groupBy("cell", "qname", "gene").agg(F.sum(shared).alias("bp"))
-    length = kept.groupBy("cell", "qname").agg(F.sum(F.col("pos1") - F.col("pos0")).alias("length"))
-    enough = hits.join(length, ["cell", "qname"]).where(F.col("bp") >= least * F.col("length"))
-    single = enough.groupBy("cell", "qname").agg(F.min("gene").alias("gene"), F.max("gene").alias("other")).where("gene = other")
+    kept = fragments(reads).select("cell", "qname", "chrom", "pos0", "pos1").where("cell is not null and qname is not null")
+    size = F.col("pos1") - F.col("pos0")
+    level = F.greatest(F.lit(7), F.ceil(F.log2(F.greatest(size, F.lit(1)).cast("double")))).cast("int")
+    levels = kept.agg(F.collect_set(level).alias("l")).scalar()
+    e = merge(exons, ("chrom", "gene")).where("gene is not null").select("chrom", F.struct("gene", "pos0", "pos1").alias("e"), F.explode(levels).alias("level")).withColumn("width", F.expr("shiftleft(1L, level)"))
+    reach = F.explode(F.sequence(F.floor(F.col("e.pos0") / F.col("width")) - 1, F.floor((F.col("e.pos1") - 1) / F.col("width"))))
+    lists = e.select("chrom", "level", reach.alias("bin"), "e").groupBy("chrom", "level", "bin").agg(F.sort_array(F.collect_list("e")).alias("exons"))
+    w = Window.partitionBy("cell", "qname")
+    rows = kept.select("*", F.count("*").over(w).alias("records"), F.sum(size).over(w).alias("length"), level.alias("level"))
+    rows = rows.withColumn("bin", F.floor(F.col("pos0") / F.expr("shiftleft(1L, level)"))).join(lists, ["chrom", "level", "bin"])
+    near = F.filter("exons", lambda x: (x["pos0"] < F.col("pos1")) & (x["pos1"] > F.col("pos0")))
+    shared = lambda x: F.least(F.col("pos1"), x["pos1"]) - F.greatest(F.col("pos0"), x["pos0"])
+    rows = rows.select("cell", "qname", "records", "length", F.transform(near, lambda x: F.struct(x["gene"].alias("gene"), shared(x).cast("long").alias("bp"))).alias("hits"))
+    # A gene's exons stand together and don't overlap, so its bases are a sum over neighbours of the list.
+    none = F.array().cast("array<struct<gene:string,bp:bigint>>") if exons.schema["gene"].dataType.simpleString() == "string" else F.slice("hits", F.lit(1), F.lit(0))
+    add = lambda s, x: F.when((F.size(s) > 0) & (F.try_element_at(s, F.lit(-1))["gene"] == x["gene"]), F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(F.struct(x["gene"].alias("gene"), (F.try_element_at(s, F.lit(-1))["bp"] + x["bp"]).alias("bp"))))).otherwise(F.concat(s, F.array(x)))
+    rows = rows.withColumn("genes", F.when(F.size("hits") > 1, F.aggregate("hits", none, add)).otherwise(F.col("hits")))
+    enough = F.filter("genes", lambda x: x["bp"] >= least * F.col("length"))
+    open_ = F.when(F.col("records") > 1, F.col("genes")).when(F.size(enough) == 1, enough)
+    sums = rows.select("cell", "qname", "length", F.explode(open_).alias("x")).groupBy("cell", "qname", "x.gene").agg(F.sum("x.bp").alias("bp"), F.max("length").alias("length"))
+    single = sums.where(F.col("bp") >= least * F.col("length")).groupBy("cell", "qname").agg(F.min("gene").alias("gene"), F.max("gene").alias("other")).where("gene = other")
     return single.groupBy("gene", "cell").agg(F.count("*").alias("n"))
 
 

@@ -38,3 +38,18 @@ def test_chunks_are_no_partitions(spark):
     dealt = reads.chunked(df, 2)
     assert dealt.rdd.getNumPartitions() == 6
     assert dealt.groupBy("qname").agg(F.count_distinct("chunk").alias("n")).where("n > 1").isEmpty() and dealt.select("chunk").distinct().count() == 2
+
+
+def test_gene_counts_do_not_shuffle_a_row_for_each_gene(spark):
+    """Fragments of one record and of several, reads of several lengths, overlapping genes, against a row for each gene."""
+    r = random.Random(5)
+    exons = spark.createDataFrame([("chr1", s, s + r.randrange(5, 400), f"g{r.randrange(5)}") for s in (r.randrange(6000) for _ in range(60))], f"{SPAN}, gene string")
+    aligned = [(f"c{k % 2}", f"q{r.randrange(150)}" if k % 3 else f"own{k}", "chr1", s, s + r.randrange(1, 700), 0, "=") for k, s in enumerate(r.randrange(6000) for _ in range(500))]
+    df = spark.createDataFrame(aligned + [("c0", None, "chr1", 10, 20, 0, "=")], "cell string, qname string, chrom string, pos0 long, pos1 long, flag int, mate_chrom string")
+    merged = intervals.merge(exons, ("chrom", "gene"))
+    hits = intervals.overlap_join(df, merged).groupBy("cell", "qname", "gene").agg(F.sum(F.least("pos1", "pos1_r") - F.greatest("pos0", "pos0_r")).alias("bp"))
+    length = df.groupBy("cell", "qname").agg(F.sum(F.col("pos1") - F.col("pos0")).alias("length"))
+    one = hits.join(length, ["cell", "qname"]).where("bp >= 0.5 * length").groupBy("cell", "qname").agg(F.min("gene").alias("gene"), F.count("*").alias("k")).where("k = 1")
+    got = intervals.gene_counts(df, exons)
+    assert {tuple(x) for x in got.collect()} == {tuple(x) for x in one.groupBy("gene", "cell").count().collect()}
+    assert "SortMergeJoin [cell" not in got._jdf.queryExecution().toString()
