@@ -32,13 +32,22 @@ def binned(reads: DataFrame, contigs: DataFrame, width: int = 1000, by: str = "c
     return groups.crossJoin(bin_spine(contigs, width)).join(bin_counts(reads, width, by), [by, "chrom", "bin_start"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
 
 
-def _ranked(values: DataFrame, by: str, value: str, n: int | None) -> DataFrame:
-    """(by, i, cum, total, n, zeros) in ascending order; n: number of values with the zeros that are not listed, which come first."""
-    up = Window.partitionBy(by).orderBy(value)
-    group = Window.partitionBy(by)
-    listed = F.count("*").over(group)
+def _runs(values: DataFrame, by: str, value: str, n: int | None) -> DataFrame:
+    """(by, value, m, at, before, following, total, n): runs of equal values of each group in ascending order, one row each: m values behind the `at` lesser ones, which
+    sum up to `before`; following is the next run's value, null behind the last. n: number of values with the zeros that are not listed, which are a run of their own."""
+    up, group = Window.partitionBy(by).orderBy(value), Window.partitionBy(by)
+    earlier = up.rowsBetween(Window.unboundedPreceding, -1)
+    runs = values.groupBy(by, value).agg(F.count("*").alias("m"))
+    listed, mass = F.sum("m").over(group), F.col(value) * F.col("m")
     zeros = F.lit(n) - listed if n is not None else F.lit(0)
-    return values.select(by, (F.row_number().over(up) + zeros).cast("long").alias("i"), F.sum(value).over(up.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("cum"), F.sum(value).over(group).alias("total"), (F.lit(n) if n is not None else listed).cast("long").alias("n"), zeros.cast("long").alias("zeros"))
+    rows = runs.select(by, F.col(value).alias("value"), "m", (F.coalesce(F.sum("m").over(earlier), F.lit(0)) + zeros).cast("long").alias("at"), F.coalesce(F.sum(mass).over(earlier), F.lit(0)).alias("before"),
+                       F.lead(value).over(up).alias("following"), F.sum(mass).over(group).alias("total"), (F.lit(n) if n is not None else listed).cast("long").alias("n"), (F.row_number().over(up) == 1).alias("first"), zeros.cast("long").alias("zeros"))
+    if n is None:
+        return rows.drop("first", "zeros")
+    nothing = lambda c: F.lit(0).cast(rows.schema[c].dataType).alias(c)
+    own = F.struct("value", "m", "at", "before", "following")
+    unlisted = F.struct(nothing("value"), F.col("zeros").alias("m"), nothing("at"), nothing("before"), F.col("value").alias("following"))
+    return rows.select(by, F.explode(F.when(F.col("first") & (F.col("zeros") > 0), F.array(unlisted, own)).otherwise(F.array(own))).alias("run"), "total", "n").select(by, "run.*", "total", "n")
 
 
 def gini(values: DataFrame, by: str = "cell", value: str = "value", drop_zeros: bool = False, n: int | None = None) -> DataFrame:
@@ -48,25 +57,27 @@ def gini(values: DataFrame, by: str = "cell", value: str = "value", drop_zeros:
     if only those above 0 are listed.
     """
     rows = values.where(F.col(value) > 0) if drop_zeros else values
-    c = F.try_divide(F.col("cum").cast("double"), F.col("total"))
-    agg = _ranked(rows, by, value, n).groupBy(by).agg(F.sum(c).alias("sum"), F.coalesce(F.min(F.when(F.col("i") == 1, c)), F.lit(0.0)).alias("first"), F.max("n").alias("n"), F.max("total").alias("total"))
+    # The m shares of a run rise by its value, so they are summed up at once.
+    shares = F.try_divide((F.col("m") * F.col("before")).cast("double") + F.col("value").cast("double") * F.col("m") * (F.col("m") + 1) / 2, F.col("total"))
+    first = F.min(F.when(F.col("at") == 0, F.try_divide(F.col("value").cast("double"), F.col("total"))))
+    agg = _runs(rows, by, value, n).groupBy(by).agg(F.sum(shares).alias("sum"), F.coalesce(first, F.lit(0.0)).alias("first"), F.max("n").alias("n"), F.max("total").alias("total"))
     return agg.select(by, F.when(F.col("total") > 0, 1 - 2 / F.col("n") * (F.col("sum") - (F.col("first") + 1) / 2)).alias("gini"))
 
 
 def lorenz(values: DataFrame, by: str = "cell", value: str = "value", points: int = 100, n: int | None = None) -> DataFrame:
     """The Lorenz curve of each group at `points` equal steps of the genome share, linearly interpolated. n as in gini."""
-    ranked = _ranked(values, by, value, n).withColumn("c", F.try_divide(F.col("cum").cast("double"), F.col("total")))
-    curve = ranked.select(by, "i", "n", "zeros", "c", F.coalesce(F.lead("c").over(Window.partitionBy(by).orderBy("i")), F.lit(1.0)).alias("next"))
-    first = curve.where(F.col("i") == F.col("zeros") + 1)
-    curve = curve.select(by, "i", "n", "c", "next").unionByName(first.where("zeros > 0").select(by, F.col("zeros").alias("i"), "n", F.lit(0.0).alias("c"), F.col("c").alias("next")))
+    runs = _runs(values, by, value, n)
     # point j stands at r = n j / (points - 1), between the curve's elements floor(r) + 1 and floor(r) + 2; beyond the last one it is 1
-    low, high = F.ceil((F.col("i") - 1) * (points - 1) / F.col("n")), F.ceil(F.col("i") * (points - 1) / F.col("n")) - 1
-    j = F.explode(F.when(low <= high, F.sequence(low, high))).alias("j")
-    inside = curve.select(by, "i", "n", "c", "next", j).where(F.col("j") >= 0).select(by, "j", F.when(F.col("i") == F.col("n"), 1.0).otherwise(F.col("c") + (F.col("n") * F.col("j") / (points - 1) - (F.col("i") - 1)) * (F.col("next") - F.col("c"))).alias("y"))
-    last = F.ceil((F.col("zeros") - 1) * (points - 1) / F.col("n")) - 1
-    level = first.where("zeros > 1").select(by, F.explode(F.when(last >= 0, F.sequence(F.lit(0).cast("long"), last))).alias("j"), F.lit(0.0).alias("y"))
-    end = first.select(by, F.lit(points - 1).cast("long").alias("j"), F.lit(1.0).alias("y"))
-    return inside.unionAll(level).unionAll(end).select(by, (F.col("j") / (points - 1)).alias("cumulative_fraction_genome"), F.col("y").alias("cumulative_fraction_reads"))
+    low, high = F.ceil(F.col("at") * (points - 1) / F.col("n")), F.ceil((F.col("at") + F.col("m")) * (points - 1) / F.col("n")) - 1
+    high = F.when(F.col("following").isNull(), points - 1).otherwise(high)
+    rows = runs.select("*", F.explode(F.when(low <= high, F.sequence(low, high))).alias("j")).withColumn("r", F.col("n") * F.col("j") / (points - 1))
+    # how many of the run's values stand up to element floor(r) + 1
+    rows = rows.withColumn("k", F.floor("r") + 1 - F.col("at"))
+    share = lambda mass: F.try_divide(mass.cast("double"), F.col("total"))
+    here = F.col("before") + F.col("k") * F.col("value")
+    step = F.when(F.col("k") < F.col("m"), F.col("value")).otherwise(F.col("following"))
+    y = F.when(F.col("at") + F.col("k") >= F.col("n"), 1.0).otherwise(share(here) + (F.col("r") - F.floor("r")) * (share(here + step) - share(here)))
+    return rows.select(by, (F.col("j") / (points - 1)).alias("cumulative_fraction_genome"), y.alias("cumulative_fraction_reads"))
 
 
 def depth_histogram(reads: DataFrame, by: str = "cell") -> DataFrame:

@@ -2,9 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from strandlake.operators import intervals, qc, reads
+from strandlake.operators import coverage, intervals, qc, reads
 
 SPAN = "chrom string, pos0 long, pos1 long"
 
@@ -53,3 +54,23 @@ def test_gene_counts_do_not_shuffle_a_row_for_each_gene(spark):
     got = intervals.gene_counts(df, exons)
     assert {tuple(x) for x in got.collect()} == {tuple(x) for x in one.groupBy("gene", "cell").count().collect()}
     assert "SortMergeJoin [cell" not in got._jdf.queryExecution().toString()
+
+
+def test_lorenz_and_gini_sort_a_row_for_each_value(spark):
+    """A group of many bins with few values: windows get its runs, and the curve is that of single bins."""
+    r = random.Random(7)
+    values = {"a": [r.randrange(1, 5) for _ in range(997)], "b": [3] * 40, "c": [9]}
+    df = spark.createDataFrame([(c, x) for c, xs in values.items() for x in xs], "cell string, value long")
+    for n in (1000, None):
+        got = {}
+        for x in coverage.lorenz(df, n=n).collect():
+            got.setdefault(x.cell, []).append((x.cumulative_fraction_genome, x.cumulative_fraction_reads))
+        for c, xs in values.items():
+            full = sorted(xs + [0] * ((n or len(xs)) - len(xs)))
+            sums = [sum(full[: k + 1]) / sum(full) for k in range(len(full))]
+            at = [divmod(len(full) * j, 99) for j in range(100)]
+            expected = [1.0 if k + 1 >= len(full) else sums[k] + f / 99 * (sums[k + 1] - sums[k]) for k, f in at]
+            assert [y for _, y in sorted(got[c])] == pytest.approx(expected, abs=1e-9)
+            gini = {x.cell: x.gini for x in coverage.gini(df, n=n).collect()}[c]
+            assert gini == pytest.approx(1 - 2 / len(full) * (sum(sums) - (sums[0] + 1) / 2), abs=1e-9)
+    assert {x.cell: x.m for x in coverage._runs(df, "cell", "value", 1000).where("value = 3 or value = 9").collect()}["b"] == 40
