@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -218,6 +219,18 @@ def test_crowded_passages_through_blocks(spark, monkeypatch):
     assert sum(got[k].component_id == expected[k] for k in range(120)) >= 118
 
 
+def test_blocks_cover_open_windows_within_a_component():
+    """A text of which many nearer texts of its component share one half, and one text, far down the list, the other."""
+    first, second = sentence(31, 90), sentence(32, 60)
+    own = f"{first} {sentence(33, 20)} {second}"
+    rights = [f"{first} {sentence(100 + k, 30)}" for k in range(12)] + [f"{sentence(200, 30)} {second}"]
+    n = len(own.split())
+    rows = [{"cls": 1, "component": 1, "rows": [{"l": 0, "r": n - 5}], "left": True, "text": own}] + [{"cls": 2 + k, "component": 1, "rows": None, "left": False, "text": t} for k, t in enumerate(rights)]
+    found = passages.compare(5, 46, 0.8)(pa.Table.from_pylist(rows)).to_pylist()
+    assert {f["b"] for f in found} == set(range(2, 15))
+    assert {w for f in found for w in range(f["a_first"], f["a_last"] + 1)} >= {*range(90), *range(110, n)}
+
+
 def test_interval_join_equals_all_triples():
     r = random.Random(2)
     a = np.array([r.getrandbits(64) for _ in range(400)], np.uint64)
