@@ -23,6 +23,8 @@ from .common import Scratch, components, forest
 COSINE = 0.93
 #: Rows looked at for pivots, pivots at most, rows a pivot is meant for, rows of a block.
 SAMPLE, PIVOTS, PER_PIVOT, BLOCK = 1024, 256, 8192, 2048
+#: Rows with their vectors that a task holds at once while it deals them to cells; a vector may be a guest in hundreds of these.
+ROWS = 2048
 EPS = 1e-9
 
 
@@ -47,6 +49,33 @@ def choose_pivots(x: np.ndarray, most: int, r: float) -> np.ndarray:
     return x[chosen]
 
 
+def assigned(pivots: dict[int, np.ndarray], edges: np.ndarray, r: float):
+    """Task that gives vectors (embedding, ..) their home cell and the cells where they are guests, in frames of ROWS rows at most."""
+
+    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in (whole.iloc[k : k + ROWS] for whole in frames for k in range(0, len(whole), ROWS)):
+            for size, part in frame.groupby(frame["embedding"].map(len)):
+                p = pivots.get(size)
+                if p is None:  # no vector of this length was sampled: one cell with a ring for all
+                    yield part.assign(size=size, pivot=-1, ring=1, home=True)
+                    continue
+                d = np.sqrt(np.maximum(2 - 2 * unit(list(part["embedding"])) @ p.T, 0))
+                own = d.argmin(axis=1)
+                at = d[np.arange(len(d)), own]
+                ring = np.searchsorted(edges, at - EPS, side="left") - 1
+                ring = np.maximum(ring, 0)
+                yield part.assign(size=size, pivot=own, ring=ring, home=True)
+                for k in range(len(edges)):
+                    lo, hi = edges[k], edges[k + 1] if k + 1 < len(edges) else 3.0
+                    guest = (d >= lo - r - EPS) & (d <= hi + r + EPS) & (d <= at[:, None] + 2 * r + EPS)
+                    guest[np.flatnonzero(ring == k), own[ring == k]] = False
+                    i, j = np.nonzero(guest)
+                    for m in range(0, len(i), ROWS):
+                        yield part.iloc[i[m : m + ROWS]].assign(size=size, pivot=j[m : m + ROWS], ring=k, home=False)
+
+    return assign
+
+
 def link(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of (vec_id, embedding, label).
 
@@ -71,32 +100,10 @@ def link(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     pivots = {d: choose_pivots(unit(vs), max(1, min(PIVOTS, n // PER_PIVOT)), r) for d, vs in by_size.items()}
     edges = np.array([0.0, r / 2, *(r / 2 + r * k for k in range(1, math.ceil(2 / r) + 1))])
 
-    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for size, part in frame.groupby(frame["embedding"].map(len)):
-                x = unit(list(part["embedding"]))
-                p = pivots.get(size)
-                if p is None:  # no vector of this length was sampled: one cell with a ring for all
-                    out = part.assign(size=size, pivot=-1, ring=1, home=True)
-                    yield out
-                    continue
-                d = np.sqrt(np.maximum(2 - 2 * x @ p.T, 0))
-                own = d.argmin(axis=1)
-                at = d[np.arange(len(x)), own]
-                ring = np.searchsorted(edges, at - EPS, side="left") - 1
-                ring = np.maximum(ring, 0)
-                yield part.assign(size=size, pivot=own, ring=ring, home=True)
-                for k in range(len(edges)):
-                    lo, hi = edges[k], edges[k + 1] if k + 1 < len(edges) else 3.0
-                    guest = (d >= lo - r - EPS) & (d <= hi + r + EPS) & (d <= at[:, None] + 2 * r + EPS)
-                    guest[np.flatnonzero(ring == k), own[ring == k]] = False
-                    i, j = np.nonzero(guest)
-                    if len(i):
-                        yield part.iloc[i].assign(size=size, pivot=j, ring=k, home=False)
-
     schema = f"label {points.schema['label'].dataType.simpleString()}, embedding {points.schema['embedding'].dataType.simpleString()}, head long, weight long, size int, pivot int, ring int, home boolean"
     cell = ["label", "size", "pivot", "ring"]
     ordered = [c.split(" ")[0] for c in schema.split(", ")]
+    assign = assigned(pivots, edges, r)
     placed = scratch.save(points.mapInPandas(lambda it: (f[ordered] for f in assign(it)), schema))
     sizes = placed.groupBy(*cell).agg(F.count_if("home").alias("n_home"), F.count_if(~F.col("home")).alias("n_guest"), F.sum(F.when(F.col("home"), F.col("weight"))).alias("mass"), F.min(F.when(F.col("home"), F.col("head"))).alias("least")).where("n_home > 0")
     # In the innermost ring only guests are compared with those at home.

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 import xxhash
@@ -231,6 +232,20 @@ def test_blocks_cover_open_windows_within_a_component():
     assert {w for f in found for w in range(f["a_first"], f["a_last"] + 1)} >= {*range(90), *range(110, n)}
 
 
+def test_vectors_are_dealt_in_bounded_frames():
+    """Every vector is a guest in most cells; none is left out, and no frame holds more than ROWS of them."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(5000, 3))
+    pivots, radius = neighbours.unit(list(r.normal(size=(60, 3)))), math.sqrt(2 - 2 * neighbours.COSINE)
+    edges = np.array([0.0, radius / 2, *(radius / 2 + radius * k for k in range(1, math.ceil(2 / radius) + 1))])
+    frames = list(neighbours.assigned({3: pivots}, edges, radius)(iter([pd.DataFrame({"head": np.arange(5000), "embedding": list(x)})])))
+    assert max(len(f) for f in frames) <= neighbours.ROWS
+    d = np.sqrt(np.maximum(2 - 2 * neighbours.unit(list(x)) @ pivots.T, 0))
+    home, guests = pd.concat([f for f in frames if f["home"].all()]), pd.concat([f for f in frames if not f["home"].any()])
+    assert sorted(home["head"]) == list(range(5000)) and len(guests) > 20_000 and not guests.duplicated(["head", "pivot", "ring"]).any()
+    assert (d[guests["head"], guests["pivot"]] <= d.min(axis=1)[guests["head"]] + 2 * radius + 1e-6).all()
+
+
 def test_interval_join_equals_all_triples():
     r = random.Random(2)
     a = np.array([r.getrandbits(64) for _ in range(400)], np.uint64)
