@@ -65,7 +65,7 @@ def normal_sites(sites: DataFrame, windows: DataFrame, width: int, check: bool =
     """
     sites = sites.select(*SITE).distinct()
     if check:
-        sites = matching(sites, windows, width)
+        sites = settle(matching(sites, windows, width))  # read by each of the branches below
     plain = F.col("alt").rlike("^[ACGTNacgtn]+$") & F.col("ref").rlike("^[ACGTNacgtn]+$") & (F.upper("ref") != F.upper("alt"))
     rows = sites.select(*SITE, F.upper("ref").alias("r"), F.upper("alt").alias("a"), F.coalesce(plain, F.lit(False)).alias("plain"))
     least = F.least(F.length("r"), F.length("a"))
