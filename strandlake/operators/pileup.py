@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .reads import DUPLICATE, PAIRED, PROPER, QC_FAIL, SECONDARY, UNMAPPED, has, lacks
+from .rounds import settle
 
 _END = "\x01"
 _BASES = ("A", "C", "G", "T")
@@ -164,19 +165,26 @@ def reference_bases(spans: DataFrame, windows: DataFrame, width: int) -> DataFra
     return whole.where(F.length("bases") == F.col("length"))
 
 
-def covered_runs(reads: DataFrame, width: int, least_quality: int = 13, least_mapq: int = 0) -> DataFrame:
-    """(sample, chrom, bin, pos0, pos1, depth) of the stretches of equal depth that pileup counts, cut at multiples of width."""
-    return depth_runs(depth_steps(counted(templates(blocks(walked(usable(reads, least_mapq)), width)), least_quality)))
+def folded(reads: DataFrame, width: int, least_quality: int = 13, least_mapq: int = 0) -> DataFrame:
+    """What pileup and covered_runs count: the folded templates with their masks, the dearest step, for both to share by `settle`."""
+    return counted(templates(blocks(walked(usable(reads, least_mapq)), width)), least_quality)
 
 
-def pileup(reads: DataFrame, windows: DataFrame, width: int, least_quality: int = 13, least_mapq: int = 0) -> DataFrame:
+def covered_runs(reads: DataFrame, width: int, least_quality: int = 13, least_mapq: int = 0, canvas: DataFrame | None = None) -> DataFrame:
+    """(sample, chrom, bin, pos0, pos1, depth) of the stretches of equal depth that pileup counts, cut at multiples of width. canvas: `folded` of the reads, if it is at hand."""
+    return depth_runs(depth_steps(folded(reads, width, least_quality, least_mapq) if canvas is None else canvas))
+
+
+def pileup(reads: DataFrame, windows: DataFrame, width: int, least_quality: int = 13, least_mapq: int = 0, canvas: DataFrame | None = None) -> DataFrame:
     """(sample, chrom, pos, ref, alt, dp, ad) of every allele other than the reference that a template shows; pos is 1-based.
 
     reads: (sample, qname, chrom, pos0, flag, mapq, cigar, seq, qual); windows: (chrom, bin, bases) of `width` bases with one more on either side. dp counts templates with an
     aligned base of the quality at least at the position (deleted and skipped bases don't count); for indels it is that of the anchor. Positions without a reference base go.
+    Templates are folded once, in a checkpoint that alleles and depths both read. canvas: `folded` of the reads, if it is at hand.
     """
     walks = walked(usable(reads, least_mapq))
-    canvas = counted(templates(blocks(walks, width)), least_quality)
+    if canvas is None:
+        canvas = settle(folded(reads, width, least_quality, least_mapq))
     alleles = mismatches(canvas, windows, width).unionByName(indels(walks, windows, width, least_quality))
     steps = depth_steps(canvas).select("sample", "chrom", "bin", "pos0", "step", F.lit(None).cast("array<struct<ref:string,alt:string,ad:bigint>>").alias("asked"))
     asked = alleles.groupBy("sample", "chrom", "bin", "pos0").agg(F.collect_list(F.struct("ref", "alt", "ad")).alias("asked")).withColumn("step", F.lit(0).cast("long"))
