@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import complexity
 from strandlake.operators import alleles, joint, pileup
+from strandlake.operators.rounds import settle
 
 from .base import MATES_SQL, choose, exprs, mates, query, table
 from .variant_queries import base_at
@@ -177,9 +178,11 @@ def q71(spark: SparkSession, d: str) -> DataFrame:
 unseen AS (SELECT b.sample, s.chrom, s.pos, s.ref, s.alt, min_dp AS dp, 0 AS ad FROM site s JOIN block b ON s.chrom = b.chrom AND s.pos - 1 >= b.pos0 AND s.pos - 1 < b.pos1 ANTI JOIN piled p ON b.sample = p.sample AND s.chrom = p.chrom AND s.pos = p.pos AND s.ref = p.ref AND s.alt = p.alt)
 SELECT sample, chrom, pos, ref, alt, dp, ad FROM piled UNION ALL SELECT * FROM unseen""")
 def q72(spark: SparkSession, d: str) -> DataFrame:
+    # Genotypes read alleles and blocks several times, and both come from the same folded templates.
     reads = gapped(spark, d)
-    found = pileup.pileup(reads, wide_windows(spark, d), WIDTH).withColumn("bin", F.floor((F.col("pos") - 1) / WIDTH))
-    return joint.genotypes(found, joint.reference_blocks(pileup.covered_runs(reads, WIDTH), (1, 5)))
+    canvas = settle(pileup.folded(reads, WIDTH))
+    found = settle(pileup.pileup(reads, wide_windows(spark, d), WIDTH, canvas=canvas).withColumn("bin", F.floor((F.col("pos") - 1) / WIDTH)))
+    return joint.genotypes(found, settle(joint.reference_blocks(pileup.covered_runs(reads, WIDTH, canvas=canvas), (1, 5))))
 
 
 _PLACES = ["chrom", "pos0", "cigar"]

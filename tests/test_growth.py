@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlake.operators import coverage, intervals, qc, reads
+from strandlake.plans.catalog import QUERIES
 
 SPAN = "chrom string, pos0 long, pos1 long"
 
@@ -74,3 +75,11 @@ def test_lorenz_and_gini_sort_a_row_for_each_value(spark):
             gini = {x.cell: x.gini for x in coverage.gini(df, n=n).collect()}[c]
             assert gini == pytest.approx(1 - 2 / len(full) * (sum(sums) - (sums[0] + 1) / 2), abs=1e-9)
     assert {x.cell: x.m for x in coverage._runs(df, "cell", "value", 1000).where("value = 3 or value = 9").collect()}["b"] == 40
+
+
+def test_folded_templates_and_checked_sites_are_made_once(spark):
+    """What several branches of a plan read comes from a checkpoint: the results' plans hold no more folding of templates and no spelling of references for the check."""
+    plan = lambda q: QUERIES[q](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct(start" not in plan("q67_gapped_pileup")
+    assert "parquet" not in plan("q72_joint_genotypes")
+    assert "collect_list(struct(bin" not in plan("q68_normalised_alleles")
