@@ -34,6 +34,15 @@ def test_squares_are_components(spark, distance):
     assert {p: label[p[0], p[1], p[2] // (distance + 1), p[3] // (distance + 1)] for p in points} == plain_components(points, distance)
 
 
+def test_squares_need_no_rounds_and_no_driver(spark, monkeypatch):
+    cut = []
+    monkeypatch.setattr(optical, "settle", lambda df: cut.append(df) or df)
+    chain = spark.createDataFrame([("chain", 0, 5 * k, 3) for k in range(300)], "set string, tile long, x long, y long")
+    found = optical.squares(chain, 7)
+    assert {tuple(r.label) for r in found.collect()} == {(0, 0)} and not cut
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_location_and_metrics(spark):
     names = ["A:1:F:2:1101:15:20", "1101:5:6", "r1:2:3:4/1", "none", None, "a:b:c"]
     df = spark.createDataFrame([(n,) for n in names], "qname string").select(optical.location().alias("at"))
