@@ -12,7 +12,7 @@ from strandlake.operators.rounds import shared_folder
 from strandlake.sources import bam_sink, bigwig, compressed, readers, writers
 
 from .base import ALIGNMENTS_SQL, CALLS_SQL, alignments, calls, query, table
-from .reads_queries import BARCODED, demuxed_sql, whitelist
+from .reads_queries import BARCODED_LISTED, demuxed_sql, whitelist
 
 
 def place(spark: SparkSession, name: str) -> str:
@@ -56,7 +56,7 @@ def q75(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corrected_pairs(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").selectExpr("concat('read', l_orderkey, '_', l_linenumber, '_', l_partkey) AS name", "concat('1:N:0:', CASE WHEN l_linenumber % 2 = 0 THEN 'ACGT' ELSE '' END) AS comment", "'GATTACAGAT' AS seq1", "'IIIII@+III' AS qual1", f"{BARCODED} AS seq2")
+    rows = table(spark, d, "lineitem").selectExpr("concat('read', l_orderkey, '_', l_linenumber, '_', l_partkey) AS name", "concat('1:N:0:', CASE WHEN l_linenumber % 2 = 0 THEN 'ACGT' ELSE '' END) AS comment", "'GATTACAGAT' AS seq1", "'IIIII@+III' AS qual1", f"{BARCODED_LISTED} AS seq2")
     return codes.correct(rows.withColumn("qual2", F.repeat(F.lit("@"), F.length("seq2"))), whitelist(spark)).where("ok")
 
 

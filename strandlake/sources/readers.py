@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,11 +24,14 @@ def sam(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_sam(lines: DataFrame) -> DataFrame:
-    f = F.split("value", r"\s+")
+    # Split once, behind a test in the generator; a line with tabs only needs no expression.
+    others = reduce(or_, [F.col("value").contains(x) for x in (" ", "\n", "\x0b", "\f", "\r", "\t\t")])
+    f = F.when(others, F.split("value", r"\s+")).otherwise(F.split("value", "\t"))
     kinds = {"flag": "int", "pos": "long", "mapq": "int", "mate_pos": "long", "tlen": "long"}
     columns = [F.element_at("f", i + 1).cast(kinds.get(c, "string")).alias(c) for i, c in enumerate(ALIGNMENT_COLUMNS)]
     pairs = F.transform(F.slice("f", F.lit(12), F.greatest(F.size("f") - 11, F.lit(0))), lambda t: F.struct(F.substring(t, 1, 2).alias("key"), F.substring(t, 6, 1 << 30).alias("value")))
-    rows = lines.select(f.alias("f")).where(F.size("f") >= 11).select(*columns, F.map_from_entries(pairs).alias("tags"))
+    whole = F.explode(F.filter(F.array(f), lambda x: F.size(x) >= 11)).alias("f")
+    rows = lines.select(whole).select(*columns, F.map_from_entries(pairs).alias("tags"))
     return rows.withColumns({t.lower(): F.try_element_at("tags", F.lit(t)) for t in ("CB", "BC", "RG")}).withColumn("pos0", F.col("pos") - 1)
 
 
