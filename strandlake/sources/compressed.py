@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gzip
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import pandas as pd
 import pyarrow as pa
@@ -124,16 +125,13 @@ def text_lines(spark: SparkSession, paths: list[str], split: int = SPLIT, tasks:
     return spread(parts(spark, paths, split), tasks).mapInArrow(run, "path string, value string")
 
 
-def fastq_records(path: str, begin: int, end: int) -> Iterator[tuple[str, str, str, str]]:
-    """(name, comment, sequence, quality) of the records that begin in a part.
+def raw_records(path: str, begin: int, end: int) -> Iterator[tuple[bytes, bytes, bytes, bytes]]:
+    """The four lines of each record that begins in a part.
 
     A part begins within a record: a header is a line with '@' whose next but one begins with '+'; a quality line with '@' in front has a sequence there.
     A record is read by the part that reads its header, with lines of the next part if need be; a cut record at the file's end goes.
     """
-    own = lines(path, begin, end)
-    window: list[bytes] = []
-    synced = begin == 0
-    rest: Iterator[bytes] | None = None
+    own, held, mine = lines(path, begin, end), [], 0
 
     def following() -> Iterator[bytes]:
         """Lines behind the part's own."""
@@ -144,32 +142,41 @@ def fastq_records(path: str, begin: int, end: int) -> Iterator[tuple[str, str, s
             yield from lines(path, at, min(at + (1 << 17), size))
             at = min(at + (1 << 17), size)
 
-    def pull(n: int) -> bool:
-        nonlocal rest
-        while len(window) < n:
-            line = next(own, None) if rest is None else next(rest, None)
-            if line is None:
-                if rest is not None:
-                    return False
-                rest = following()
-                continue
-            window.append(line)
-            from_next.append(rest is not None)
+    rest = following()
+
+    def ahead(n: int) -> bool:
+        nonlocal mine
+        while len(held) < n:
+            line = next(own, None)
+            if line is not None:
+                mine += 1
+            elif (line := next(rest, None)) is None:
+                return False
+            held.append(line)
         return True
 
-    from_next: list[bool] = []
-    while pull(1) and not from_next[0]:
-        if not synced:
-            if not (window[0][:1] == b"@" and pull(3) and window[2][:1] == b"+"):
-                del window[0], from_next[0]
-                continue
-            synced = True
-        if not pull(4):
+    while begin and not (ahead(1) and held[0][:1] == b"@" and ahead(3) and held[2][:1] == b"+"):
+        if mine < 2 and not (ahead(2) and mine > 1):
             return
-        head, seq, _, qual = (x.decode() for x in window[:4])
-        del window[:4], from_next[:4]
-        name, _, comment = head[1:].partition(" ")
-        yield name, comment, seq, qual
+        del held[0]
+        mine -= 1
+    stream = chain(held[:mine], own)
+    while len(record := tuple(islice(stream, 4))) == 4:
+        yield record
+    if record and len(record := (*record, *islice(chain(held[mine:], rest), 4 - len(record)))) == 4:
+        yield record
+
+
+def parted(head: bytes) -> tuple[bytes, bytes]:
+    """(name, comment) of a header."""
+    name, _, comment = head[1:].partition(b" ")
+    return name, comment
+
+
+def fastq_records(path: str, begin: int, end: int) -> Iterator[tuple[str, str, str, str]]:
+    """(name, comment, sequence, quality) of the records that begin in a part."""
+    for head, seq, _, qual in raw_records(path, begin, end):
+        yield tuple(x.decode() for x in (*parted(head), seq, qual))
 
 
 def directory(spark: SparkSession, pairs: list[tuple[str, str]], split: int = SPLIT, tasks: int | None = None) -> DataFrame:
@@ -178,7 +185,7 @@ def directory(spark: SparkSession, pairs: list[tuple[str, str]], split: int = SP
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(records=[sum(1 for _ in fastq_records(p, a, b)) for p, a, b in zip(batch["path"], batch["begin"], batch["end"], strict=True)])
+            yield batch.assign(records=[sum(1 for _ in raw_records(p, a, b)) for p, a, b in zip(batch["path"], batch["begin"], batch["end"], strict=True)])
 
     counted = spread(parts(spark, files, split), tasks).mapInPandas(count, "file long, path string, begin long, end long, records long")
     before = F.coalesce(F.sum("records").over(Window.partitionBy("file").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -197,25 +204,17 @@ def fastq_pairs(spark: SparkSession, pairs: list[tuple[str, str]], split: int =
     matched = one.join(two, "pair").where((F.col("first2") <= F.col("first")) & (F.col("first") < F.col("beyond2")))
     work = matched.select("path", "begin", "end", "path2", "begin2", (F.col("first") - F.col("first2")).alias("skip"))
 
-    def mates(path: str, begin: int, skip: int) -> Iterator[tuple[str, str, str, str]]:
+    def mates(path: str, begin: int, skip: int) -> Iterator[tuple[bytes, bytes, bytes, bytes]]:
         with open_binary(path) as f:
             size = f.size()
-        records = fastq_records(path, begin, size)
-        for _ in range(skip):
-            next(records, None)
-        return records
+        return islice(raw_records(path, begin, size), skip, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["name", "comment", "seq1", "qual1", "seq2", "qual2"]
         for batch in batches:
             for path, begin, end, path2, begin2, skip in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows = []
-                for a, b in zip(fastq_records(path, begin, end), mates(path2, begin2, skip)):  # noqa: B905  the shorter file ends both
-                    rows.append((a[0], a[1], a[2], a[3], b[2], b[3]))
-                    if len(rows) == 8192:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=names)
+                both = zip(raw_records(path, begin, end), mates(path2, begin2, skip))  # noqa: B905  the shorter file ends both
+                while rows := [(*parted(a[0]), a[1], a[3], b[1], b[3]) for a, b in islice(both, 8192)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()).cast(pa.string()) for c in zip(*rows, strict=True)], names=names)
 
     return spread(work, tasks).mapInArrow(run, "name string, comment string, seq1 string, qual1 string, seq2 string, qual2 string")

@@ -7,6 +7,7 @@ import zlib
 
 import pytest
 
+from strandlake.operators import codes
 from strandlake.sources import compressed, readers
 
 
@@ -88,3 +89,21 @@ def test_vcf_in_parts(spark, tmp_path):
     want = sorted(map(repr, readers.vcf(spark, str(plain)).collect()))
     for split in (500, 1 << 20):
         assert sorted(map(repr, readers.vcf(spark, [str(packed)], split).collect())) == want and len(want) == 800
+
+
+def test_counting_decodes_nothing_and_reads_stay_in_place(spark, tmp_path, monkeypatch):
+    path = tmp_path / "r.fq"
+    path.write_bytes(b"".join(b"@r%d c\nAC\n+\n@I\n" % k for k in range(500)) + b"@cut\nA\n")
+    size = path.stat().st_size
+    for step in (1, 7, 64, 1000, size):
+        got = [r for a in range(0, size, step) for r in compressed.raw_records(str(path), a, min(a + step, size))]
+        assert [r[0] for r in got] == [b"@r%d c" % k for k in range(500)]
+    seqs = spark.createDataFrame([("a", "ACGTACGTAGGAACGTACGTACTCACGTACGTAAGGACGTACGTATGG"), ("b", "ACGTACGTAGGAACGTACGTACTT")], "name string, seq2 string")
+    listed = spark.createDataFrame([(p, 0, "ACGTACGT") for p in "DCBA"], "position string, ord int, seq string")
+    fixed = codes.correct(seqs, listed, qual=None)
+    assert "hashpartitioning(code_" not in fixed._jdf.queryExecution().executedPlan().toString()
+    assert {r["name"]: (r.ok, r.insert) for r in fixed.collect()} == {"a": (True, "GG"), "b": (False, "")}
+    lines = ["\t".join(["q", "4", "*", "0", "0", "*", "*", "0", "0", "AC", "II", "CB:Z:x"]), " ".join(["p", "4", "*", "0", "0", "*", "*", "0", "0", "AC", "II"]), "short\tline"]
+    rows = readers.parse_sam(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(value") == 2
+    assert [(r.qname, r.cb) for r in rows.collect()] == [("q", "x"), ("p", None)]
