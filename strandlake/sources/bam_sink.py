@@ -12,6 +12,7 @@ import uuid
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -30,6 +31,8 @@ WINDOW = 14
 def bin_of(begin: int, end: int) -> int:
     """Number of the smallest bin that holds [begin, end): 8^k bins of 2^(29 - 3k) bases on level k, counted from the top."""
     end -= 1
+    if begin >> WINDOW == end >> WINDOW:
+        return 4681 + (begin >> WINDOW)
     for level in range(5, 0, -1):
         shift = 29 - 3 * level
         if begin >> shift == end >> shift:
@@ -42,6 +45,40 @@ def bins_of(begin: int, end: int) -> list[int]:
     return [0] + [((1 << 3 * k) - 1) // 7 + b for k in range(1, 6) for b in range(begin >> 29 - 3 * k, (end - 1 >> 29 - 3 * k) + 1)]
 
 
+class _Codes(dict):
+    """Hexadecimal digits of base codes for str.translate; what has no code is 15."""
+
+    def __missing__(self, key: int) -> str:
+        return "f"
+
+
+HEAD = struct.Struct("<iiiBBHHHiiii")
+DIGITS = _Codes({ord(c): f"{k:x}" for k, c in enumerate(SEQUENCE)})
+LESS_33 = bytes((k - 33) % 256 for k in range(256))
+
+
+# Values that records share are encoded once for each of the last 65,536 that a task met.
+@lru_cache(1 << 16)
+def operations(cigar: str) -> tuple[bytes, int]:
+    """A CIGAR as packed operations, and the bases of the reference that it spans, 1 at least."""
+    ops = [(int(n), o) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]
+    return struct.pack(f"<{len(ops)}I", *[n << 4 | OPERATIONS.index(o) for n, o in ops]), sum(n for n, o in ops if o in "MDN=X") or 1
+
+
+def bases(seq: str) -> tuple[bytes, int]:
+    """Two bases a byte, and their number."""
+    return bytes.fromhex(seq.translate(DIGITS) + "0" * (len(seq) % 2)), len(seq)
+
+
+def scores(qual: str) -> bytes:
+    return qual.encode().translate(LESS_33) if qual.isascii() and min(qual, default="!") >= "!" else bytes(ord(c) - 33 for c in qual)
+
+
+@lru_cache(1 << 16)
+def tag(key: bytes, value: str | None) -> bytes:
+    return b"" if value is None else key + b"Z" + value.encode() + b"\0"
+
+
 class Writer:
     """Blocks of a BAM file and its index. Virtual offsets are a block's place, shifted by 16 bits, plus the place in its text."""
 
@@ -82,19 +119,16 @@ class Writer:
     def record(self, qname, flag, chrom, pos, mapq, cigar, mate_chrom, mate_pos, tlen, seq, qual, cb, bc, rg) -> None:
         ref, begin = self.ids.get(chrom, -1), (pos or 0) - 1
         mate = ref if mate_chrom == "=" else self.ids.get(mate_chrom, -1)
-        ops = [(int(n), OPERATIONS.index(o)) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", cigar or "")]
-        end = begin + (sum(n for n, o in ops if OPERATIONS[o] in "MDN=X") or 1)
-        seq = "" if seq in (None, "*") else seq
-        codes = [max(SEQUENCE.find(c), 0) if c in SEQUENCE else 15 for c in seq] + [0] * (len(seq) % 2)
-        packed = bytes(codes[k] << 4 | codes[k + 1] for k in range(0, len(codes), 2))
-        quality = b"\xff" * len(seq) if qual in (None, "*") else bytes(ord(c) - 33 for c in qual)
+        ops, span = operations(cigar or "")
+        end = begin + span
+        packed, n = bases("" if seq in (None, "*") else seq)
+        quality = b"\xff" * n if qual in (None, "*") else scores(qual)
         name = (qname or "*").encode() + b"\0"
-        tags = b"".join(key + b"Z" + value.encode() + b"\0" for key, value in ((b"CB", cb), (b"BC", bc), (b"RG", rg)) if value is not None)
+        tags = tag(b"CB", cb) + tag(b"BC", bc) + tag(b"RG", rg)
         number = bin_of(begin, end) if begin >= 0 else 4680
-        body = struct.pack("<iiBBHHHiiii", ref, begin, len(name), mapq or 0, number, len(ops), flag or 0, len(seq), mate, (mate_pos or 0) - 1, tlen or 0)
-        body += name + b"".join(struct.pack("<I", n << 4 | o) for n, o in ops) + packed + quality + tags
+        size = HEAD.size - 4 + len(name) + len(ops) + len(packed) + len(quality) + len(tags)
         before = self.offset()
-        self.add(struct.pack("<i", len(body)) + body)
+        self.add(b"".join((HEAD.pack(size, ref, begin, len(name), mapq or 0, number, len(ops) // 4, flag or 0, n, mate, (mate_pos or 0) - 1, tlen or 0), name, ops, packed, quality, tags)))
         self.n += 1
         if ref < 0 or begin < 0:
             self.placeless += 1
@@ -140,7 +174,7 @@ def write_bam(reads: DataFrame, contigs: list[tuple[str, int]], path: str, by: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = store_of(path)
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
-        now, out, writer, done = None, None, None, []
+        now, last, out, writer, done = None, None, None, None, []
 
         def close() -> None:
             folder = f"{base}/{now}"
@@ -156,7 +190,8 @@ def write_bam(reads: DataFrame, contigs: list[tuple[str, int]], path: str, by: s
             for k in range(0, batch.num_rows, 4096):
                 columns = [c.to_pylist() for c in batch.slice(k, 4096).columns]
                 for group_, _, *record in zip(*columns, strict=True):
-                    name = re.sub(r"[^A-Za-z0-9_.=+-]", "_", group_)
+                    name = now if group_ == last else re.sub(r"[^A-Za-z0-9_.=+-]", "_", group_)
+                    last = group_
                     if name != now:
                         if writer:
                             close()

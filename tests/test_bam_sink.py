@@ -95,3 +95,15 @@ def test_bins_hold_their_intervals():
 
 def test_empty_table(spark, tmp_path):
     assert bam_sink.write_bam(spark.createDataFrame([], SCHEMA), CONTIGS, str(tmp_path), tasks=2).select(F.count("*")).first()[0] == 0
+
+
+def test_shared_values_are_encoded_once():
+    bam_sink.operations.cache_clear()
+    writer = bam_sink.Writer(Path("/dev/null").open("wb"), [("chr1", 1000)])
+    for k in range(50):
+        writer.record(f"q{k}", 0, "chr1", k + 1, 9, "5S40M3D2I", "=", 0, 0, "ACGTN=x", "!~IIIII", "g", None, None)
+    assert bam_sink.operations.cache_info().misses == 1 and bam_sink.operations("5S40M3D2I")[1] == 43 and bam_sink.operations("") == (b"", 1)
+    assert bam_sink.bases("ACGTN=x") == (bytes([0x12, 0x48, 0xF0, 0xF0]), 7) and bam_sink.bases("é") == (b"\xf0", 1)
+    assert bam_sink.scores("!~I") == bytes([0, 93, 40]) and bam_sink.scores("") == b""
+    with pytest.raises(ValueError):
+        bam_sink.scores(" ")
