@@ -23,9 +23,21 @@ def snps(df: DataFrame) -> DataFrame:
 
 
 def merge_sites(calls: DataFrame, samples: DataFrame) -> DataFrame:
-    """Every site of any sample for every sample, one record for each allele; a sample without the site has null dp and ad."""
-    sites = calls.select(*SITE).distinct()
-    return sites.crossJoin(samples.select("sample").distinct()).join(calls.select("sample", *SITE, "dp", "ad"), ["sample", *SITE], "left")
+    """Every site of any sample for every sample, one record for each allele; a sample without the site has null dp and ad.
+
+    A site's records are gathered and the samples that it lacks added to them, so that rows that say nothing are never shuffled. Null names meet nothing.
+    """
+    names = samples.select("sample").distinct()
+    listed = names.agg(F.collect_list(F.struct("sample")).alias("listed"))
+    known = calls.join(F.broadcast(names.withColumn("known", F.lit(True))), "sample", "left")
+    named = F.col("known").isNotNull()
+    for c in SITE:
+        named = named & F.col(c).isNotNull()
+    sites = known.groupBy(*SITE).agg(F.collect_list(F.when(named, F.struct("sample", "dp", "ad"))).alias("held")).crossJoin(F.broadcast(listed))
+    kinds = dict(calls.dtypes)
+    lacks = F.array_except(F.transform("listed", lambda x: x["sample"]), F.transform("held", lambda x: x["sample"]))
+    empty = F.transform(lacks, lambda s: F.struct(s.alias("sample"), F.lit(None).cast(kinds["dp"]).alias("dp"), F.lit(None).cast(kinds["ad"]).alias("ad")))
+    return sites.select(*SITE, F.explode(F.concat("held", empty)).alias("x")).select("x.sample", *SITE, "x.dp", "x.ad")
 
 
 def combine_alleles(calls: DataFrame) -> DataFrame:
@@ -47,13 +59,15 @@ def combine_genotypes(calls: DataFrame) -> DataFrame:
     """One row for each sample and (chrom, pos, ref): all alleles of the site in order, the sample's depth, genotype and depths by allele.
 
     A genotype names the alleles with reads by their place in the combined list (0: reference): none 0/0, two or more the first two, a
-    single one twice if it has all reads, else with the reference. Alleles without a record in the sample have depth 0.
+    single one twice if it has all reads, else with the reference. Alleles without a record in the sample have depth 0. The samples of a site are gathered once, not joined to its alleles.
     """
-    seen = calls.where("alt <> '.'")
-    alleles = seen.groupBy("chrom", "pos", "ref").agg(F.array_sort(F.collect_set("alt")).alias("alts"))
+    seen = calls.where("alt <> '.'").dropna(subset=["chrom", "pos", "ref"])
     own = seen.groupBy("sample", "chrom", "pos", "ref").agg(F.max("dp").alias("dp"), F.map_from_entries(F.collect_list(F.struct("alt", "ad"))).alias("m"))
+    alts = F.array_sort(F.array_distinct(F.flatten(F.transform("held", lambda x: F.map_keys(x["m"])))))
+    # Alleles are put together before samples become rows again, once for each site.
+    sites = own.groupBy("chrom", "pos", "ref").agg(F.collect_list(F.struct("sample", "dp", "m")).alias("held")).withColumn("alts", alts)
     ad = F.transform("alts", lambda x: F.coalesce(F.try_element_at("m", x), F.lit(0)).cast("long"))
-    rows = own.join(alleles, ["chrom", "pos", "ref"]).withColumn("ad", ad)
+    rows = sites.select("chrom", "pos", "ref", "alts", F.explode("held").alias("x")).select("chrom", "pos", "ref", "alts", "x.*").withColumn("ad", ad)
     held = F.filter(F.transform("ad", lambda x, i: F.when(x > 0, i + 1)), lambda i: i.isNotNull())
     total = F.aggregate("ad", F.lit(0).cast("long"), lambda s, x: s + x)
     one = F.try_element_at("held", F.lit(1))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import stats
 from strandlake.operators import variants
 
-from .base import CALLS_SQL, calls, query, table
+from .base import CALLS_SQL, calls, query, raw_calls, table
 
 C = f"WITH {CALLS_SQL}"
 SITE = "chrom, pos, ref, alt"
@@ -18,7 +18,7 @@ FLAGGED = "flagged AS (SELECT *, ad / dp AS vaf, coalesce(dp BETWEEN 10 AND 100
 @query("q28_site_merge_long", f"""{C}, sites AS (SELECT DISTINCT {SITE} FROM calls), samples AS (SELECT DISTINCT sample FROM calls)
 SELECT sample, {SITE}, dp, ad FROM samples CROSS JOIN sites LEFT JOIN calls USING (sample, {SITE})""")
 def q28(spark: SparkSession, d: str) -> DataFrame:
-    return variants.merge_sites(calls(spark, d), calls(spark, d))
+    return variants.merge_sites(calls(spark, d, ("chrom", "pos", "ref")), raw_calls(spark, d))
 
 
 _MULTI = "concat(alt, CASE WHEN pos % 4 = 0 THEN ',N' ELSE '' END)"
@@ -58,7 +58,7 @@ SELECT sample, chrom, pos, ref, array_to_string(alts, ',') AS alt, dp, CASE WHEN
  WHEN alt_ad >= dp THEN concat(list_position(alts, list_filter(held, lambda x: x IS NOT NULL)[1]), '/', list_position(alts, list_filter(held, lambda x: x IS NOT NULL)[1])) ELSE concat('0/', list_position(alts, list_filter(held, lambda x: x IS NOT NULL)[1])) END AS gt,
  array_to_string(list_transform(alts, lambda x: coalesce(m[x], 0)), ',') AS ad FROM g JOIN a USING (chrom, pos, ref)""")
 def q29c(spark: SparkSession, d: str) -> DataFrame:
-    out = variants.combine_genotypes(calls(spark, d))
+    out = variants.combine_genotypes(calls(spark, d, ("chrom", "pos", "ref")))
     return out.withColumn("ad", F.array_join(F.transform("ad", lambda x: x.cast("string")), ","))
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.operators import coverage, intervals, qc, reads
+from strandlake.operators import coverage, intervals, qc, reads, variants
 from strandlake.plans.catalog import QUERIES
 
 SPAN = "chrom string, pos0 long, pos1 long"
@@ -83,3 +83,27 @@ def test_folded_templates_and_checked_sites_are_made_once(spark):
     assert "collect_list(struct(start" not in plan("q67_gapped_pileup")
     assert "parquet" not in plan("q72_joint_genotypes")
     assert "collect_list(struct(bin" not in plan("q68_normalised_alleles")
+
+
+def test_calls_of_a_site_are_gathered_once(spark):
+    rows = [("s1", "c", 1, "A", "C", 9, 4), ("s2", "c", 1, "A", "G", 8, 8), ("s2", "c", 1, "A", "C", 7, 0), ("s3", None, 1, "A", "C", 5, 1), (None, "c", 2, "T", "C", 5, 1), ("s9", "c", 3, "T", "G", 5, 1), ("s1", "c", 1, "A", "C", 3, 3)]
+    calls = spark.createDataFrame(rows, "sample string, chrom string, pos long, ref string, alt string, dp long, ad long")
+    names = spark.createDataFrame([(s,) for s in ("s1", "s2", "s3", "s1", None)], "sample string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        merged = variants.merge_sites(calls.repartition("chrom", "pos", "ref"), names)
+        called = variants.combine_genotypes(calls.limit(3).unionAll(calls.where("sample = 's9' OR chrom IS NULL")).repartition("chrom", "pos", "ref"))
+        for df in (merged, called):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and plan.count("hashpartitioning(chrom") == 1
+        got = sorted(merged.collect(), key=str)
+        assert sorted((r.sample, r.alt, r.gt, r.dp, r.ad) for r in called.collect()) == [("s1", "C,G", "0/1", 9, [4, 0]), ("s2", "C,G", "2/2", 8, [0, 8]), ("s9", "G", "0/1", 5, [1])]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    want = []
+    for site in {r[1:5] for r in rows}:
+        for s in ("s1", "s2", "s3", None):
+            own = [r[5:] for r in rows if s and None not in site and r[0] == s and r[1:5] == site]
+            want += [(s, *site, *x) for x in own or [(None, None)]]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
