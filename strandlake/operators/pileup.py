@@ -85,8 +85,10 @@ def _fold(s: Column, x: Column) -> Column:
     part = lambda t, at, n: F.substring(t, at + 1, n)
     middle = F.zip_with(_chars(part(s["b"], here, shared), part(s["q"], here, shared)), _chars(part(x["b"], F.lit(0), shared), part(x["q"], F.lit(0), shared)), _both)
     rest = lambda c: F.when(end - here >= its, part(s[c], here + shared, end)).otherwise(part(x[c], shared, its))
-    over = lambda c: F.concat(part(s[c], F.lit(0), here), F.array_join(F.transform(middle, lambda m: m[c]), ""), rest(c)).alias(c)
-    return F.when(here >= end, apart).otherwise(F.struct(s["start"].alias("start"), over("b"), over("q")))
+    over = lambda c, both: F.concat(part(s[c], F.lit(0), here), F.array_join(F.transform(both, lambda m: m[c]), ""), rest(c)).alias(c)
+    # The shared bases are resolved once for both texts.
+    laid = F.transform(F.array(middle), lambda both: F.struct(s["start"].alias("start"), over("b", both), over("q", both)))
+    return F.when(here >= end, apart).otherwise(laid[0])
 
 
 def templates(cut: DataFrame) -> DataFrame:
@@ -101,8 +103,17 @@ def templates(cut: DataFrame) -> DataFrame:
 
 def counted(canvas: DataFrame, least_quality: int) -> DataFrame:
     """Adds mask: 1 for each base that counts (A, C, G or T of the quality at least), 0 for others."""
-    ok = F.zip_with(F.split("b", ""), F.split("q", ""), lambda b, q: F.when(b.isin(*_BASES) & (F.ascii(q) - 33 >= least_quality), "1").otherwise("0"))
-    return canvas.withColumn("mask", F.array_join(ok, ""))
+    bases = F.translate(F.regexp_replace("b", f"[^{''.join(_BASES)}]", "0"), "".join(_BASES), "1" * len(_BASES))
+    if least_quality <= -33:
+        return canvas.withColumn("mask", bases)
+    # Stretches of low and of sufficient quality, a few for each read, instead of base by base.
+    low = f"\\x{{0}}-\\x{{{32 + least_quality:x}}}"
+    runs = F.regexp_extract_all("q", F.lit(f"[{low}]+|[^{low}]+"), F.lit(0))
+    step = lambda s, r: F.struct(
+        (s["at"] + F.length(r)).alias("at"), F.concat(s["out"], F.when(F.ascii(r) - 33 < least_quality, F.repeat(F.lit("0"), F.length(r))).otherwise(F.substring("__bases", s["at"], F.length(r)))).alias("out")
+    )
+    mask = F.aggregate(runs, F.struct(F.lit(1).alias("at"), F.lit("").alias("out")), step, lambda s: s["out"])
+    return canvas.withColumn("__bases", bases).withColumn("mask", mask).drop("__bases")
 
 
 def depth_steps(canvas: DataFrame) -> DataFrame:

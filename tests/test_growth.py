@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.operators import coverage, intervals, qc, reads, variants
+from strandlake.operators import coverage, intervals, pileup, qc, reads, variants
 from strandlake.plans.catalog import QUERIES
 
 SPAN = "chrom string, pos0 long, pos1 long"
@@ -107,3 +107,12 @@ def test_calls_of_a_site_are_gathered_once(spark):
             own = [r[5:] for r in rows if s and None not in site and r[0] == s and r[1:5] == site]
             want += [(s, *site, *x) for x in own or [(None, None)]]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("least", [-40, 0, 13, 60])
+def test_masks_are_cut_by_stretches_of_quality(spark, least):
+    rows = [("ACGTN-AC", "I!,-.II~"), ("", ""), ("GGG", "~~~"), ("TTT", "!!!")]
+    got = pileup.counted(spark.createDataFrame(rows, "b string, q string"), least)
+    assert "split(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {(b, "".join("1" if x in "ACGT" and ord(y) - 33 >= least else "0" for x, y in zip(b, q, strict=True))) for b, q in rows}
+    assert {(r.b, r["mask"]) for r in got.collect()} == want
