@@ -232,6 +232,40 @@ def test_blocks_cover_open_windows_within_a_component():
     assert {w for f in found for w in range(f["a_first"], f["a_last"] + 1)} >= {*range(90), *range(110, n)}
 
 
+def test_trees_of_many_texts_in_one_pass_are_those_of_each_text():
+    parts = [shingle_hashes(word_hashes(sentence(k, 50 + 37 * k) + " again" * (60 if k % 3 == 0 else 0)), 5) for k in range(9)]
+    start = np.cumsum([0, *map(len, parts[:-1])])
+    w = passages.outer_windows(np.concatenate(parts), 46, 6, start)
+    for x, begin in zip(parts, start.tolist(), strict=True):
+        own = w[:, (w[3] >= begin) & (w[3] < begin + len(x))]
+        assert {tuple(c) for c in (own - np.array([[0], [0], [begin], [begin], [begin]])).T.tolist()} == {tuple(c) for c in passages.outer_windows(x, 46, 6).T.tolist()}
+
+
+def test_parts_of_a_sequence_align_like_their_copies():
+    w = sentence(41, 300).split()
+    a, b = (shingle_hashes(word_hashes(" ".join(x)), 5) for x in (w, w[:70] + ["other"] + w[72:250]))
+    for begin, end in ((0, len(a)), (20, 200), (60, 110), (250, len(a))):
+        found = passages.chains(passages.Sequence(a, 46).part(begin, end), passages.Sequence(b, 46), 0.8)
+        assert found == passages.chains(passages.Sequence(a[begin:end].copy(), 46), passages.Sequence(b, 46), 0.8)
+
+
+def test_blocks_verify_few_pairs_and_agree_in_any_order(monkeypatch):
+    """Texts with a word over and over share little with others; of texts that cover a window equally well the same one is taken in any order of rows."""
+    calls = []
+    chains = passages.chains
+    monkeypatch.setattr(passages, "chains", lambda *a: calls.append(1) or chains(*a))
+    passage, n = sentence(51, 80), 80
+    rows = [{"cls": 1, "component": 1, "rows": [{"l": 0, "r": n - 5}], "left": True, "text": passage}]
+    rows += [{"cls": 2 + k, "component": 1, "rows": None, "left": False, "text": f"{sentence(300 + k, 30)} {passage}"} for k in range(20)]
+    found = [passages.compare(5, 46, 0.8)(pa.Table.from_pylist(r)).to_pylist() for r in (rows, rows[::-1], rows[:1] + rows[:0:-1])]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 1
+    calls.clear()
+    common = sentence(52, 8)
+    lone = [f"{common} {' '.join([f'word{k}'] * 60)} {sentence(400 + k, 60)}" for k in range(30)]
+    rows = [{"cls": k, "component": k, "rows": [{"l": 0, "r": len(t.split()) - 5}] if left else None, "left": left, "text": t} for k, t in enumerate(lone) for left in (True, False)]
+    assert passages.compare(5, 46, 0.8)(pa.Table.from_pylist(rows)).num_rows == 0 and not calls
+
+
 def test_vectors_are_dealt_in_bounded_frames():
     """Every vector is a guest in most cells; none is left out, and no frame holds more than ROWS of them."""
     r = np.random.default_rng(4)
