@@ -57,6 +57,28 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).count() == 0
 
 
+def test_components_end_with_stars_and_broadcast_nothing(spark, monkeypatch):
+    plans, save = [], Scratch.save
+
+    def spied(self, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return save(self, df)
+
+    monkeypatch.setattr(Scratch, "save", spied)
+    for edges, rounds in (([(7, k) for k in range(8, 60)], 1), ([(k, 60) for k in range(7, 60)], 2)):
+        plans.clear()
+        got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
+        assert set(got.values()) == {7} and len(got) >= 53 and len(plans) <= 1 + rounds
+        assert not any("Broadcast" in p for p in plans)
+
+
+@pytest.mark.parametrize("edges", [[(k, 60) for k in range(7, 60)], [(1, 3), (2, 3), (2, 4), (4, 9), (8, 9)], [(1, 2), (2, 3)], [(5, 1), (6, 5), (9, 8)]])
+def test_components_of_odd_trees(spark, edges):
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
+    root = roots(61, edges)
+    assert got == {k: root[k] for e in edges for k in e}
+
+
 # BPE
 
 @settings(max_examples=150, deadline=None)
