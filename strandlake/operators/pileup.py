@@ -1,8 +1,10 @@
 """Pileup of gapped reads: alleles with their depths, from CIGAR walks, mates resolved once, and depth by a sweep inside bins.
 
-A read becomes blocks of aligned bases as strings ('-' where it has a deletion; skipped stretches end a block), cut at bin borders. The blocks of a template
-in a bin are folded into one, so a base that both mates saw counts once. Only bases that differ from the reference become rows; depth is the running sum of
-the ends of counted stretches, of which a bin holds no more than twice its width whatever the depth.
+The records of a template meet in one task, where numpy walks them and resolves what both mates saw, so that it counts once (module `sweep`). What counts travels
+packed to its bin, 2 bits a base, and is counted there beside the bin's reference window; only bases that differ from the reference become rows.
+
+`blocks` to `depth_runs` say the same as column expressions, base by base or as strings: a read becomes blocks of aligned bases ('-' where it has a deletion; skipped
+stretches end a block), cut at bin borders, and the blocks of a template in a bin are folded into one. They are what the sweep is tested against.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import sweep
 from .reads import DUPLICATE, PAIRED, PROPER, QC_FAIL, SECONDARY, UNMAPPED, has, lacks
 from .rounds import settle
 
@@ -134,37 +137,6 @@ def depth_runs(steps: DataFrame) -> DataFrame:
     return runs.where("depth > 0")
 
 
-def mismatches(canvas: DataFrame, windows: DataFrame, width: int) -> DataFrame:
-    """(sample, chrom, bin, pos0, ref, alt, ad): counted bases that differ from the reference, by allele."""
-    joined = canvas.join(windows, ["chrom", "bin"])
-    here = F.substring("bases", (F.col("start") - F.col("bin") * width + 2).cast("int"), F.length("b"))
-    off = F.zip_with(F.zip_with(F.split("b", ""), F.split(here, ""), lambda b, r: F.struct(b.alias("alt"), r.alias("ref"))), F.split("mask", ""), lambda x, m: F.when((m == "1") & x["ref"].isin(*_BASES) & (x["alt"] != x["ref"]), x))
-    found = F.filter(F.transform(off, lambda x, i: F.when(x.isNotNull(), F.struct(i.alias("i"), x["ref"].alias("ref"), x["alt"].alias("alt")))), lambda x: x.isNotNull())
-    rows = joined.select("sample", "chrom", "bin", "start", F.explode(found).alias("x"))
-    return rows.groupBy("sample", "chrom", "bin", (F.col("start") + F.col("x.i")).alias("pos0"), "x.ref", "x.alt").agg(F.count("*").alias("ad"))
-
-
-def indels(walks: DataFrame, windows: DataFrame, width: int, least_quality: int) -> DataFrame:
-    """(sample, chrom, bin, pos0, ref, alt, ad) of insertions and deletions, anchored at the base before them; a template counts once for an allele.
-
-    The anchor must be an aligned base of the quality at least. Alleles are as the reads have them, not yet aligned to the left.
-    """
-    before = F.zip_with("ops", F.concat(F.array(F.lit(None).cast("struct<op:string,n:bigint,ref:bigint,read:bigint>")), F.slice("ops", F.lit(1), F.size("ops") - 1)), lambda o, p: F.struct(o.alias("o"), p["op"].alias("p")))
-    gaps = F.filter(before, lambda x: x["o"]["op"].isin("I", "D") & x["p"].isin("M", "=", "X"))
-    rows = walks.select("sample", "qname", "chrom", "seq", "qual", F.explode(gaps).alias("x")).select("sample", "qname", "chrom", "seq", "qual", "x.o.*")
-    quality = F.ascii(F.substring("qual", F.col("read").cast("int"), F.lit(1))) - 33
-    rows = rows.where(quality >= least_quality)
-    inserted = F.when(F.col("op") == "I", F.substring("seq", (F.col("read") + 1).cast("int"), F.col("n").cast("int"))).otherwise("")
-    alleles = rows.select("sample", "qname", "chrom", (F.col("ref") - 1).alias("pos0"), F.when(F.col("op") == "D", F.col("n")).otherwise(0).alias("gone"), inserted.alias("more")).distinct()
-    counts = alleles.groupBy("sample", "chrom", "pos0", "gone", "more").agg(F.count("*").alias("ad"))
-    # Reference bases of the anchor and what is deleted, put together from the windows they lie in.
-    spans = counts.select("chrom", "pos0", "gone").distinct()
-    bases = reference_bases(spans.select("chrom", "pos0", (F.col("gone") + 1).alias("length")), windows, width)
-    joined = counts.join(bases.select("chrom", "pos0", (F.col("length") - 1).alias("gone"), "bases"), ["chrom", "pos0", "gone"])
-    anchor = F.left("bases", F.lit(1))
-    return joined.select("sample", "chrom", F.floor(F.col("pos0") / width).alias("bin"), "pos0", F.col("bases").alias("ref"), F.concat(anchor, "more").alias("alt"), "ad")
-
-
 def reference_bases(spans: DataFrame, windows: DataFrame, width: int) -> DataFrame:
     """(chrom, pos0, length, bases) for distinct spans (chrom, pos0, length) that lie in the windows whole, across their borders too."""
     cut = spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col("pos0") / width), F.floor((F.col("pos0") + F.col("length") - 1) / width))))
@@ -176,30 +148,60 @@ def reference_bases(spans: DataFrame, windows: DataFrame, width: int) -> DataFra
     return whole.where(F.length("bases") == F.col("length"))
 
 
-def folded(reads: DataFrame, width: int, least_quality: int = 13, least_mapq: int = 0) -> DataFrame:
-    """What pileup and covered_runs count: the folded templates with their masks, the dearest step, for both to share by `settle`."""
-    return counted(templates(blocks(walked(usable(reads, least_mapq)), width)), least_quality)
+def _packs(reads: DataFrame, width: int, least_quality: int, least_mapq: int) -> DataFrame:
+    """Counted bases and indels of `reads`, a template's records side by side in one task, by (sample, chrom, bin): rows of `sweep.PACKED`."""
+    qual = F.when(F.coalesce(F.col("qual"), F.lit("*")) == "*", F.repeat(F.lit("~"), F.length("seq"))).otherwise(F.col("qual"))
+    rows = usable(reads, least_mapq).where("pos0 is not null").select("sample", "qname", "chrom", F.col("pos0").cast("long").alias("pos0"), "cigar", F.upper("seq").alias("seq"), qual.alias("qual"))
+    rows = rows.repartition("sample", "qname", "chrom").sortWithinPartitions(F.xxhash64("sample", "qname", "chrom"), "sample", "qname", "chrom")
+    return rows.mapInArrow(sweep.packing(width, least_quality), sweep.PACKED)
+
+
+def _swept(packs: DataFrame, windows: DataFrame | None, width: int, classes: tuple[int, ...] | None = None, runs: bool = False) -> DataFrame:
+    """All packs of a bin meet its window in one task, which counts them: rows of `sweep.SWEPT`."""
+    if windows is not None:
+        window = windows.select(F.lit(None).cast("string").alias("sample"), "chrom", F.col("bin").cast("long").alias("bin"), F.lit(sweep.WINDOW).alias("kind"), F.col("bases").alias("more"))
+        packs = packs.unionByName(window, allowMissingColumns=True)
+    place = F.xxhash64("chrom", "bin")
+    dealt = packs.repartition("chrom", "bin").sortWithinPartitions(place, "chrom", "bin", F.col("sample").asc_nulls_first(), "kind")
+    return dealt.mapInArrow(sweep.sweeping(width, classes, runs), sweep.SWEPT)
+
+
+def _alleles(swept: DataFrame, windows: DataFrame, width: int) -> DataFrame:
+    """Alleles of a settled sweep; deletions that reach beyond their window get their reference bases from all windows they lie in."""
+    rows = swept.where(F.col("kind") == "allele").withColumn("pos", F.col("pos0") + 1)
+    columns = ["sample", "chrom", "pos", "ref", "alt", "dp", "ad"]
+    across = rows.where("ref is null")
+    spans = across.select("chrom", "pos0", (F.col("gone") + 1).alias("length")).distinct()
+    bases = reference_bases(spans, windows, width).select("chrom", "pos0", (F.col("length") - 1).alias("gone"), "bases")
+    joined = across.join(bases, ["chrom", "pos0", "gone"]).withColumn("ref", F.col("bases")).withColumn("alt", F.concat(F.left("bases", F.lit(1)), "alt"))
+    return rows.where("ref is not null").select(*columns).unionByName(settle(joined.select(*columns)))
+
+
+def covered_runs(reads: DataFrame, width: int, least_quality: int = 13, least_mapq: int = 0) -> DataFrame:
+    """(sample, chrom, bin, pos0, pos1, depth) of the stretches of equal depth that pileup counts, cut at multiples of width."""
+    return _swept(_packs(reads, width, least_quality, least_mapq), None, width, runs=True).select("sample", "chrom", "bin", "pos0", "pos1", F.col("dp").alias("depth"))
 
 
-def covered_runs(reads: DataFrame, width: int, least_quality: int = 13, least_mapq: int = 0, canvas: DataFrame | None = None) -> DataFrame:
-    """(sample, chrom, bin, pos0, pos1, depth) of the stretches of equal depth that pileup counts, cut at multiples of width. canvas: `folded` of the reads, if it is at hand."""
-    return depth_runs(depth_steps(folded(reads, width, least_quality, least_mapq) if canvas is None else canvas))
+def covered_blocks(reads: DataFrame, width: int, classes: tuple[int, ...] = (1,), least_quality: int = 13, least_mapq: int = 0) -> DataFrame:
+    """`joint.reference_blocks` of `covered_runs`, made where depth is counted, so that runs are never rows."""
+    return _blocks(_swept(_packs(reads, width, least_quality, least_mapq), None, width, classes))
 
 
-def pileup(reads: DataFrame, windows: DataFrame, width: int, least_quality: int = 13, least_mapq: int = 0, canvas: DataFrame | None = None) -> DataFrame:
+def _blocks(swept: DataFrame) -> DataFrame:
+    return swept.where(F.col("kind") == "block").select("sample", "chrom", "bin", "pos0", "pos1", F.col("dp").alias("min_dp"))
+
+
+def pileup(reads: DataFrame, windows: DataFrame, width: int, least_quality: int = 13, least_mapq: int = 0) -> DataFrame:
     """(sample, chrom, pos, ref, alt, dp, ad) of every allele other than the reference that a template shows; pos is 1-based.
 
     reads: (sample, qname, chrom, pos0, flag, mapq, cigar, seq, qual); windows: (chrom, bin, bases) of `width` bases with one more on either side. dp counts templates with an
-    aligned base of the quality at least at the position (deleted and skipped bases don't count); for indels it is that of the anchor. Positions without a reference base go.
-    Templates are folded once, in a checkpoint that alleles and depths both read. canvas: `folded` of the reads, if it is at hand.
+    aligned base of the quality at least at the position (deleted and skipped bases don't count); for indels it is that of the anchor, which must be an aligned base of the quality
+    at least. Indels are as the reads have them, not yet aligned to the left. Positions without a reference base go.
     """
-    walks = walked(usable(reads, least_mapq))
-    if canvas is None:
-        canvas = settle(folded(reads, width, least_quality, least_mapq))
-    alleles = mismatches(canvas, windows, width).unionByName(indels(walks, windows, width, least_quality))
-    steps = depth_steps(canvas).select("sample", "chrom", "bin", "pos0", "step", F.lit(None).cast("array<struct<ref:string,alt:string,ad:bigint>>").alias("asked"))
-    asked = alleles.groupBy("sample", "chrom", "bin", "pos0").agg(F.collect_list(F.struct("ref", "alt", "ad")).alias("asked")).withColumn("step", F.lit(0).cast("long"))
-    w = Window.partitionBy("sample", "chrom", "bin").orderBy("pos0").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    depth = steps.unionByName(asked).withColumn("dp", F.sum("step").over(w)).where("asked is not null")
-    out = depth.select("sample", "chrom", (F.col("pos0") + 1).alias("pos"), F.col("dp"), F.explode("asked").alias("a"))
-    return out.select("sample", "chrom", "pos", "a.ref", "a.alt", "dp", "a.ad")
+    return _alleles(settle(_swept(_packs(reads, width, least_quality, least_mapq), windows, width)), windows, width)
+
+
+def pileup_and_blocks(reads: DataFrame, windows: DataFrame, width: int, classes: tuple[int, ...] = (1,), least_quality: int = 13, least_mapq: int = 0) -> tuple[DataFrame, DataFrame]:
+    """`pileup` and `covered_blocks` of the same reads, counted once; both read one checkpoint."""
+    swept = settle(_swept(_packs(reads, width, least_quality, least_mapq), windows, width, classes))
+    return _alleles(swept, windows, width), _blocks(swept)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import complexity
 from strandlake.operators import alleles, joint, pileup
-from strandlake.operators.rounds import settle
 
 from .base import MATES_SQL, choose, exprs, mates, query, table
 from .variant_queries import base_at
@@ -83,7 +82,7 @@ def wide_windows(spark: SparkSession, d: str) -> DataFrame:
     top = table(spark, d, "part").agg(F.floor((F.max("p_partkey") * 10 + 2000) / WIDTH).alias("last"))
     bins = top.select(F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("bin"))
     contigs = table(spark, d, "orders").select(F.concat(F.lit("chr"), (1 + F.col("o_orderkey") % 3).cast("string")).alias("chrom")).distinct()
-    return contigs.crossJoin(bins.select("bin", F.expr(f"array_join(transform(sequence(bin * {WIDTH}, bin * {WIDTH} + {WIDTH} + 1), p -> {base_at('p')}), '')").alias("bases")))
+    return contigs.crossJoin(bins.select("bin", F.expr(f"substr('{_REF * 2}', cast(1 + (bin * {WIDTH} + {PERIOD - 1}) % {PERIOD} AS int), {WIDTH + 2})").alias("bases")))
 
 
 #: Base by base: every aligned base of a usable read, then the two mates' view of it.
@@ -178,11 +177,9 @@ def q71(spark: SparkSession, d: str) -> DataFrame:
 unseen AS (SELECT b.sample, s.chrom, s.pos, s.ref, s.alt, min_dp AS dp, 0 AS ad FROM site s JOIN block b ON s.chrom = b.chrom AND s.pos - 1 >= b.pos0 AND s.pos - 1 < b.pos1 ANTI JOIN piled p ON b.sample = p.sample AND s.chrom = p.chrom AND s.pos = p.pos AND s.ref = p.ref AND s.alt = p.alt)
 SELECT sample, chrom, pos, ref, alt, dp, ad FROM piled UNION ALL SELECT * FROM unseen""")
 def q72(spark: SparkSession, d: str) -> DataFrame:
-    # Genotypes read alleles and blocks several times, and both come from the same folded templates.
-    reads = gapped(spark, d)
-    canvas = settle(pileup.folded(reads, WIDTH))
-    found = settle(pileup.pileup(reads, wide_windows(spark, d), WIDTH, canvas=canvas).withColumn("bin", F.floor((F.col("pos") - 1) / WIDTH)))
-    return joint.genotypes(found, settle(joint.reference_blocks(pileup.covered_runs(reads, WIDTH, canvas=canvas), (1, 5))))
+    # Genotypes read alleles and blocks several times, and both come from the same checkpoint.
+    found, blocks = pileup.pileup_and_blocks(gapped(spark, d), wide_windows(spark, d), WIDTH, (1, 5))
+    return joint.genotypes(found.withColumn("bin", F.floor((F.col("pos") - 1) / WIDTH)), blocks)
 
 
 _PLACES = ["chrom", "pos0", "cigar"]
