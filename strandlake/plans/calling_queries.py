@@ -170,7 +170,7 @@ block AS (SELECT sample, chrom, bin, min(p0) AS pos0, max(p0) + 1 AS pos1, min(d
 
 @query("q71_reference_blocks", f"WITH {BASES_SQL}, {BLOCKS_SQL} SELECT sample, chrom, bin, pos0, pos1, min_dp FROM block")
 def q71(spark: SparkSession, d: str) -> DataFrame:
-    return joint.reference_blocks(pileup.covered_runs(gapped(spark, d), WIDTH), (1, 5))
+    return pileup.covered_blocks(gapped(spark, d), WIDTH, (1, 5))
 
 
 @query("q72_joint_genotypes", f"""WITH {PILEUP_SQL}, {BLOCKS_SQL}, site AS (SELECT DISTINCT chrom, pos, ref, alt FROM piled),

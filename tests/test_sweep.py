@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from strandlake.operators import pileup, sweep
+from strandlake.operators import joint, pileup, sweep
 from strandlake.plans.catalog import QUERIES
 
 from .test_calling import READ, drawn, plain_pileup, windows_of
@@ -74,3 +74,13 @@ def test_deletions_across_windows(spark):
     df = spark.createDataFrame(reads, READ)
     got = sorted(tuple(r) for r in pileup.pileup(df, windows_of(spark, genome, 10), 10).where("length(ref) > 1").select("pos", "ref", "alt", "dp", "ad").collect())
     assert got == [(6, x[5:51], x[5], 1, 1), (9, x[8:10], x[8], 1, 1)]
+
+
+def test_blocks_are_made_where_depth_is_counted(spark):
+    df = spark.createDataFrame(drawn(6, 200, genome_of(0)), READ)
+    columns = ["sample", "chrom", "bin", "pos0", "pos1", "min_dp"]
+    for classes in ((1,), (1, 3, 5), (4,)):
+        want = joint.reference_blocks(pileup.covered_runs(df, 40), classes)
+        assert rows(pileup.covered_blocks(df, 40, classes).select(*columns)) == rows(want.select(*columns))
+    plan = QUERIES["q71_reference_blocks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "zip_with" not in plan
