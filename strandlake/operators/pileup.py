@@ -36,10 +36,15 @@ def operations(cigar: Column, pos0: Column) -> Column:
     return F.aggregate(pairs, F.struct(pos0.cast("long").alias("ref"), F.lit(0).cast("long").alias("read"), none.alias("out")), step, lambda s: s["out"])
 
 
-def usable(reads: DataFrame, least_mapq: int = 0) -> DataFrame:
-    """Mapped primary records that are neither duplicates nor failed; of paired ones only proper pairs. Records without sequence or CIGAR go."""
+def primary(reads: DataFrame, least_mapq: int = 0) -> DataFrame:
+    """Mapped primary records that are neither duplicates nor failed; of paired ones only proper pairs."""
     keep = lacks("flag", UNMAPPED | SECONDARY | QC_FAIL | DUPLICATE) & (lacks("flag", PAIRED) | has("flag", PROPER))
-    return reads.where(keep & (F.col("mapq") >= least_mapq) & F.col("cigar").rlike(r"^(\d+[MIDNSHP=X])+$") & (F.col("seq") != "*"))
+    return reads.where(keep & (F.col("mapq") >= least_mapq))
+
+
+def usable(reads: DataFrame, least_mapq: int = 0) -> DataFrame:
+    """`primary` without the records that have no sequence or CIGAR."""
+    return primary(reads, least_mapq).where(F.col("cigar").rlike(r"^(\d+[MIDNSHP=X])+$") & (F.col("seq") != "*"))
 
 
 def walked(reads: DataFrame) -> DataFrame:
@@ -150,8 +155,8 @@ def reference_bases(spans: DataFrame, windows: DataFrame, width: int) -> DataFra
 
 def _packs(reads: DataFrame, width: int, least_quality: int, least_mapq: int) -> DataFrame:
     """Counted bases and indels of `reads`, a template's records side by side in one task, by (sample, chrom, bin): rows of `sweep.PACKED`."""
-    qual = F.when(F.coalesce(F.col("qual"), F.lit("*")) == "*", F.repeat(F.lit("~"), F.length("seq"))).otherwise(F.col("qual"))
-    rows = usable(reads, least_mapq).where("pos0 is not null").select("sample", "qname", "chrom", F.col("pos0").cast("long").alias("pos0"), "cigar", F.upper("seq").alias("seq"), qual.alias("qual"))
+    # Sequences, qualities and CIGARs are checked by numpy: a filter on them would spell them out once more where they are expressions.
+    rows = primary(reads, least_mapq).where("pos0 is not null").select("sample", "qname", "chrom", F.col("pos0").cast("long").alias("pos0"), "cigar", F.upper("seq").alias("seq"), "qual")
     rows = rows.repartition("sample", "qname", "chrom").sortWithinPartitions(F.xxhash64("sample", "qname", "chrom"), "sample", "qname", "chrom")
     return rows.mapInArrow(sweep.packing(width, least_quality), sweep.PACKED)
 

@@ -77,6 +77,7 @@ def _chars(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 # Records to packs
 
+_WHOLE = re.compile(r"([0-9]+[MIDNSHP=X])+$")
 _READS = {"M": (1, 1), "=": (1, 1), "X": (1, 1), "I": (0, 1), "S": (0, 1), "D": (1, 0), "N": (1, 0)}
 
 
@@ -102,7 +103,7 @@ class _Cigars:
             self.known.clear()
         for c in cigars:
             if c not in self.known:
-                ops, needs = _walk(c)
+                ops, needs = _walk(c) if _WHOLE.match(c) else ([], -1)
                 aligned = [(n, ref, read) for op, _, n, ref, read in ops if op in "M=X" and n]
                 gaps = [(n, ref, read, op == "I") for op, prior, n, ref, read in ops if op in "ID" and prior and prior in "M=X"]
                 self.known[c] = aligned, gaps, needs
@@ -153,11 +154,16 @@ def _folded(reads: list[tuple[int, str, str, str]], width: int) -> dict[int, tup
 
 
 def _packed(table: pa.Table, cigars: _Cigars, width: int, least: int) -> Iterator[pa.RecordBatch]:
-    """Packs and indels of whole templates."""
+    """Packs and indels of whole templates. Absent qualities are the greatest; records go that have no sequence or no CIGAR, or one that needs more or fewer bases than they have."""
+    fixed = {c: pc.fill_null(table.column(c), "*") for c in ("cigar", "seq", "qual")}
+    length = pc.utf8_length(fixed["seq"])
+    fixed["qual"] = pc.if_else(pc.equal(fixed["qual"], "*"), pc.binary_repeat("~", length), fixed["qual"])
+    for c, values in fixed.items():
+        table = table.set_column(table.column_names.index(c), c, values)
     encoded = table.column("cigar").combine_chunks().dictionary_encode()
     aligned, gaps, needs = cigars.arrays(encoded.dictionary.to_pylist())
     which = encoded.indices.to_numpy().astype(np.int64)
-    fits = (needs[which] == pc.utf8_length(table.column("seq")).to_numpy()) & (pc.utf8_length(table.column("qual")).to_numpy() == pc.utf8_length(table.column("seq")).to_numpy())
+    fits = (needs[which] == length.to_numpy()) & (pc.utf8_length(fixed["qual"]).to_numpy() == length.to_numpy()) & pc.not_equal(fixed["seq"], "*").to_numpy()
     if not fits.all():
         table, which = table.filter(pa.array(fits)), which[fits]
     if not table.num_rows:
@@ -265,7 +271,7 @@ def packing(width: int, least_quality: int) -> Callable[[Batches], Batches]:
 
     def run(batches: Batches) -> Batches:
         cigars, kept = _Cigars(), None
-        size = lambda t: pc.binary_length(t.column("seq")).to_numpy().astype(np.int64)
+        size = lambda t: pc.fill_null(pc.binary_length(t.column("seq")), 0).to_numpy().astype(np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue

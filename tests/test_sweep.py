@@ -41,6 +41,7 @@ def test_runs_equal_those_of_columns(spark, width):
     r = random.Random(1)
     odd = [(s, q if r.random() < 0.9 else "q1", c, p + r.randrange(3), 0, m, *x) for s, q, c, p, _, m, *x in reads[:90]]
     odd += [(None, None, "x", 5, 0, 60, "4M", "ACGT", None), (None, None, "x", 7, 0, 60, "4M", "AéGT", "IIII"), ("s0", "n", None, 5, 0, 60, "4M", "ACGT", "II~é"), ("s0", "n", None, -3, 0, 60, "2M2D2M", "ACGT", "IIII"), ("s0", "z", "x", None, 0, 60, "4M", "ACGT", "IIII")]
+    odd += [("s0", f"w{k}", "x", 9, 0, 60, *x) for k, x in enumerate([("1M", "*", "I"), (None, "A", "I"), ("1M", None, "I"), ("1M", "A", "*"), ("M1", "A", "I"), ("1MM", "A", "I"), ("", "", ""), ("5H", "", ""), ("1M", "a", None)])]
     df = spark.createDataFrame(reads + odd, READ)
     columns = ["sample", "chrom", "bin", "pos0", "pos1", "depth"]
     got = rows(pileup.covered_runs(df, width).select(*columns))
