@@ -85,3 +85,11 @@ def test_blocks_are_made_where_depth_is_counted(spark):
         assert rows(pileup.covered_blocks(df, 40, classes).select(*columns)) == rows(want.select(*columns))
     plan = QUERIES["q71_reference_blocks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "zip_with" not in plan
+
+
+def test_alleles_and_blocks_of_one_count(spark):
+    genome = genome_of(0)
+    df, windows = spark.createDataFrame(drawn(8, 100, genome), READ), windows_of(spark, genome, 40)
+    found, blocks = pileup.pileup_and_blocks(df, windows, 40, (1, 3))
+    assert rows(found) == rows(pileup.pileup(df, windows, 40)) and rows(blocks) == rows(pileup.covered_blocks(df, 40, (1, 3)))
+    assert "MapInArrow" not in found.unionByName(blocks, allowMissingColumns=True)._jdf.queryExecution().optimizedPlan().toString()
